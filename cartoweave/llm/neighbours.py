@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from cartoweave.session import materialise
 
-ORDERINGS, WINDOW, DIMS, BITS, SEED = 8, 20, 15, 4, 17
+ORDERINGS, WINDOW, DIMS, BITS, SEED = 8, 20, 12, 3, 17
 ROWS_PER_PARTITION = 60_000
 
 
