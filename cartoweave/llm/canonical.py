@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -198,7 +199,7 @@ def canonical_array(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     data = out.astype("<u4").tobytes().decode("utf-32-le").encode("utf-8")
     made = pa.LargeStringArray.from_buffers(n, pa.py_buffer(ends), pa.py_buffer(data))
     if column.null_count:
-        made = pa.compute.if_else(column.is_valid(), made, pa.scalar(None, pa.large_string()))
+        made = pc.if_else(column.is_valid(), made, pa.scalar(None, pa.large_string()))
     return made.cast(pa.string())
 
 

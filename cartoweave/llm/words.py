@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from cartoweave.llm.canonical import TABLE_SIZE, _code_points, canonical_array
 
@@ -77,11 +78,11 @@ def words_of(texts: pa.Array, skip_marked: bool = True, line_break: bool = True)
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if line_break:
-        texts = pa.compute.replace_substring(texts.cast(pa.string()), "\n", " | ")
+        texts = pc.replace_substring(texts.cast(pa.string()), "\n", " | ")
     form = canonical_array(texts)
     n = len(form)
     letter, lower = _tables()
-    raw, offsets = _code_points(pa.compute.fill_null(form, ""))
+    raw, offsets = _code_points(pc.fill_null(form, ""))
     owner = np.repeat(np.arange(n), np.diff(offsets))
     empty = np.zeros(0, np.int64)
     if not len(raw):
