@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartoweave.llm import canonical, clusters, language, neighbours, terms
+from cartoweave.llm import canonical, clusters, language, leaks, neighbours, terms
 from cartoweave.session import materialise, table
 
 MAP_LOW, MAP_HIGH, MAP_STEP, MAP_LEAST = -104.0, 56.0, 0.15, 5
@@ -110,7 +110,22 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_terms(spark, d).where("mark is not null").select("field", "term", "mark")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_canonical, p3_found, p3_passages, p4_found, p4_nearest, p5_found, p5_terms)}
+def leaked_items(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the items they hold and the share of each item's words found."""
+    return leaks.leaked(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold at least half of an item's passage."""
+    return leaked_items(spark, d).select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """Every leaked item with the number of documents that hold it and the largest share found."""
+    return leaked_items(spark, d).groupBy(F.col("item").alias("item_id")).agg(F.count("*").alias("documents"), F.round(F.max("covered"), 6).alias("largest_share"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_canonical, p3_found, p3_passages, p4_found, p4_nearest, p5_found, p5_terms, p7_found, p7_items)}
 
 _TERMS = """
 with tweets as (select tweet_id, any_value(text) as text from raw_tweets where tweet_id is not null group by tweet_id),
