@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartoweave.llm import canonical, clusters, language, leaks, neighbours, terms
+from cartoweave.llm import canonical, clusters, language, leaks, neighbours, subjects, terms
 from cartoweave.session import materialise, table
 
 MAP_LOW, MAP_HIGH, MAP_STEP, MAP_LEAST = -104.0, 56.0, 0.15, 5
@@ -125,7 +125,22 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(spark, d).groupBy(F.col("item").alias("item_id")).agg(F.count("*").alias("documents"), F.round(F.max("covered"), 6).alias("largest_share"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_canonical, p3_found, p3_passages, p4_found, p4_nearest, p5_found, p5_terms, p7_found, p7_items)}
+def subjects_of_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with their subjects and posteriors."""
+    return subjects.document_subjects(table(spark, d, "documents"), "doc_id", "text", "lang", table(spark, d, "subject_examples"), "text", "subject", table(spark, d, "subjects"), "subject")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """The subjects each document deals with."""
+    return subjects_of_documents(spark, d).select(F.col("id").alias("doc_id"), "subject")
+
+
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and mean posterior of each subject."""
+    return subjects_of_documents(spark, d).groupBy("subject").agg(F.count("*").alias("documents"), F.round(F.avg("posterior"), 4).alias("mean_posterior"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_canonical, p3_found, p3_passages, p4_found, p4_nearest, p5_found, p5_terms, p7_found, p7_items, p9_found, p9_composition)}
 
 _TERMS = """
 with tweets as (select tweet_id, any_value(text) as text from raw_tweets where tweet_id is not null group by tweet_id),
