@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartoweave.llm import canonical, clusters, language, leaks, neighbours, subjects, terms
+from cartoweave.llm import canonical, clusters, language, leaks, mixing, neighbours, subjects, terms
 from cartoweave.session import materialise, table
 
 MAP_LOW, MAP_HIGH, MAP_STEP, MAP_LEAST = -104.0, 56.0, 0.15, 5
@@ -125,6 +125,20 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(spark, d).groupBy(F.col("item").alias("item_id")).agg(F.count("*").alias("documents"), F.round(F.max("covered"), 6).alias("largest_share"))
 
 
+def _mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), "doc_id", "text", "source", table(spark, d, "mix_targets"))
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """Every appearance of a document in the mixture with the target shares."""
+    return _mixture(spark, d).withColumnRenamed("id", "doc_id")
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share, tokens and repetitions of every source."""
+    return mixing.report(_mixture(spark, d), table(spark, d, "mix_targets"))
+
+
 def subjects_of_documents(spark: SparkSession, d: str) -> DataFrame:
     """Documents with their subjects and posteriors."""
     return subjects.document_subjects(table(spark, d, "documents"), "doc_id", "text", "lang", table(spark, d, "subject_examples"), "text", "subject", table(spark, d, "subjects"), "subject")
@@ -140,7 +154,7 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
     return subjects_of_documents(spark, d).groupBy("subject").agg(F.count("*").alias("documents"), F.round(F.avg("posterior"), 4).alias("mean_posterior"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_canonical, p3_found, p3_passages, p4_found, p4_nearest, p5_found, p5_terms, p7_found, p7_items, p9_found, p9_composition)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_canonical, p3_found, p3_passages, p4_found, p4_nearest, p5_found, p5_terms, p7_found, p7_items, p8_mixture, p8_report, p9_found, p9_composition)}
 
 _TERMS = """
 with tweets as (select tweet_id, any_value(text) as text from raw_tweets where tweet_id is not null group by tweet_id),
