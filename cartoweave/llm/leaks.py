@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartoweave.llm.sums import matrix_sum
 from cartoweave.llm.words import Words, words_of
 
 BUCKETS, RANK, OVERSAMPLE = 4096, 128, 16
@@ -64,47 +65,21 @@ def passage_frequencies(texts: DataFrame, col: str) -> tuple[np.ndarray, int]:
     """In how many passages of all rows each bucket occurs, and the number of passages."""
     rows = texts.where(F.col(col).isNotNull()).select(F.col(col).alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(BUCKETS, np.int64), 0
-        for b in batches:
-            w = words_of(b.column("text"))
-            bucket, sizes = _buckets(w), np.bincount(w.row, minlength=w.rows)
-            for lo, hi in _chunks(sizes):
-                at = sizes[:lo].sum()
-                row, a, e = _windows(sizes[lo:hi])
-                passage = np.repeat(np.arange(len(row)), e - a)
-                word = np.arange(len(passage)) - np.repeat(np.cumsum(e - a) - (e - a), e - a) + np.repeat(a, e - a)
-                df += np.bincount(np.unique(passage * BUCKETS + bucket[at + word]) % BUCKETS, minlength=BUCKETS)
-                n += len(row)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS + 1, dtype=np.int32)), pa.array(np.r_[df, n])], ["bucket", "n"])
-
-    out = np.zeros(BUCKETS + 1, np.int64)
-    for bucket, n in rows.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect():
-        out[bucket] = n
+    def make(b: pa.RecordBatch, total: np.ndarray) -> None:
+        w = words_of(b.column("text"))
+        bucket, sizes = _buckets(w), np.bincount(w.row, minlength=w.rows)
+        for lo, hi in _chunks(sizes):
+            at = sizes[:lo].sum()
+            row, a, e = _windows(sizes[lo:hi])
+            passage = np.repeat(np.arange(len(row)), e - a)
+            word = np.arange(len(passage)) - np.repeat(np.cumsum(e - a) - (e - a), e - a) + np.repeat(a, e - a)
+            total[:-1, 0] += np.bincount(np.unique(passage * BUCKETS + bucket[at + word]) % BUCKETS, minlength=BUCKETS)
+            total[-1, 0] += len(row)
+
+    out = matrix_sum(rows, make, BUCKETS + 1, 1)[:, 0]
     return out[:-1], int(out[-1])
 
 
-def _matrix_sum(rows: DataFrame, make, width: int) -> np.ndarray:  # noqa: ANN001
-    """Sum over all tasks of (BUCKETS x width) matrices, added on the executors in blocks of 64 rows."""
-    step = 64
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((BUCKETS, width), np.float32)
-        for b in batches:
-            make(b.column("text"), total)
-        blocks = range(0, BUCKETS, step)
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(blocks, np.int32)), pa.array([total[i : i + step].tobytes() for i in blocks], pa.binary())], ["block", "m"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(m, np.float32).astype(np.float64) for m in table.column("m").to_pylist())
-        return pa.table({"block": table.column("block")[:1].cast(pa.int32()), "m": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
-
-    out = np.zeros((BUCKETS, width))
-    for block, m in rows.mapInArrow(run, "block int, m binary").groupBy("block").applyInArrow(add, "block int, m binary").collect():
-        out[block : block + step] = np.frombuffer(bytes(m), np.float32).reshape(-1, width)
-    return out
-
-
 def _tfidf_product(texts: pa.Array, idf: np.ndarray, basis: np.ndarray, total: np.ndarray) -> None:
     """total += A'A basis for the TF-IDF passages A of the texts."""
     w = words_of(texts)
@@ -150,7 +125,7 @@ def fit_space(documents: DataFrame, id_col: str, text_col: str, items: pa.Array,
     basis = np.random.default_rng(seed).standard_normal((BUCKETS, rank + OVERSAMPLE)) / np.sqrt(BUCKETS)
     for _ in range(2):
         current = basis
-        total = _matrix_sum(rows, lambda texts, into, current=current: _tfidf_product(texts, idf, current, into), basis.shape[1])
+        total = matrix_sum(rows, lambda b, into, current=current: _tfidf_product(b.column("text"), idf, current, into), BUCKETS, basis.shape[1])
         own = np.zeros_like(total, np.float32)
         _tfidf_product(items, idf, current, own)
         basis, _ = np.linalg.qr(total + own * max(1.0, np.linalg.norm(total) / max(1e-9, np.linalg.norm(own))))

@@ -73,7 +73,8 @@ class Words:
 def words_of(texts: pa.Array, skip_marked: bool = True, line_break: bool = True) -> Words:
     """The words of canonicalised ``texts``; null and empty texts have none.
 
-    ``skip_marked`` leaves out chunks that hold ``@``, ``#``, ``://`` or are escaped marks such as ``&amp;``.
+    ``skip_marked`` leaves out chunks that hold ``@``, ``#``, ``://``, are escaped marks such as ``&amp;`` or stand in angle
+    brackets (speakers, tags), and "RT" as the first word.
     """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -103,6 +104,10 @@ def words_of(texts: pa.Array, skip_marked: bool = True, line_break: bool = True)
         amp[chunk[raw == 0x26]] = True
         semi[chunk[raw == 0x3B]] = True
         bad |= amp & semi
+        opened, closed = np.zeros_like(bad), np.zeros_like(bad)
+        opened[chunk[raw == 0x3C]] = True
+        closed[chunk[raw == 0x3E]] = True
+        bad |= opened & closed
         is_letter = is_letter & ~bad[chunk]
         inner &= ~bad[chunk]
     inside = is_letter | inner
