@@ -7,6 +7,7 @@ functions then work on bytes. Null gives null everywhere; the empty text gives t
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,6 +25,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row, however often a lambda inside uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def byte_view(c: Column | str) -> Column:
     """One character per UTF-8 byte."""
     return F.decode(F.encode(_col(c), "UTF-8"), "ISO-8859-1")
@@ -63,10 +69,13 @@ def get_domain(url: Column | str) -> Column:
 
 def get_domains(url: Column | str) -> Column:
     """the suffixes of at least two labels of the host, shortest first; empty without a host."""
-    labels = host(url)
-    n = F.size(labels)
-    made = F.transform(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda i: F.concat(F.lit("http://"), F.array_join(F.slice(labels, -i, i), ".")))
-    return F.when(n >= 2, made).otherwise(F.array().cast("array<string>"))
+
+    def suffixes(labels: Column) -> Column:
+        n = F.size(labels)
+        made = F.transform(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda i: F.concat(F.lit("http://"), F.array_join(F.slice(labels, -i, i), ".")))
+        return F.when(n >= 2, made).otherwise(F.array().cast("array<string>"))
+
+    return let(host(url), suffixes)
 
 
 def collapse_repeats(c: Column | str) -> Column:
@@ -96,18 +105,19 @@ def sanitise_string_lc(c: Column | str) -> Column:
     return collapse_repeats(F.replace(F.replace(s, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")))
 
 
-def _trigrams(padded: Column, size: Column) -> Column:
-    made = F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.substring(padded, i, F.lit(3)))
-    return F.when(size > 0, made).otherwise(F.array().cast("array<string>"))
+def _trigrams(padded: Column) -> Column:
+    """Every run of three characters; the characters are cut up once, so the work is linear in the text."""
+    three = lambda a: F.when(F.size(a) > 2, F.transform(F.sequence(F.lit(0), F.greatest(F.size(a) - 3, F.lit(0))), lambda i: F.concat(a[i], a[i + 1], a[i + 2]))).otherwise(F.array().cast("array<string>"))
+    return let(F.filter(F.split(padded, ""), lambda x: x != ""), three)
 
 
 def _joined_trigrams(s: Column) -> Column:
-    return _trigrams(F.concat(F.lit(" "), s, F.lit(" ")), F.length(s))
+    return _trigrams(F.when(F.length(s) > 0, F.concat(F.lit(" "), s, F.lit(" "))).when(s.isNotNull(), ""))
 
 
 def _word_trigrams(s: Column) -> Column:
     words = F.filter(F.split(s, PUNCTUATION), lambda x: x != "")
-    return F.flatten(F.transform(words, lambda w: _trigrams(F.concat(F.lit("<"), w, F.lit(">")), F.length(w))))
+    return F.flatten(F.transform(words, lambda w: _trigrams(F.concat(F.lit("<"), w, F.lit(">")))))
 
 
 def _depunctuated(s: Column) -> Column:

@@ -6,10 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Schema of raw tweets with nested entities.
-ENTITIES = T.StructType.fromDDL("user_mentions array<struct<screen_name:string>>, hashtags array<struct<text:string>>, urls array<struct<url:string,expanded_url:string>>")
-RAW_TWEET = T.StructType.fromDDL("_id string, doc_type string, provider_namespace string, username string, screen_name string, text string").add("entities", ENTITIES)
-HOSE_LINE = T.StructType.fromDDL("id long, text string, screen_name string, lang string, created_at string, followers_count long, friend_count long, statuses_count long, timezone string, location string, profile_image_url string").add("entities", ENTITIES)
+
+
+def _fields(kind: T.DataType, *names: str) -> list[T.StructField]:
+    return [T.StructField(n, kind) for n in names]
+
+
+def _objects(*names: str) -> T.ArrayType:
+    return T.ArrayType(T.StructType(_fields(T.StringType(), *names)))
+
+
+#: Schemas of nested entities, raw tweets and lines of the hose.
+ENTITIES = T.StructType([T.StructField("user_mentions", _objects("screen_name")), T.StructField("hashtags", _objects("text")), T.StructField("urls", _objects("url", "expanded_url"))])
+RAW_TWEET = T.StructType([*_fields(T.StringType(), "_id", "doc_type", "provider_namespace", "username", "screen_name", "text"), T.StructField("entities", ENTITIES)])
+HOSE_LINE = T.StructType([*_fields(T.LongType(), "id", "followers_count", "friend_count", "statuses_count"), *_fields(T.StringType(), "text", "screen_name", "lang", "created_at", "timezone", "location", "profile_image_url"), T.StructField("entities", ENTITIES)])
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType = HOSE_LINE, recursive: bool = False, pattern: str | None = None) -> DataFrame:
