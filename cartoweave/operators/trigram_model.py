@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartoweave.functions.text import byte_hex, trigrams
+from cartoweave.session import spread
 
 ALL_TRIGRAMS = 256**3
 OFFSET, OTHER_OFFSET = 0.5, 1.0
@@ -20,7 +21,7 @@ BROADCAST_ROWS = 200_000
 
 def trigram_counts(texts: DataFrame, text_col: str, mode: str = "word_aware_lc") -> DataFrame:
     """(tg, n) over all texts."""
-    each = texts.select(F.explode(trigrams(text_col, mode)).alias("t"))
+    each = spread(texts.select(text_col)).select(F.explode(trigrams(text_col, mode)).alias("t"))
     return each.groupBy(byte_hex("t").alias("tg")).agg(F.count("*").alias("n"))
 
 
@@ -68,7 +69,7 @@ def scored(texts: DataFrame, id_cols: list[str], text_col: str, model: DataFrame
     """(id_cols, score): mean evidence per trigram; 0 for texts without any, which keep their row."""
     table, default = evidence(model, other)
     small = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    each = texts.select(*id_cols, F.explode_outer(trigrams(text_col, mode)).alias("t")).withColumn("tg", byte_hex("t"))
+    each = spread(texts.select(*id_cols, text_col)).select(*id_cols, F.explode_outer(trigrams(text_col, mode)).alias("t")).withColumn("tg", byte_hex("t"))
     hit = each.join(F.broadcast(table) if small else table, "tg", "left")
     gain = F.when(F.col("tg").isNotNull(), F.coalesce("evidence", F.lit(default)))
     return hit.groupBy(*id_cols).agg(F.coalesce(F.avg(gain), F.lit(0.0)).alias("score"))

@@ -354,10 +354,10 @@ def g04_gate(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(density_query("\\ injunction", _named(spark, d), WHOLE, KERNEL))
 
 
-@query(_GRIDS + f" select cast(c.gx as int) as gx, cast(c.gy as int) as gy, round(pow(1.01, coalesce(a.v, 0)), 6) as v from (select x.r as gx, y.r as gy from range({WIDTH}) x(r), range({HEIGHT}) y(r)) c left join a on a.gx = c.gx and a.gy = c.gy")
+@query(_GRIDS + f" select cast(c.gx as int) as gx, cast(c.gy as int) as gy, round(ln(pow(1.01, coalesce(a.v, 0))), 6) as v from (select x.r as gx, y.r as gy from range({WIDTH}) x(r), range({HEIGHT}) y(r)) c left join a on a.gx = c.gx and a.gy = c.gy")
 def g04_exp(spark: SparkSession, d: str) -> DataFrame:
-    """1.01 to the power of a density, over the whole picture."""
-    return _rounded(density_query("^ injunction", _named(spark, d), WHOLE, KERNEL))
+    """1.01 to the power of a density, over the whole picture, and its logarithm again."""
+    return _rounded(D.unary(density_query("^ injunction", _named(spark, d), WHOLE, KERNEL), "~", WIDTH, HEIGHT))
 
 
 @query(_GRIDS + " select gx, gy, round(sqrt(v), 6) as v from a")
