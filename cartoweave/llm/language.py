@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartoweave.llm.words import Words, mix, words_of
+from cartoweave.session import spread
 
 LANGUAGES = ("en", "es", "de", "fr", "pt", "id", "nl", "ru")
 BUCKETS = 1 << 17
@@ -208,7 +209,7 @@ def language_passages(df: DataFrame, id_col: str, text_col: str, label_col: str
                 ["id", "seg_no", "lang", "confidence", "words", "start", "end", "label", "several"],
             )
 
-    return rows.mapInArrow(run, SCHEMA)
+    return spread(rows).mapInArrow(run, SCHEMA)
 
 
 def fit_from(df: DataFrame, id_col: str, text_col: str, label_col: str, rows: int = SAMPLE_ROWS, languages: tuple[str, ...] = LANGUAGES) -> LanguageModel:

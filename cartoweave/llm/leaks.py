@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from cartoweave.llm.sums import matrix_sum
 from cartoweave.llm.words import Words, words_of
+from cartoweave.session import spread
 
 BUCKETS, RANK, OVERSAMPLE = 4096, 128, 16
 PASSAGE, STRIDE = 28, 7
@@ -63,7 +64,7 @@ def _chunks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def passage_frequencies(texts: DataFrame, col: str) -> tuple[np.ndarray, int]:
     """In how many passages of all rows each bucket occurs, and the number of passages."""
-    rows = texts.where(F.col(col).isNotNull()).select(F.col(col).alias("text"))
+    rows = spread(texts.where(F.col(col).isNotNull()).select(F.col(col).alias("text")))
 
     def make(b: pa.RecordBatch, total: np.ndarray) -> None:
         w = words_of(b.column("text"))
@@ -173,10 +174,10 @@ def leaked(documents: DataFrame, id_col: str, text_col: str, items: DataFrame, i
     ids, texts = np.array(taken.column("i").to_pylist(), np.int64), item_passages(taken.column("t").to_pylist())
     rows = documents.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "id long, item long, covered double"
-    if not len(ids):
+    w = words_of(texts)
+    if not len(w.row):
         return rows.select("id", F.lit(0).cast("long").alias("item"), F.lit(0.0).alias("covered")).where("false")
     space = fit_space(documents, id_col, text_col, texts)
-    w = words_of(texts)
     sizes = np.bincount(w.row, minlength=len(ids))
     starts = np.cumsum(sizes) - sizes
     row, a, e = _windows(sizes)
@@ -216,6 +217,6 @@ def leaked(documents: DataFrame, id_col: str, text_col: str, items: DataFrame, i
                 at = pa.array([f[0] for f in found], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column("id").take(at), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64())], ["id", "item", "covered"])
 
-        part = rows.mapInArrow(run, schema)
+        part = spread(rows).mapInArrow(run, schema)
         made = part if made is None else made.union(part)
     return made.groupBy("id", "item").agg(F.max("covered").alias("covered"))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from cartoweave.session import materialise
+from cartoweave.session import materialise, spread
 
 #: Documents in a block, about; and characters that are tokenised at once at most.
 BLOCK_ROWS, PIECE = 20_000, 4_096
@@ -130,6 +130,7 @@ def largest_total(targets: dict[str, float], tokens: dict[str, int], repeats: di
 
 def counted(documents: DataFrame, id_col: str, text_col: str, source_col: str, path: str | None = None) -> DataFrame:
     """(id, source, tokens) of every document that has an id, a source and at least one token; repeated rows count once."""
+    documents = spread(documents.select(id_col, text_col, source_col))
     rows = documents.where(F.col(id_col).isNotNull() & F.col(source_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), source_name(source_col).alias("source"), token_count(text_col, path).alias("tokens"))
     return rows.groupBy("id").agg(F.min(F.struct("source", "tokens")).alias("x")).select("id", "x.source", "x.tokens").where("tokens > 0")
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from cartoweave.llm.language import LanguageModel, fit_from
 from cartoweave.llm.sums import matrix_sum
 from cartoweave.llm.words import Words, words_of
-from cartoweave.session import materialise
+from cartoweave.session import materialise, spread
 
 LANGUAGES = ("en", "es", "de")
 BUCKETS, WINDOW = 1 << 16, 16
@@ -91,7 +91,7 @@ def corpus_words(documents: DataFrame, id_col: str, text_col: str, model: Langua
             full = pa.array(np.diff(ends) > 0)
             yield pa.RecordBatch.from_arrays([b.column("id").filter(full), pa.array(lang, pa.int32()).filter(full), words.filter(full)], ["id", "language", "words"])
 
-    return rows.mapInArrow(run, "id long, language int, words array<int>")
+    return spread(rows).mapInArrow(run, "id long, language int, words array<int>")
 
 
 def _batch(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -213,7 +213,7 @@ def vocabulary(documents: DataFrame, text_col: str, model: LanguageModel, bound:
             first = pair[at]
             yield pa.RecordBatch.from_arrays([pa.array(lang[first], pa.int32()), pa.array([w.text(i) for i in first], pa.string()), pa.array(n, pa.int64())], ["language", "word", "n"])
 
-    counted = rows.mapInArrow(run, "language int, word string, n long").groupBy("language", "word").agg(F.sum("n").alias("n"))
+    counted = spread(rows).mapInArrow(run, "language int, word string, n long").groupBy("language", "word").agg(F.sum("n").alias("n"))
     return [(r[0], r[1]) for r in counted.orderBy(F.desc("n"), "language", "word").limit(bound).collect()]
 
 
@@ -237,7 +237,7 @@ def _kindred(words: list[tuple[int, str]], weights: np.ndarray, corpus: np.ndarr
     return seeds
 
 
-def spread(own: np.ndarray, a: int, b: int, dense: float) -> float:
+def run_through(own: np.ndarray, a: int, b: int, dense: float) -> float:
     """Density of own words at places [a, b) relative to ``dense``; 0 where they are fewer than two or leave a long gap."""
     at = own[(own >= a) & (own < b)]
     size = b - a
@@ -262,7 +262,7 @@ def _judged(lang: np.ndarray, sizes: np.ndarray, bucket: np.ndarray, weights: np
                 continue
             places = at[ends[i] - many[i] : ends[i]] - starts[i]
             n, half = int(sizes[i]), (int(sizes[i]) + 1) // 2
-            yield i, s, max(spread(places, 0, half, DENSE_HALF), spread(places, half, n, DENSE_HALF), spread(places, 0, n, DENSE_WHOLE))
+            yield i, s, max(run_through(places, 0, half, DENSE_HALF), run_through(places, half, n, DENSE_HALF), run_through(places, 0, n, DENSE_WHOLE))
 
 
 def fit_subjects(documents: DataFrame, words: DataFrame, text_col: str, examples: DataFrame, text: str, label: str, subjects: tuple[str, ...], language: LanguageModel, rounds: tuple[int, int, int] = (2, 2, 2)) -> SubjectModel:
