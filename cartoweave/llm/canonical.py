@@ -105,7 +105,10 @@ def tables() -> dict[str, np.ndarray]:
 
 
 def _plain(length: np.ndarray, first: np.ndarray) -> np.ndarray:
-    return (length == 1) & (first == np.arange(TABLE_SIZE))
+    """Code points that stay as they are next to any other one without a combining rank."""
+    plain = (length == 1) & (first == np.arange(TABLE_SIZE))
+    plain[HANGUL[2] : HANGUL[4] + HANGUL[5]] = False
+    return plain
 
 
 def _compose_runs(cps: np.ndarray, owner: np.ndarray, t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +184,7 @@ def canonical_array(column: pa.Array | pa.ChunkedArray) -> pa.Array:
         return pa.array([], pa.string())
     t = tables()
     cps, offsets = _code_points(column)
-    if not len(cps) or (t["plain"][cps].all() and not t["rank"][cps].any()):
+    if not len(cps) or (t["plain"][cps].all() and not t["rank"][cps].any() and not (cps == 0xFFFD).any()):
         return column.cast(pa.string())
     owner = np.repeat(np.arange(n), np.diff(offsets))
     sizes = t["length"][cps]

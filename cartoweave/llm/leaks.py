@@ -6,8 +6,8 @@
    on a bounded, documented sample of documents together with all items, and every document is searched in it.
 3. Every passage of every document is compared with every passage of every item by cosine, in blocks of one matrix product;
    the items are broadcast in blocks of a checked size. Pairs of a document and an item above ``cosine`` are candidates.
-4. A candidate counts when an ordered alignment of runs of at least ``run`` equal words (a longest common subsequence over
-   these runs only, so that shared vocabulary adds nothing) covers at least ``share`` of the item's words.
+4. A candidate counts when an ordered alignment in pieces (a longest common subsequence over runs of equal words that lie close
+   together, so that shared vocabulary adds nothing) covers at least ``share`` of the item's words.
 
 Nothing is shuffled in the search: each document is decided where it is read. An item's instruction before its first colon
 is left out. Items have no separate answers here, so the check of an answer is the check of the passage.
@@ -15,7 +15,6 @@ is left out. Items have no separate answers here, so the check of an answer is t
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,14 +24,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartoweave.llm.sums import matrix_sum
-from cartoweave.llm.words import Words, words_of
+from cartoweave.llm.words import Words, mix, words_of
 from cartoweave.session import spread
 
 BUCKETS, RANK, OVERSAMPLE = 4096, 128, 16
 PASSAGE, STRIDE = 28, 7
 #: Documents of the sample the latent space is fitted on.
 SAMPLE_DOCUMENTS = 6_000
-COSINE, RUN, SHARE = 0.68, 3, 0.42
+COSINE, RUN, SHARE = 0.6, 3, 0.42
+#: The largest weight of a word: slips of the pen are rare and would else outweigh the passage around them.
+IDF_MOST = 4.0
+#: Words between two runs of one piece, and the least words of a piece.
+GAP, PIECE = 8, 6
 #: Words of documents that are scored at once, and item passages in one matrix product and one broadcast.
 WORDS_AT_ONCE, ITEM_PASSAGES_AT_ONCE = 60_000, 8_192
 
@@ -121,7 +124,7 @@ class LatentSpace:
 def fit_space(documents: DataFrame, id_col: str, text_col: str, items: pa.Array, rank: int = RANK, sample: int = SAMPLE_DOCUMENTS, seed: int = 11) -> LatentSpace:
     """Randomised SVD (one power step) of the TF-IDF passages of the sample and of all items; frequencies over all documents."""
     df, n = passage_frequencies(documents, text_col)
-    idf = np.log((n + 1) / (df + 1)) + 0.1
+    idf = np.minimum(np.log((n + 1) / (df + 1)) + 0.1, IDF_MOST)
     rows = documents.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h")).orderBy("h", "text").limit(sample).select("text").repartition(8)
     basis = np.random.default_rng(seed).standard_normal((BUCKETS, rank + OVERSAMPLE)) / np.sqrt(BUCKETS)
     for _ in range(2):
@@ -133,29 +136,66 @@ def fit_space(documents: DataFrame, id_col: str, text_col: str, items: pa.Array,
     return LatentSpace(idf, basis[:, :rank])
 
 
-def aligned_words(item: np.ndarray, text: np.ndarray, run: int = RUN) -> int:
-    """How many words of ``item`` an ordered alignment of runs of at least ``run`` equal words covers in ``text``."""
-    same = np.zeros((len(item) + 1, len(text) + 1), bool)
-    same[:-1, :-1] = item[:, None] == text[None]
-    size = np.zeros(same.shape, np.int32)
-    for i in range(len(item)):
-        size[i, 0] = same[i, 0]
-        if i:
-            size[i, 1:] = np.where(same[i, 1:], size[i - 1, :-1] + 1, 0)
-        else:
-            size[0] = same[0]
-    for i in range(len(item) - 1, -1, -1):
-        size[i, :-1] = np.where(same[i + 1, 1:] & same[i, :-1], size[i + 1, 1:], size[i, :-1])
-    i, j = np.nonzero(size >= run)
-    order = np.lexsort((-j, i))
-    tails: list[int] = []
-    for x in j[order].tolist():
-        p = bisect_left(tails, x)
-        if p == len(tails):
-            tails.append(x)
-        else:
-            tails[p] = x
-    return len(tails)
+def _runs(item: np.ndarray, text: np.ndarray, run: int) -> list[tuple[int, int, int]]:
+    """(place in the text, place in the item, length) of all longest runs of at least ``run`` equal words, by place."""
+    order = np.argsort(item, kind="stable")
+    low, high = np.searchsorted(item[order], text, "left"), np.searchsorted(item[order], text, "right")
+    many = high - low
+    j = np.repeat(np.arange(len(text)), many)
+    i = order[np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+    by = np.lexsort((j, j - i))
+    i, j = i[by], j[by]
+    if not len(i):
+        return []
+    first = np.flatnonzero(np.r_[True, (np.diff(j - i) != 0) | (np.diff(j) != 1)])
+    size = np.diff(np.r_[first, len(i)])
+    long = size >= run
+    found = sorted(zip(j[first[long]].tolist(), i[first[long]].tolist(), size[long].tolist(), strict=True))
+    return found
+
+
+def aligned_words(item: np.ndarray, text: np.ndarray, run: int = RUN, gap: int = GAP, piece: int = PIECE) -> int:
+    """How many words of ``item`` the text holds in its order, in pieces.
+
+    Runs of at least ``run`` equal words that follow each other within ``gap`` words in both texts are one piece; pieces of at
+    least ``piece`` words (or half of a short item) count, and of these the best chain that keeps the order of both texts.
+    Single equal words, and short runs scattered over a long text, add nothing.
+    """
+    runs = _runs(item, text, run)
+    grown: list[tuple[int, int, int, int, int]] = []  # end in the text, end in the item, words, start in the text, start in the item
+    pieces = []
+    oldest = 0
+    for j, i, n in runs:
+        while oldest < len(grown) and runs[oldest][0] < j - gap - len(item):
+            oldest += 1
+        best = (j + n, i + n, n, j, i)
+        for ej, ei, words, sj, si in grown[oldest:]:
+            over = max(0, ej - j, ei - i)
+            if over < n and j - ej <= gap and i - ei <= gap and words + n - over > best[2]:
+                best = (j + n, i + n, words + n - over, sj, si)
+        grown.append(best)
+    least = min(piece, max(run, len(item) // 2))
+    pieces = sorted((p for p in grown if p[2] >= least), key=lambda p: p[0])
+    chain: list[int] = []
+    for k, (_, _, words, sj, si) in enumerate(pieces):
+        before = [chain[m] for m in range(k) if pieces[m][0] <= sj and pieces[m][1] <= si]
+        chain.append(words + max(before, default=0))
+    return max(chain, default=0)
+
+
+def _triples(key: np.ndarray) -> np.ndarray:
+    """A key of every word and the two after it."""
+    if len(key) < 3:
+        return np.zeros(0, np.uint64)
+    return mix(key[:-2] + mix(key[1:-1] + mix(key[2:])))
+
+
+def _may_hold(own: np.ndarray, text: np.ndarray, words: float) -> bool:
+    """Whether enough triples are shared for ``words`` aligned words: every three words of runs hold at least one triple."""
+    if not len(own):
+        return True
+    at = np.minimum(np.searchsorted(own, text), len(own) - 1)
+    return 3 * np.count_nonzero(own[at] == text) >= words
 
 
 def item_passages(texts: list[str | None]) -> pa.Array:
@@ -188,6 +228,7 @@ def leaked(documents: DataFrame, id_col: str, text_col: str, items: DataFrame, i
         block = slice(lo, lo + ITEM_PASSAGES_AT_ONCE)
         own = np.unique(row[block])
         data = {"weighted": weighted, "latent": latent[block], "of": np.searchsorted(own, row[block]), "ids": ids[own], "keys": [w.key[starts[i] : starts[i] + sizes[i]] for i in own]}
+        data["triples"] = [np.sort(_triples(k)) for k in data["keys"]]
         shared = spark.sparkContext.broadcast(data)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
@@ -198,6 +239,7 @@ def leaked(documents: DataFrame, id_col: str, text_col: str, items: DataFrame, i
                 w = words_of(b.column("text"))
                 bucket, sizes = _buckets(w), np.bincount(w.row, minlength=w.rows)
                 ends = np.cumsum(sizes)
+                triples = _triples(w.key)
                 for lo, hi in _chunks(sizes):
                     at = ends[lo] - sizes[lo]
                     row, a, e = _windows(sizes[lo:hi])
@@ -211,6 +253,8 @@ def leaked(documents: DataFrame, id_col: str, text_col: str, items: DataFrame, i
                     for p, i in zip(*np.nonzero(near >= cosine), strict=True):
                         r = lo + row[firsts[p]]
                         key = x["keys"][i]
+                        if not _may_hold(x["triples"][i], triples[ends[r] - sizes[r] : max(ends[r] - sizes[r], ends[r] - 2)], share * len(key)):
+                            continue
                         covered = aligned_words(key, w.key[ends[r] - sizes[r] : ends[r]]) / len(key)
                         if covered >= share:
                             found.append((r, x["ids"][i], covered))
