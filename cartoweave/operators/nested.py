@@ -94,7 +94,8 @@ def triples(text: str | None, layout: Layout) -> Iterator[Triple]:
 
 def ancestor(path: str) -> str:
     """The last repeated ancestor of a path: up to its last ``[]`` or ``{}``; "" above all lists."""
-    return path[: max(path.rfind("[]"), path.rfind("{}"), -2) + 2]
+    last = max(path.rfind("[]"), path.rfind("{}"))
+    return path[: last + 2] if last >= 0 else ""
 
 
 def json_triples(df: DataFrame, id_col: str, json_col: str, layout: Layout) -> DataFrame:

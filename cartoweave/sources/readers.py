@@ -22,23 +22,31 @@ RAW_TWEET = T.StructType([*_fields(T.StringType(), "_id", "doc_type", "provider_
 HOSE_LINE = T.StructType([*_fields(T.LongType(), "id", "followers_count", "friend_count", "statuses_count"), *_fields(T.StringType(), "text", "screen_name", "lang", "created_at", "timezone", "location", "profile_image_url"), T.StructField("entities", ENTITIES)])
 
 
+def _text(spark: SparkSession, path: str, recursive: bool = False, pattern: str | None = None) -> DataFrame:
+    read = spark.read.option("recursiveFileLookup", str(recursive).lower())
+    return (read.option("pathGlobFilter", pattern) if pattern else read).text(path)
+
+
+def _parsed(lines: DataFrame, schema: T.StructType, parse) -> DataFrame:  # noqa: ANN001
+    """The columns of lines that parse as a whole; the mark of a bad line is a column of the parser's result."""
+    full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    made = lines.select(parse(F.col("value"), full).alias("r"))
+    return made.where("r is not null and r._corrupt_record is null").select(*[F.col(f"r.`{f.name}`") for f in schema])
+
+
 def json_lines(spark: SparkSession, path: str, schema: T.StructType = HOSE_LINE, recursive: bool = False, pattern: str | None = None) -> DataFrame:
     """One object per line; ``recursive`` walks a tree, ``pattern`` keeps file names such as 'drink-the-hose*'.
 
     Lines that are no JSON leave.
     """
-    full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    read = spark.read.schema(full).option("mode", "PERMISSIVE").option("recursiveFileLookup", str(recursive).lower())
-    if pattern:
-        read = read.option("pathGlobFilter", pattern)
-    return read.json(path).where("_corrupt_record is null").drop("_corrupt_record")
+    return _parsed(_text(spark, path, recursive, pattern), schema, lambda c, s: F.from_json(c, s, {"mode": "PERMISSIVE"}))
 
 
 def quoted_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """No header, quotes are ', doubled inside a field; rows of another width leave."""
-    full = T.StructType.fromDDL(schema).add("_corrupt_record", T.StringType())
-    rows = spark.read.schema(full).options(sep=",", quote="'", escape="'", encoding="UTF-8", mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record").csv(path)
-    return rows.where("_corrupt_record is null").drop("_corrupt_record")
+    """A line for each row, no header, quotes are ', doubled inside a field; rows of another width leave."""
+    wanted = T.StructType.fromDDL(schema)
+    options = {"sep": ",", "quote": "'", "escape": "'", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    return _parsed(_text(spark, path), wanted, lambda c, s: F.from_csv(c, s.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options))
 
 
 def header_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
