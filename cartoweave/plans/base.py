@@ -9,14 +9,14 @@ from cartoweave.functions.text import simple_words, user_key
 from cartoweave.session import table
 
 
-def tweets(spark: SparkSession, d: str) -> DataFrame:
-    """Tweets, repeated rows once."""
-    return table(spark, d, "raw_tweets").select("_id", "tweet_id", "doc_type", "provider_namespace", "username", "text", "lang", "created_at").distinct()
+def tweets(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    """The id and the named columns of tweets, repeated rows once; only these columns are read and shuffled."""
+    return table(spark, d, "raw_tweets").select("tweet_id", *cols).distinct()
 
 
 def tweet_tokens(spark: SparkSession, d: str) -> DataFrame:
     """(user, token) stream of the tweets' simple words."""
-    return tweets(spark, d).where("username is not null and text is not null").select(user_key("username").alias("user"), F.explode(simple_words(F.lower("text"))).alias("token"))
+    return tweets(spark, d, "username", "text").where("username is not null and text is not null").select(user_key("username").alias("user"), F.explode(simple_words(F.lower("text"))).alias("token"))
 
 
 def word_counts(spark: SparkSession, d: str) -> DataFrame:

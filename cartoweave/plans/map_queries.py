@@ -41,13 +41,13 @@ def a01_doc_types(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {B.TWEETS} select username, count(*) as n from tweets where doc_type = 'raw_tweet' group by username")
 def a02_docs_per_user(spark: SparkSession, d: str) -> DataFrame:
     """Raw tweets per user."""
-    return B.tweets(spark, d).where("doc_type = 'raw_tweet'").groupBy("username").agg(F.count("*").alias("n"))
+    return B.tweets(spark, d, "doc_type", "username").where("doc_type = 'raw_tweet'").groupBy("username").agg(F.count("*").alias("n"))
 
 
 @query(f"with {B.TWEETS} select doc_type, count(*) as n from tweets group by doc_type")
 def rel_p01_dispatch(spark: SparkSession, d: str) -> DataFrame:
     """Tweets by checked type."""
-    return B.tweets(spark, d).select(V.checked_type().alias("doc_type")).groupBy("doc_type").agg(F.count("*").alias("n"))
+    return B.tweets(spark, d, "doc_type").select(V.checked_type().alias("doc_type")).groupBy("doc_type").agg(F.count("*").alias("n"))
 
 
 @query("select distinct cast(tweet_id as varchar) as key, username, tweet_id as id, 'twitter' as provider_namespace, text, entities, 'raw_tweet' as doc_type, 'true' as from_csharp from raw_tweets where doc_type = 'csharp_munged_tweet'")

@@ -54,7 +54,7 @@ def f02_domains(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def f03_strip_sanitize(spark: SparkSession, d: str) -> DataFrame:
     """F03 over all tweets."""
-    return B.tweets(spark, d).select("tweet_id", X.from_bytes(X.strip_sanitize_lc("text")).alias("plain"))
+    return B.tweets(spark, d, "text").select("tweet_id", X.from_bytes(X.strip_sanitize_lc("text")).alias("plain"))
 
 
 @query(f"select doc_id, array_to_string(list_filter(regexp_split_to_array(text, '{WS}'), lambda w: w <> '' and not starts_with(w, 'http') and w[1] not in ('#', '@') and w <> 'RT' and not regexp_matches(w, '^-?\\$?\\d+\\.?\\d*$')), ' ') as plain from documents")
@@ -100,13 +100,13 @@ def a03_term_freq(spark: SparkSession, d: str) -> DataFrame:
     """Word frequencies by user of the raw tweets."""
     from cartoweave.operators.counts import word_frequencies
 
-    return word_frequencies(B.tweets(spark, d).where("doc_type = 'raw_tweet'"), F.col("username"), "text")
+    return word_frequencies(B.tweets(spark, d, "doc_type", "username", "text").where("doc_type = 'raw_tweet'"), F.col("username"), "text")
 
 
 @query(_A03 + " select case when word[1] = '#' then 'tag' when word[1] = '@' then 'mention' else 'word' end as kind, count(*) as n from w where length(word) > 2 group by all")
 def f15_token_types(spark: SparkSession, d: str) -> DataFrame:
     """counted words by type."""
-    words = B.tweets(spark, d).where("doc_type = 'raw_tweet'").select(F.explode(X.counted_words("text")).alias("word"))
+    words = B.tweets(spark, d, "doc_type", "username", "text").where("doc_type = 'raw_tweet'").select(F.explode(X.counted_words("text")).alias("word"))
     return words.groupBy(X.token_type("word").alias("kind")).agg(F.count("*").alias("n"))
 
 
@@ -220,7 +220,7 @@ def rel_p11_partition_users(spark: SparkSession, d: str) -> DataFrame:
 @query("with " + B.TWEETS + ", per as (select username, count(*) as tweets from tweets where username is not null group by username), h as (select tweets, count(*) as users from per group by tweets) select t.tweets, coalesce(h.users, 0) as users from (select unnest(range(1, (select max(tweets) from per) + 1)) as tweets) t left join h using (tweets)")
 def a20_hist(spark: SparkSession, d: str) -> DataFrame:
     """Users by number of tweets."""
-    return M.tweets_per_user_histogram(B.tweets(spark, d).where("username is not null"), "username")
+    return M.tweets_per_user_histogram(B.tweets(spark, d, "username").where("username is not null"), "username")
 
 
 @query(_SCORES + " select doc_id, score, row_number() over (order by score, doc_id) as place from (select doc_id, round(score, 6) as score from scores)")
