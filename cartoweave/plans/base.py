@@ -65,8 +65,8 @@ TOKENS = TWEETS + ", tokens as (select \"user\", token from (select '@' || lower
 COUNTS = "wc as (select user_id as \"user\", word_id as token, cast(sum(count) as bigint) as count from (select distinct user_id, word_id, count from fake_word_vectors where user_id is not null and word_id is not null and count > 0) group by all)"
 PEOPLE = "people as (select distinct trained_as_id as \"user\", x_coord as x, y_coord as y from user_docs where doc_type = 'twuser' and trained_as_id is not null)"
 POSITIONED = COUNTS + ", " + PEOPLE + ", positioned as (select w.word as token, wc.\"user\", p.x, p.y, wc.count from wc join fake_words w on w.word_id = wc.token join people p on p.\"user\" = wc.\"user\")"
-ON_MAP = "x > -104 and x < 56 and y > -104 and y < 56"
-QUAD = "list_transform(range(14, -1, -1), lambda i: 2 * ((((trunc(-(y + 104) * 204.8)::bigint) & 32767) >> i) & 1) + ((trunc((x + 104) * 204.8)::bigint >> i) & 1))"
+ON_MAP = "isfinite(x) and isfinite(y) and x > -104 and x < 56 and y > -104 and y < 56"
+QUAD = "list_transform(range(14, -1, -1), lambda i: 2 * (((try_cast(trunc(-(y + 104) * 204.8) as bigint) & 32767) >> i) & 1) + ((try_cast(trunc((x + 104) * 204.8) as bigint) >> i) & 1))"
 REQUESTS = """requests as (select event_id as request_id, 'u' || user_id as username, event_id % 3 + 1 as page, event_id % 4 as priority, ts as request_time,
  case when event_type in ('view', 'click') then 'download_request' when event_type in ('purchase', 'error') then 'hash_request' else 'other' end as doc_type,
  case when event_id % 3 = 0 then ts + interval 30 second end as started_time, case when event_id % 5 = 0 or user_id % 4 = 0 then ts + interval 60 second end as completed_time,

@@ -68,10 +68,10 @@ def rel_p09_single_token(spark: SparkSession, d: str) -> DataFrame:
     return V.single_token(B.positioned(spark, d), "injunction").select("token", "x", "y", "count")
 
 
-@query(f"with {B.POSITIONED} select token, cast(sum(count) as bigint) as total from positioned where x > -80 and y < 0 and not isnan(x) group by token")
+@query(f"with {B.POSITIONED} select token, cast(sum(count) as bigint) as total from positioned where isfinite(x) and isfinite(y) and x > -80 and y < 0 group by token")
 def rel_p15_bounds(spark: SparkSession, d: str) -> DataFrame:
     """Token totals within bounds of which two are left open."""
-    rows = B.positioned(spark, d).where(Q.within("x", "y", x_min=-80, y_max=0) & ~F.isnan("x"))
+    rows = B.positioned(spark, d).where(Q.within("x", "y", x_min=-80, y_max=0) & ~F.isnan("x") & ~F.isnan("y"))
     return V.summed(rows, ["token"], "count", "total")
 
 
@@ -101,7 +101,7 @@ def a05_user_by_token(spark: SparkSession, d: str) -> DataFrame:
     return V.summed(_probable(spark, d), ["token", "user"], "p", "total").withColumn("total", F.round("total", 6))
 
 
-_SQUARES = _PROBABLE + ", sq as (select cast(floor(x + 0.5) as bigint) as x, cast(floor(y + 0.5) as bigint) as y, token, sum(p) as value from pr where x is not null and y is not null and not isnan(x) and not isnan(y) group by all)"
+_SQUARES = _PROBABLE + ", sq as (select try_cast(floor(x + 0.5) as bigint) as x, try_cast(floor(y + 0.5) as bigint) as y, token, sum(p) as value from pr where isfinite(x) and isfinite(y) group by all)"
 
 
 def _squares(spark: SparkSession, d: str) -> DataFrame:
@@ -153,7 +153,7 @@ def f19_decode(spark: SparkSession, d: str) -> DataFrame:
     return V.with_quadkey(B.people(spark, d)).select("user", Q.decode_point(Q.prefix("quadkey", 9)).alias("c")).select("user", "c.x", "c.y", "c.precision")
 
 
-@query(f"with {B.PEOPLE}, p as (select \"user\", cast(trunc((x + 104) * 204.8) as bigint) as xi, cast(trunc((y + 104) * 204.8) as bigint) as yi from people where {B.ON_MAP}) select \"user\", array_to_string(list_transform(range(14, -1, -1), lambda i: 2 * (((yi >> 1) >> i) & 1) + (((xi >> 1) >> i) & 1)), ',') as quadkey from p")
+@query(f"with {B.PEOPLE}, p as (select \"user\", try_cast(trunc((x + 104) * 204.8) as bigint) as xi, try_cast(trunc((y + 104) * 204.8) as bigint) as yi from people where {B.ON_MAP}) select \"user\", array_to_string(list_transform(range(14, -1, -1), lambda i: 2 * (((yi >> 1) >> i) & 1) + (((xi >> 1) >> i) & 1)), ',') as quadkey from p")
 def f18_encode(spark: SparkSession, d: str) -> DataFrame:
     """keys of points of the twice as fine grid."""
     at = lambda c: ((F.col(c) + 104) * 204.8).cast("bigint")
@@ -288,7 +288,7 @@ _OFFSETS = ", ".join(f"({d}, {_SIDE[abs(d)]!r}::double)" for d in range(1 - len(
 
 
 def _fuzz(name: str, points: str) -> str:
-    return f""", at_{name} as (select cast(trunc((x + 104) * 0.6) as int) as gx, cast(trunc((y + 104) * 0.6) as int) as gy, sum(v)::double as v from {points} group by all),
+    return f""", at_{name} as (select try_cast(trunc((x + 104) * 0.6) as int) as gx, try_cast(trunc((y + 104) * 0.6) as int) as gy, sum(v)::double as v from {points} group by all),
 tall_{name} as (select gx, gy + o.d as gy, sum(v * o.f) as v from at_{name}, (values {_OFFSETS}) o(d, f) where gy + o.d between 0 and {HEIGHT - 1} group by all having sum(v * o.f) >= 0.001),
 {name} as (select gx + o.d as gx, gy, sum(v * o.f) as v from tall_{name}, (values {_OFFSETS}) o(d, f) where gx + o.d between 0 and {WIDTH - 1} group by all)"""
 
