@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import functools
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +50,8 @@ OWN_LOOK = {0x017F, 0x1E9B}
 INVISIBLE_RANGES = ((0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0xE0000, 0xE0FFF))
 BLANK_CONTROLS = {0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x85, 0x2028, 0x2029}
 TABLE_SIZE = 0x110000
+#: Bytes of text that are turned into arrays at once.
+SLICE_BYTES = 1 << 21
 HANGUL = (0x1100, 19, 0x1161, 21, 0x11A7, 28, 0xAC00)
 
 
@@ -175,6 +177,21 @@ def _code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32), counted[offsets - offsets[0]]
 
 
+def bounded(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts have about ``most`` bytes; a longer text is a slice of its own.
+
+    The array passes take some dozens of bytes per character, so the size of a slice bounds the memory of a task.
+    """
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) if b.num_rows else []
+        lo = 0
+        while lo < b.num_rows:
+            done = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, done + most, "right")))
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
 def canonical_array(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """The texts of ``column`` in the canonical form, as an Arrow string array of the same length."""
     if isinstance(column, pa.ChunkedArray):
@@ -226,7 +243,7 @@ def canonical_keys(df: DataFrame, id_col: str, text_col: str, *keep: str) -> Dat
     fields = [*rows.schema.fields, T.StructField("form", T.StringType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, canonical_array(b.column("text"))], [*b.schema.names, "form"])
 
     made = rows.mapInArrow(run, T.StructType(fields))

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartoweave.llm.canonical import bounded
 from cartoweave.llm.words import Words, mix, words_of
 from cartoweave.session import spread
 
@@ -196,7 +197,7 @@ def language_passages(df: DataFrame, id_col: str, text_col: str, label_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = LanguageModel(*shared.value)
         names = np.array(own.languages, object)
-        for b in batches:
+        for b in bounded(batches):
             x = _detect(b.column("text"), own)
             many = np.bincount(x["row"], minlength=b.num_rows) > 1
             begins = np.zeros(b.num_rows, np.int64)

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartoweave.llm.canonical import bounded
 from cartoweave.llm.sums import matrix_sum
 from cartoweave.llm.words import Words, mix, words_of
 from cartoweave.session import spread
@@ -69,16 +70,17 @@ def passage_frequencies(texts: DataFrame, col: str) -> tuple[np.ndarray, int]:
     """In how many passages of all rows each bucket occurs, and the number of passages."""
     rows = spread(texts.where(F.col(col).isNotNull()).select(F.col(col).alias("text")))
 
-    def make(b: pa.RecordBatch, total: np.ndarray) -> None:
-        w = words_of(b.column("text"))
-        bucket, sizes = _buckets(w), np.bincount(w.row, minlength=w.rows)
-        for lo, hi in _chunks(sizes):
-            at = sizes[:lo].sum()
-            row, a, e = _windows(sizes[lo:hi])
-            passage = np.repeat(np.arange(len(row)), e - a)
-            word = np.arange(len(passage)) - np.repeat(np.cumsum(e - a) - (e - a), e - a) + np.repeat(a, e - a)
-            total[:-1, 0] += np.bincount(np.unique(passage * BUCKETS + bucket[at + word]) % BUCKETS, minlength=BUCKETS)
-            total[-1, 0] += len(row)
+    def make(batch: pa.RecordBatch, total: np.ndarray) -> None:
+        for b in bounded([batch]):
+            w = words_of(b.column("text"))
+            bucket, sizes = _buckets(w), np.bincount(w.row, minlength=w.rows)
+            for lo, hi in _chunks(sizes):
+                at = sizes[:lo].sum()
+                row, a, e = _windows(sizes[lo:hi])
+                passage = np.repeat(np.arange(len(row)), e - a)
+                word = np.arange(len(passage)) - np.repeat(np.cumsum(e - a) - (e - a), e - a) + np.repeat(a, e - a)
+                total[:-1, 0] += np.bincount(np.unique(passage * BUCKETS + bucket[at + word]) % BUCKETS, minlength=BUCKETS)
+                total[-1, 0] += len(row)
 
     out = matrix_sum(rows, make, BUCKETS + 1, 1)[:, 0]
     return out[:-1], int(out[-1])
@@ -129,7 +131,12 @@ def fit_space(documents: DataFrame, id_col: str, text_col: str, items: pa.Array,
     basis = np.random.default_rng(seed).standard_normal((BUCKETS, rank + OVERSAMPLE)) / np.sqrt(BUCKETS)
     for _ in range(2):
         current = basis
-        total = matrix_sum(rows, lambda b, into, current=current: _tfidf_product(b.column("text"), idf, current, into), BUCKETS, basis.shape[1])
+
+        def make(batch: pa.RecordBatch, total: np.ndarray, current: np.ndarray = current) -> None:
+            for b in bounded([batch]):
+                _tfidf_product(b.column("text"), idf, current, total)
+
+        total = matrix_sum(rows, make, BUCKETS, basis.shape[1])
         own = np.zeros_like(total, np.float32)
         _tfidf_product(items, idf, current, own)
         basis, _ = np.linalg.qr(total + own * max(1.0, np.linalg.norm(total) / max(1e-9, np.linalg.norm(own))))
@@ -234,7 +241,7 @@ def leaked(documents: DataFrame, id_col: str, text_col: str, items: DataFrame, i
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             x = shared.value
             heads = np.flatnonzero(np.r_[True, np.diff(x["of"]) > 0])
-            for b in batches:
+            for b in bounded(batches):
                 found: list[tuple[int, int, float]] = []
                 w = words_of(b.column("text"))
                 bucket, sizes = _buckets(w), np.bincount(w.row, minlength=w.rows)

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartoweave.llm.canonical import bounded
 from cartoweave.llm.language import LanguageModel, fit_from
 from cartoweave.llm.sums import matrix_sum
 from cartoweave.llm.words import Words, words_of
@@ -83,7 +84,7 @@ def corpus_words(documents: DataFrame, id_col: str, text_col: str, model: Langua
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = LanguageModel(*shared.value)
-        for b in batches:
+        for b in bounded(batches):
             w = words_of(b.column("text"))
             ends = np.r_[0, np.cumsum(np.bincount(w.row, minlength=w.rows))].astype(np.int32)
             lang = text_language(w, own) if len(w.row) else np.zeros(b.num_rows, np.int64)
@@ -203,7 +204,7 @@ def vocabulary(documents: DataFrame, text_col: str, model: LanguageModel, bound:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = LanguageModel(*shared.value)
-        for b in batches:
+        for b in bounded(batches):
             w = words_of(b.column("text"))
             if not len(w.row):
                 continue
