@@ -26,7 +26,7 @@ def term_array(text: Column | str) -> Column:
 
 def _term_counts(text: Column) -> Column:
     """Array of (term, first): one element per occurrence, ``first`` is 1 for one occurrence of each term of the record."""
-    terms = F.array_sort(term_array(text))
+    terms = F.sort_array(term_array(text))
     return F.when(F.size(terms) > 0, F.zip_with(terms, F.concat(F.array(F.lit(None).cast("string")), F.slice(terms, 1, F.greatest(F.size(terms) - 1, F.lit(0)))), lambda a, b: F.struct(a.alias("term"), F.when(a.eqNullSafe(b), 0).otherwise(1).alias("first"))))
 
 
