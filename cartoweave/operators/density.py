@@ -192,3 +192,19 @@ def kde(points: DataFrame, side: int = 100, bounds: tuple[float, float, float, f
         yield pa.RecordBatch.from_arrays([pa.array(i // side), pa.array(i % side), pa.array(total * norm)], ["gx", "gy", "v"])
 
     return p.mapInArrow(run, schema).groupBy("gx", "gy").agg(F.sum("v").alias("v"))
+
+
+def hill_shade(grid: DataFrame, scale: float, angle: float, altitude: float) -> DataFrame:
+    """light on the slopes of a grid, 0 to 1, for cells next to a cell that is not 0.
+
+    The gradient is the 3 x 3 difference with weights 1, 2, 1; every cell is handed to its eight neighbours once, so no join of
+    the grid with itself is needed. With g the scaled gradient, the light is (sin a + cos a * (g towards the light)) / |normal|.
+    """
+    spots = [(ox, oy, ox * (2 - abs(oy)), -oy * (2 - abs(ox))) for ox in (-1, 0, 1) for oy in (-1, 0, 1) if ox or oy]
+    around = F.array(*[F.struct(F.lit(ox).alias("ox"), F.lit(oy).alias("oy"), F.lit(wx).alias("wx"), F.lit(wy).alias("wy")) for ox, oy, wx, wy in spots])
+    handed = grid.select("gx", "gy", "v", F.explode(around).alias("o"))
+    slopes = handed.groupBy((F.col("gx") + F.col("o.ox")).alias("gx"), (F.col("gy") + F.col("o.oy")).alias("gy")).agg((F.sum(F.col("v") * F.col("o.wx")) * scale).alias("dx"), (F.sum(F.col("v") * F.col("o.wy")) * scale).alias("dy"))
+    across = angle - math.pi / 2
+    toward = F.col("dy") * math.cos(across) + F.col("dx") * math.sin(across)
+    light = (math.sin(altitude) + math.cos(altitude) * toward) / F.sqrt(1 + F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
+    return slopes.select("gx", "gy", F.greatest(light, F.lit(0.0)).alias("v"))

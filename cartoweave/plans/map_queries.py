@@ -427,3 +427,12 @@ def o09_labels(spark: SparkSession, d: str) -> DataFrame:
     pixels = D.Frame(0.0, 0.0, 1.0, 1.0, WIDTH, HEIGHT)
     local = D.density(labels.select("x", "y", F.col("significance").alias("v")), pixels, KERNEL)
     return K.winnowed(labels, local, 1000)
+
+
+_NEAR = ", ".join(f"({ox}, {oy}, {ox * (2 - abs(oy))}, {-oy * (2 - abs(ox))})" for ox in (-1, 0, 1) for oy in (-1, 0, 1) if ox or oy)
+
+
+@query(_GRIDS + f", sl as (select gx + ox as gx, gy + oy as gy, sum(v * wx) * 0.01::double as dx, sum(v * wy) * 0.01::double as dy from a, (values {_NEAR}) o(ox, oy, wx, wy) group by all) select gx, gy, round(greatest((sin(0.9::double) + cos(0.9::double) * (dy * cos(2.5::double - pi() / 2) + dx * sin(2.5::double - pi() / 2))) / sqrt(1 + dx * dx + dy * dy), 0), 6) as v from sl")
+def f35_hill_shade(spark: SparkSession, d: str) -> DataFrame:
+    """light on the slopes of a density."""
+    return _rounded(D.hill_shade(density_query("injunction", _named(spark, d), WHOLE, KERNEL), 0.01, 2.5, 0.9))

@@ -349,3 +349,34 @@ def x01_custom_emitter(spark: SparkSession, d: str) -> DataFrame:
     return made.groupBy("user_id", "event_type").agg(F.sum("value").alias("n"))
 
 
+
+
+_WEIGHTS = [5.0, 1.0, 3.0, 0.5, 2.5, 8.0]
+_BOUNDS = [sum(_WEIGHTS[: i + 1]) / sum(_WEIGHTS) for i in range(len(_WEIGHTS) - 1)]
+
+
+@query(f"with u as (select (event_id * 0.6180339887498949::double) % 1.0::double as u from events where event_id is not null) select cast(w as int) as word, count(*) as n from (select len(list_filter([{', '.join(f'{b!r}::double' for b in _BOUNDS)}], lambda b: b < u)) as w from u) group by w")
+def w11_inverse_cdf(spark: SparkSession, d: str) -> DataFrame:
+    """Words drawn through a cumulative distribution from evenly spread numbers."""
+    from cartoweave.sources.synthetic import inverse_cdf
+
+    u = (F.col("event_id") * 0.6180339887498949) % 1.0
+    return table(spark, d, "events").where("event_id is not null").select(inverse_cdf(u, _WEIGHTS).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query()
+def s24_synthetic_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Synthetic counts of 200 users and 34 words."""
+    from cartoweave.sources.synthetic import topic_counts
+
+    return topic_counts(spark, 200, 34)
+
+
+@query()
+def m15_perplexities(spark: SparkSession, d: str) -> DataFrame:
+    """Divergences of a sweep of perplexities over a bounded sample of the codes."""
+    from cartoweave.ml import tsne
+
+    v = F.array(*[F.col(f"c{i}") for i in range(16)])
+    rows = table(spark, d, "test_codes").where(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x))).select("row_id", v.alias("v"))
+    return spark.createDataFrame(tsne.sweep(R.training_matrix(rows, "row_id", "v", 120), range(2, 20, 6), 60))

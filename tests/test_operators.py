@@ -191,3 +191,25 @@ def test_config():
         Config({"a": "$b", "b": "$a"}).get("a")
     with pytest.raises(ValueError):
         Config({"a": "$b + __import__('os')", "b": 1}).get("a")
+
+
+def test_hill_shade_against_numpy(spark):
+    rng = np.random.default_rng(6)
+    z = rng.uniform(0, 9, (7, 8)).round(2)
+    df = spark.createDataFrame([(x, y, float(z[y, x])) for y in range(7) for x in range(8)], "gx int, gy int, v double")
+    got = {(r["gx"], r["gy"]): r["v"] for r in D.hill_shade(df, 0.1, 2.0, 0.8).collect()}
+    for y in range(1, 6):
+        for x in range(1, 7):
+            n = z[y - 1 : y + 2, x - 1 : x + 2]
+            dx = ((n[:, 0] - n[:, 2]) * [1, 2, 1]).sum() * 0.1
+            dy = ((n[2] - n[0]) * [1, 2, 1]).sum() * 0.1
+            slope, aspect = math.pi / 2 - math.atan(math.hypot(dx, dy)), math.atan2(dx, dy)
+            want = max(0.0, math.sin(0.8) * math.sin(slope) + math.cos(0.8) * math.cos(slope) * math.cos(2.0 - math.pi / 2 - aspect))
+            assert math.isclose(got[x, y], want, abs_tol=1e-9)
+
+
+def test_synthetic_counts_are_seeded(spark):
+    from cartoweave.sources.synthetic import topic_counts
+
+    a, b = (sorted(map(tuple, topic_counts(spark, 5, 6, 2, 40, seed).collect())) for seed in (1, 1))
+    assert a == b and sum(r[3] for r in a) == 200
