@@ -51,7 +51,7 @@ INVISIBLE_RANGES = ((0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180
 BLANK_CONTROLS = {0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x85, 0x2028, 0x2029}
 TABLE_SIZE = 0x110000
 #: Bytes of text that are turned into arrays at once.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 HANGUL = (0x1100, 19, 0x1161, 21, 0x11A7, 28, 0xAC00)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartoweave.llm.canonical import bounded
-from cartoweave.llm.words import Words, mix, words_of
+from cartoweave.llm.words import Words, mix, words_of, words_of_many
 from cartoweave.session import spread
 
 LANGUAGES = ("en", "es", "de", "fr", "pt", "id", "nl", "ru")
@@ -118,7 +118,7 @@ def best_path(scores: np.ndarray, w: Words) -> np.ndarray:
 
 def fit_languages(texts: pa.Array, labels: list[str | None], languages: tuple[str, ...] = LANGUAGES, rounds: int = 3) -> LanguageModel:
     """Fit on labelled texts; after the first round every word counts for the language its passage was found to be in."""
-    w = words_of(texts)
+    w = words_of_many(texts)
     number = {x: i for i, x in enumerate(languages)}
     label = np.array([number.get(x, -1) for x in labels], np.int64)
     _, at, inverse = np.unique(w.key, return_index=True, return_inverse=True)

@@ -36,7 +36,7 @@ from cartoweave.session import materialise, spread
 LANGUAGES = ("en", "es", "de")
 BUCKETS, WINDOW = 1 << 16, 16
 #: Bounds of what is fitted on the driver: labelled documents for the language model, examples, words looked at for kinship.
-LANGUAGE_ROWS, EXAMPLES, VOCABULARY = 6_000, 20_000, 20_000
+LANGUAGE_ROWS, EXAMPLES, VOCABULARY = 3_000, 20_000, 20_000
 #: Weight of an example beside a document's window; evidence (log units) that the class without subject has.
 EXAMPLE_WEIGHT, REST = 3.0, 3.0
 LIMIT, CHANCE, OWN = 4.0, 2.5, 1.5

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from cartoweave.llm.canonical import TABLE_SIZE, _code_points, canonical_array
+from cartoweave.llm.canonical import TABLE_SIZE, _code_points, bounded, canonical_array
 
 MULT = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(1099511628211)
@@ -134,3 +134,18 @@ def words_of(texts: pa.Array, skip_marked: bool = True, line_break: bool = True)
         if mark.any():
             return found.take(~mark)
     return found
+
+
+def words_of_many(texts: pa.Array) -> Words:
+    """``words_of`` for texts of any total size: slice by slice, keeping the code points of the words only."""
+    parts, rows, at = [], 0, 0
+    for b in bounded([pa.RecordBatch.from_arrays([texts], ["text"])]):
+        w = words_of(b.column("text"))
+        size = w.end - w.start
+        first = np.cumsum(size) - size
+        cps = w.cps[np.repeat(w.start - first, size) + np.arange(size.sum())]
+        parts.append((cps, w.row + rows, first + at, first + size + at, w.key, w.brk))
+        rows, at = rows + b.num_rows, at + len(cps)
+    if not parts:
+        return words_of(texts)
+    return Words(*[np.concatenate(x) for x in zip(*parts, strict=True)], rows)
