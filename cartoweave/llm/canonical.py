@@ -236,9 +236,8 @@ def canonical(column: Column | str) -> Column:
 def canonical_keys(df: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
     """(id, k1, k2, v, *keep): 128 bits that stand for the canonical form, 64 for the form as stored.
 
-    Null ids and null texts give no row, repeated rows one row. One pass over the two columns; only keys leave it.
+    Null ids and null texts give no row. One pass over the two columns; only keys leave it.
     """
-    spark = df.sparkSession
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *keep).where("id is not null and text is not null")
     fields = [*rows.schema.fields, T.StructField("form", T.StringType())]
 
@@ -247,7 +246,7 @@ def canonical_keys(df: DataFrame, id_col: str, text_col: str, *keep: str) -> Dat
             yield pa.RecordBatch.from_arrays([*b.columns, canonical_array(b.column("text"))], [*b.schema.names, "form"])
 
     made = rows.mapInArrow(run, T.StructType(fields))
-    return made.select("id", F.xxhash64("form").alias("k1"), F.xxhash64(F.lit(7), "form", F.length("form")).alias("k2"), F.xxhash64("text").alias("v"), *keep) if spark else made
+    return made.select("id", F.xxhash64("form").alias("k1"), F.xxhash64(F.lit(7), "form", F.length("form")).alias("k2"), F.xxhash64("text").alias("v"), *keep)
 
 
 def same_look_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -13,8 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartoweave.session import materialise
-
 NOT_TERM = r"[^\p{L}\p{Nd}]+"
 
 
@@ -118,4 +116,4 @@ def latest_records(df: DataFrame, id_col: str, *cols: str) -> DataFrame:
     return df.where(F.col(id_col).isNotNull()).select(id_col, *cols).dropDuplicates([id_col])
 
 
-__all__ = ["TermStore", "change_set", "latest_records", "mark_terms", "materialise", "merge_counts", "term_array", "text_deltas", "valued_deltas"]
+__all__ = ["TermStore", "change_set", "latest_records", "mark_terms", "merge_counts", "term_array", "text_deltas", "valued_deltas"]
