@@ -3,11 +3,17 @@
 Every vector is projected several times (a seeded signed projection and a shift for each ordering) and gets the index of its
 cell on a Hilbert curve. All orderings are range-partitioned and sorted together by (ordering, index, id); within a
 partition every vector is compared exactly, in float64, with the vectors at most ``window`` places away, and its best ``k``
-leave. The best of all orderings are merged by exact distance. Nothing is compared all against all.
+leave. The best of all orderings are merged by exact distance.
+
+A fixed window cannot hold a dense group of distinct vectors. A row is crowded when in some ordering a quarter of the compared rows
+lie within ``NEAR`` times its k-th distance there, so that more such rows may lie outside the windows. Crowded rows are
+compared exactly with every row: they are broadcast in chunks, in groups around pivots, and a row meets a group only
+if the group's centre and radius allow a distance within the bound already found, which loses nothing. For crowded rows that
+are really one group this is quadratic in the size of the group; rows of groups that the windows hold are not compared again.
 
 Exact copies of a vector would fill the windows of each other, so at most k + 1 copies (those with the smallest ids) enter
 the curves; every further copy has the first k copies, at distance 0, as its neighbours. Pairs that straddle two range
-partitions are found by the other orderings only; a partition holds tens of thousands of rows.
+partitions are found by the other orderings only, or as crowded rows; a partition holds tens of thousands of rows.
 """
 
 from __future__ import annotations
@@ -25,6 +31,10 @@ from cartoweave.session import materialise
 
 ORDERINGS, WINDOW, DIMS, BITS, SEED = 8, 20, 12, 3, 17
 ROWS_PER_PARTITION = 60_000
+#: A compared row is near within NEAR times the k-th distance; a row is crowded when at least the share CROWDED is near.
+NEAR, CROWDED = 1.5, 0.25
+#: Crowded rows of one broadcast, for one pivot and at most in one group, and rows compared with them at once.
+CROWD_AT_ONCE, CROWD_PIVOT, CROWD_GROUP, ROWS_AT_ONCE = 16_384, 16, 128, 4_096
 
 
 def vector_from_text(text: Column | str, size: int) -> Column:
@@ -105,8 +115,8 @@ def _moments(vectors: DataFrame, size: int) -> tuple[int, np.ndarray, np.ndarray
     return n, mean, np.sqrt(np.maximum(np.array([r[3] for r in rows]) / n - mean**2, 1e-12))
 
 
-def _window_best(ids: np.ndarray, order: np.ndarray, v: np.ndarray, lo: int, hi: int, k: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For rows lo..hi-1 the k best of the rows at most ``window`` places away in the same ordering."""
+def _window_best(ids: np.ndarray, order: np.ndarray, v: np.ndarray, lo: int, hi: int, k: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For rows lo..hi-1 the k best of the rows at most ``window`` places away in the same ordering, and whether they are crowded."""
     m = hi - lo
     dist = np.full((m, 2 * window), np.inf)
     other = np.full((m, 2 * window), np.iinfo(np.int64).max)
@@ -122,16 +132,73 @@ def _window_best(ids: np.ndarray, order: np.ndarray, v: np.ndarray, lo: int, hi:
     by_id = np.argsort(other, axis=1)
     dist, other = np.take_along_axis(dist, by_id, 1), np.take_along_axis(other, by_id, 1)
     best = np.argsort(dist, axis=1, kind="stable")[:, :k]
+    last = np.take_along_axis(dist, best[:, -1:], 1)
+    met = np.isfinite(dist).sum(1)
+    crowded = (met >= window) & ((np.isfinite(dist) & (dist <= NEAR * last)).sum(1) >= CROWDED * met)
     dist, other = np.take_along_axis(dist, best, 1), np.take_along_axis(other, best, 1)
     ok = np.isfinite(dist)
-    return np.repeat(ids[lo:hi], ok.sum(1)), other[ok], dist[ok]
-
-
-def nearest(vectors: DataFrame, size: int, k: int = 5, orderings: int = ORDERINGS, window: int = WINDOW, dims: int = DIMS, bits: int = BITS, seed: int = SEED) -> DataFrame:
+    return np.repeat(ids[lo:hi], ok.sum(1)), other[ok], dist[ok], np.repeat(crowded, ok.sum(1))
+
+
+def _crowd(ids: np.ndarray, v: np.ndarray, bound: np.ndarray) -> dict[str, np.ndarray]:
+    """Crowded rows in groups around every CROWD_PIVOT-th of them, with the distance from a group's centre beyond which no row can matter."""
+    pivot = v[::CROWD_PIVOT]
+    squares = (pivot * pivot).sum(1) / 2
+    nearest_pivot = np.concatenate([np.argmax(v[lo : lo + ROWS_AT_ONCE] @ pivot.T - squares, axis=1) for lo in range(0, len(v), ROWS_AT_ONCE)])
+    away = ((v - pivot[nearest_pivot]) ** 2).sum(1)
+    order = np.lexsort((ids, away, nearest_pivot))
+    ids, v, bound, of = ids[order], v[order], bound[order], nearest_pivot[order]
+    heads = np.flatnonzero(np.r_[True, np.diff(of) > 0])
+    sizes = np.diff(np.r_[heads, len(of)])
+    first = np.flatnonzero((np.arange(len(of)) - np.repeat(heads, sizes)) % CROWD_GROUP == 0)
+    sizes = np.diff(np.r_[first, len(of)])
+    centre = np.add.reduceat(v, first, axis=0) / sizes[:, None]
+    away = np.sqrt(((v - np.repeat(centre, sizes, axis=0)) ** 2).sum(1))
+    return {"ids": ids, "v": v, "bound": bound, "first": np.r_[first, len(of)], "centre": centre, "reach": np.maximum.reduceat(away + bound, first)}
+
+
+def _crowd_best(crowd: dict[str, np.ndarray], blocks: Iterator[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, neighbour, distance): for each crowded row the k nearest others within its bound among the rows of the blocks (ids, vectors)."""
+    own, v, centre = crowd["ids"], crowd["v"], crowd["centre"]
+    bound, size = crowd["bound"].copy(), (v * v).sum(1)
+    none = np.zeros(0)
+    kept = [(none.astype(np.int64), none.astype(np.int64), none)] * len(centre)
+    for ids, x in blocks:
+        squares = (x * x).sum(1)
+        away = squares[:, None] + (centre * centre).sum(1) - 2 * x @ centre.T
+        slack = 1e-9 * (1 + squares.max(initial=0) + size.max(initial=0))
+        meets = away <= crowd["reach"] ** 2 + slack
+        for g in np.flatnonzero(meets.any(0)):
+            lo, hi = crowd["first"][g], crowd["first"][g + 1]
+            at = np.flatnonzero(meets[:, g])
+            close = size[lo:hi, None] + squares[at] - 2 * v[lo:hi] @ x[at].T <= (bound[lo:hi] ** 2 + slack)[:, None]
+            i, j = np.nonzero(close)
+            i, j = i + lo, at[j]
+            differ = own[i] != ids[j]
+            i, j = i[differ], j[differ]
+            if not len(i):
+                continue
+            d = v[i] - x[j]
+            d = np.sqrt(np.einsum("ij,ij->i", d, d))
+            i, other, d = (np.concatenate(pair) for pair in zip(kept[g], (i, ids[j], d), strict=True))
+            order = np.lexsort((other, d, i))
+            i, other, d = i[order], other[order], d[order]
+            heads = np.flatnonzero(np.r_[True, np.diff(i) > 0])
+            rank = np.arange(len(i)) - np.repeat(heads, np.diff(np.r_[heads, len(i)]))
+            i, other, d, rank = i[rank < k], other[rank < k], d[rank < k], rank[rank < k]
+            kept[g] = i, other, d
+            full = rank == k - 1
+            bound[i[full]] = np.minimum(bound[i[full]], d[full])
+    i, other, d = (np.concatenate(parts) for parts in zip(*kept, strict=True))
+    return own[i], other, d
+
+
+def nearest(vectors: DataFrame, size: int, k: int = 5, orderings: int = ORDERINGS, window: int = WINDOW, dims: int = DIMS, bits: int = BITS, seed: int = SEED, within: float | None = None) -> DataFrame:
     """(id, neighbour, distance, place): the k nearest others of every vector of ``vectors`` (id long, v array<double>).
 
     Null ids and null vectors take no part; repeated rows of one id count once. Equal distances are ordered by the smaller
-    id. An empty table gives an empty result, a table of n <= k rows n - 1 neighbours for each.
+    id. An empty table gives an empty result, a table of n <= k rows n - 1 neighbours for each. With ``within``, only neighbours
+    at most so far away matter: crowded rows whose k-th distance is beyond twice ``within`` are not searched again.
     """
     rows = materialise(vectors.where("id is not null and v is not null").select("id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(3), F.reverse("v")).alias("h2")).dropDuplicates(["id"]))
     copy = Window.partitionBy("h1", "h2").orderBy("id")
@@ -141,14 +208,16 @@ def nearest(vectors: DataFrame, size: int, k: int = 5, orderings: int = ORDERING
     names = ["ordering", "index", "id", "v"]
     schema = T.StructType([T.StructField("ordering", T.IntegerType()), T.StructField("index", T.LongType()), T.StructField("id", T.LongType()), T.StructField("v", T.ArrayType(T.DoubleType()))])
 
+    def index(x: np.ndarray, o: int) -> np.ndarray:
+        (a, shift), top = maps[o], (1 << bits) - 1
+        y = (x - mean) @ a / np.sqrt((dev**2) @ (a * a))
+        return hilbert_index(np.clip(np.floor((y + 2.5) / 5 * top + shift), 0, top), bits)
+
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = (1 << bits) - 1
         for b in batches:
-            x = _matrix(b.column("v"), size) - mean
-            for o, (a, shift) in enumerate(maps):
-                y = x @ a / np.sqrt((dev**2) @ (a * a))
-                cell = np.clip(np.floor((y + 2.5) / 5 * top + shift), 0, top)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, o, np.int32)), pa.array(hilbert_index(cell, bits)), b.column("id"), b.column("v")], names)
+            x = _matrix(b.column("v"), size)
+            for o in range(orderings):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, o, np.int32)), pa.array(index(x, o)), b.column("id"), b.column("v")], names)
 
     parts = max(1, -(-n * orderings // ROWS_PER_PARTITION))
     placed = kept.select("id", "v").mapInArrow(keyed, schema)
@@ -165,15 +234,47 @@ def nearest(vectors: DataFrame, size: int, k: int = 5, orderings: int = ORDERING
                 v = np.concatenate([v, _matrix(b.column("v"), size)])
             upto = len(ids) if b is None else max(at, len(ids) - window)
             if upto > at:
-                a, c, d = _window_best(ids, order, v, at, upto, k, window)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(d)], ["id", "neighbour", "distance"])
+                a, c, d, crowded = _window_best(ids, order, v, at, upto, k, window)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(d), pa.array(crowded)], ["id", "neighbour", "distance", "crowded"])
             cut = max(0, upto - window)
             ids, order, v, at = ids[cut:], order[cut:], v[cut:], upto - cut
 
-    found = placed.mapInArrow(scan, "id long, neighbour long, distance double")
-    best = found.groupBy("id", "neighbour").agg(F.min("distance").alias("distance"))
+    found = placed.mapInArrow(scan, "id long, neighbour long, distance double, crowded boolean")
     place = Window.partitionBy("id").orderBy("distance", "neighbour")
-    ranked = best.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k)
+
+    def best(pairs: DataFrame) -> DataFrame:
+        merged = pairs.groupBy("id", "neighbour").agg(F.min("distance").alias("distance"), F.max("crowded").alias("crowded"))
+        return merged.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k)
+
+    ranked = materialise(best(found))
+    bounds = ranked.groupBy("id").agg(F.max("distance").alias("bound"), F.max("crowded").alias("crowded")).where("crowded")
+    if within is not None:
+        bounds = bounds.where(F.col("bound") <= 2 * within).withColumn("bound", F.least("bound", F.lit(float(within))))
+
+    def along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), b.column("bound"), pa.array(index(_matrix(b.column("v"), size), 0))], ["id", "v", "bound", "index"])
+
+    asked = materialise(kept.join(bounds, "id").select("id", "v", "bound").mapInArrow(along, "id long, v array<double>, bound double, index long"))
+    chunks = -(-asked.count() // CROWD_AT_ONCE)
+    if chunks > 1:
+        asked = materialise(asked.repartitionByRange(chunks, "index", "id").withColumn("chunk", F.spark_partition_id()))
+    again = ranked.drop("place")
+    for c in range(chunks):
+        rows_of = (asked.where(F.col("chunk") == c) if chunks > 1 else asked).orderBy("index", "id").toArrow()
+        if not rows_of.num_rows:
+            continue
+        one = rows_of.combine_chunks().to_batches()[0]
+        shared = vectors.sparkSession.sparkContext.broadcast(_crowd(one.column("id").to_numpy(), _matrix(one.column("v"), size), one.column("bound").to_numpy()))
+
+        def compare(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            blocks = ((b.column("id").to_numpy(), _matrix(b.column("v"), size)) for whole in batches for b in (whole.slice(lo, ROWS_AT_ONCE) for lo in range(0, whole.num_rows, ROWS_AT_ONCE)))
+            a, c, d = _crowd_best(shared.value, blocks, k)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(d), pa.array(np.ones(len(a), bool))], ["id", "neighbour", "distance", "crowded"])
+
+        again = again.union(kept.select("id", "v").mapInArrow(compare, "id long, neighbour long, distance double, crowded boolean"))
+    if chunks:
+        ranked = best(again)
     firsts = kept.where(F.col("copy") <= k).select("h1", "h2", F.col("id").alias("neighbour"), F.col("copy").alias("place"))
     full = kept.where(F.col("copy") == k + 1).select("h1", "h2", F.col("id").alias("last"))
     further = rows.join(full, ["h1", "h2"]).where("id > last").select("id", "h1", "h2").join(firsts, ["h1", "h2"]).select("id", "neighbour", F.lit(0.0).alias("distance"), "place")
@@ -187,5 +288,5 @@ def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]
 
 def near_pairs(vectors: DataFrame, size: int, within: float, k: int = 5, **options: int) -> DataFrame:
     """(id_a, id_b), id_a < id_b: pairs in which one is among the k nearest of the other and that are at most ``within`` apart."""
-    found = nearest(vectors, size, k, **options).where(F.col("distance") <= within)
+    found = nearest(vectors, size, k, within=within, **options).where(F.col("distance") <= within)
     return found.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()

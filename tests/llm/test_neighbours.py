@@ -71,3 +71,24 @@ def test_hilbert_neighbours_touch():
 def test_pairs(spark):
     rows = [(1, [0.0]), (2, [0.5]), (3, [9.0])]
     assert [tuple(r) for r in K.near_pairs(frame(spark, rows), 1, 1.0).collect()] == [(1, 2)]
+
+
+def test_one_dense_group_of_distinct_vectors(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.integers(0, 2, (100, 32))
+    rows = [(i, centres[i % 100] + rng.normal(0, 0.05, 32)) for i in range(1000)] + [(1000 + i, centres[0] + rng.normal(0, 0.02, 32)) for i in range(800)]
+    want = brute(rows, 5)
+    got = found(frame(spark, rows), 32)
+    group = range(1000, 1800)
+    assert sum(len({n for n, _ in got[i]} & {n for n, _ in want[i]}) for i in group) == 5 * len(group)
+    near = {(min(i, n), max(i, n)) for i, x in want.items() for n, d in x if d <= 0.3}
+    assert {tuple(r) for r in K.near_pairs(frame(spark, rows), 32, 0.3).collect()} == near
+
+
+def test_crowded_rows_in_several_chunks(spark, monkeypatch):
+    monkeypatch.setattr(K, "CROWD_AT_ONCE", 150)
+    monkeypatch.setattr(K, "ROWS_AT_ONCE", 64)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(0, 1e-3 if i % 3 else 1.0, 24)) for i in range(600)]
+    got, want = found(frame(spark, rows), 24), brute(rows, 5)
+    assert {i: [n for n, _ in x] for i, x in got.items()} == {i: [n for n, _ in x] for i, x in want.items()}
