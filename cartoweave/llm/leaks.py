@@ -6,6 +6,8 @@
    on a bounded, documented sample of documents together with all items, and every document is searched in it.
 3. Every passage of every document is compared with every passage of every item by cosine, in blocks of one matrix product;
    the items are broadcast in blocks of a checked size. Pairs of a document and an item above ``cosine`` are candidates.
+   An item in a few pieces that lie apart fills no window, so pairs are candidates too when all of the document shares enough
+   word triples with the item for the alignment to succeed; no pair that would align is left out.
 4. A candidate counts when an ordered alignment in pieces (a longest common subsequence over runs of equal words that lie close
    together, so that shared vocabulary adds nothing) covers at least ``share`` of the item's words.
 
@@ -197,12 +199,19 @@ def _triples(key: np.ndarray) -> np.ndarray:
     return mix(key[:-2] + mix(key[1:-1] + mix(key[2:])))
 
 
-def _may_hold(own: np.ndarray, text: np.ndarray, words: float) -> bool:
-    """Whether enough triples are shared for ``words`` aligned words: every three words of runs hold at least one triple."""
-    if not len(own):
-        return True
-    at = np.minimum(np.searchsorted(own, text), len(own) - 1)
-    return 3 * np.count_nonzero(own[at] == text) >= words
+def _shared_triples(grams: np.ndarray, of: np.ndarray, items: int, key: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
+    """How many places of each text begin a triple of each item (texts x items); ``grams`` are the sorted triples of the items ``of``.
+
+    Every three aligned words, being in runs of at least three, hold at least one such place.
+    """
+    if len(key) < 3:
+        return np.zeros((texts, items), np.int64)
+    inside = text[:-2] == text[2:]
+    triple, text = _triples(key)[inside], text[:-2][inside]
+    low = np.searchsorted(grams, triple, "left")
+    many = np.searchsorted(grams, triple, "right") - low
+    at = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    return np.bincount(np.repeat(text, many) * items + of[at], minlength=texts * items).reshape(texts, items)
 
 
 def item_passages(texts: list[str | None]) -> pa.Array:
@@ -235,18 +244,21 @@ def leaked(documents: DataFrame, id_col: str, text_col: str, items: DataFrame, i
         block = slice(lo, lo + ITEM_PASSAGES_AT_ONCE)
         own = np.unique(row[block])
         data = {"weighted": weighted, "latent": latent[block], "of": np.searchsorted(own, row[block]), "ids": ids[own], "keys": [w.key[starts[i] : starts[i] + sizes[i]] for i in own]}
-        data["triples"] = [np.sort(_triples(k)) for k in data["keys"]]
+        triples = [np.unique(_triples(k)) for k in data["keys"]]
+        grams = np.concatenate([np.zeros(0, np.uint64), *triples])
+        by = np.argsort(grams, kind="stable")
+        data |= {"grams": grams[by], "gram_of": np.repeat(np.arange(len(own)), [len(t) for t in triples])[by]}
         shared = spark.sparkContext.broadcast(data)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             x = shared.value
             heads = np.flatnonzero(np.r_[True, np.diff(x["of"]) > 0])
+            least = share * np.array([len(k) for k in x["keys"]])
             for b in bounded(batches):
                 found: list[tuple[int, int, float]] = []
                 w = words_of(b.column("text"))
                 bucket, sizes = _buckets(w), np.bincount(w.row, minlength=w.rows)
                 ends = np.cumsum(sizes)
-                triples = _triples(w.key)
                 for lo, hi in _chunks(sizes):
                     at = ends[lo] - sizes[lo]
                     row, a, e = _windows(sizes[lo:hi])
@@ -257,11 +269,13 @@ def leaked(documents: DataFrame, id_col: str, text_col: str, items: DataFrame, i
                     near = np.maximum.reduceat(_unit(total[e] - total[a]) @ x["latent"].T, heads, axis=1)
                     firsts = np.flatnonzero(np.r_[True, np.diff(row) > 0])
                     near = np.maximum.reduceat(near, firsts, axis=0)
-                    for p, i in zip(*np.nonzero(near >= cosine), strict=True):
+                    text = np.repeat(np.arange(len(firsts)), sizes[lo:hi][row[firsts]])
+                    enough = 3 * _shared_triples(x["grams"], x["gram_of"], len(x["keys"]), w.key[at : ends[hi - 1]], text, len(firsts)) >= least
+                    for p, i in zip(*np.nonzero((near >= cosine) | enough), strict=True):
+                        if not enough[p, i]:
+                            continue
                         r = lo + row[firsts[p]]
                         key = x["keys"][i]
-                        if not _may_hold(x["triples"][i], triples[ends[r] - sizes[r] : max(ends[r] - sizes[r], ends[r] - 2)], share * len(key)):
-                            continue
                         covered = aligned_words(key, w.key[ends[r] - sizes[r] : ends[r]]) / len(key)
                         if covered >= share:
                             found.append((r, x["ids"][i], covered))

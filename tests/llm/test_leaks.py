@@ -48,6 +48,28 @@ def test_planted_passages(spark):
     assert K.leaked(df, "doc_id", "text", it.where("item_id = 51"), "item_id", "text").count() == 0
 
 
+def test_items_in_pieces_that_lie_apart(spark):
+    d = "/root/testdata/sf0.01"
+    it = spark.read.parquet(f"{d}/eval_items.parquet").where("text is not null").select("item_id", "text").orderBy("item_id")
+    long = [r[0].split() for r in spark.read.parquet(f"{d}/documents.parquet").where("size(split(text, '\\\\s+')) between 200 and 2000").orderBy("doc_id").limit(240).select("text").collect()]
+    docs, want = [], set()
+    for no, (i, text) in enumerate(it.collect()):
+        item = text.split(":", 1)[-1].split()
+        pieces, body = 2 + no % 3, list(long[no % len(long)])
+        size = -(-len(item) * 11 // 20 // pieces)
+        if size < 7:
+            continue
+        for k in reversed(range(pieces)):
+            cut = (k + 1) * len(body) // (pieces + 1)
+            body[cut:cut] = item[k * len(item) // pieces :][:size]
+        docs.append((no, " ".join(body)))
+        want.add((no, i))
+    assert len(want) > 100
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {(r["id"], r["item"]) for r in K.leaked(df, "doc_id", "text", it, "item_id", "text").collect()}
+    assert len(want - found) <= len(want) // 50, (len(want - found), len(want))
+
+
 def test_long_document(spark):
     rng = random.Random(2)
     item = words(rng, 40)
