@@ -285,23 +285,23 @@ def m07_encode(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def m05_semantic_codes(spark: SparkSession, d: str) -> DataFrame:
-    """Codes of all embeddings by an autoencoder fitted on a bounded sample."""
+    """Codes of all embeddings by an autoencoder fitted on all of them up to the limit of the fit."""
     rows = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: 1 / (1 + F.exp(-8 * x.cast("double")))).alias("v"))
-    x = R.training_matrix(rows, "vec_id", "v", 600)
-    half = R.pretrain(x, [32, 8], epochs=3)
-    net = R.fine_tune(x[: len(x) * 4 // 5], R.unrolled(half), x[len(x) * 4 // 5 :], epochs=6)
+    x = R.training_matrix(rows, "vec_id", "v")
+    half = R.pretrain(x, [32, 8])
+    net = R.fine_tune(x[: len(x) * 4 // 5], R.unrolled(half), x[len(x) * 4 // 5 :])
     return R.encode(rows, "vec_id", "v", net[: len(half)])
 
 
 @query()
 def m11_coordinates(spark: SparkSession, d: str) -> DataFrame:
-    """Coordinates of all codes: a bounded sample by exact t-SNE, every row placed next to it."""
+    """Coordinates of all codes: all up to t-SNE's limit by exact t-SNE, every row placed next to them."""
     from cartoweave.ml import tsne
 
     v = F.array(*[F.col(f"c{i}") for i in range(16)])
     rows = table(spark, d, "test_codes").where(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x))).select("row_id", v.alias("v"))
-    x = R.training_matrix(rows, "row_id", "v", 300)
-    return tsne.place_rows(rows, "row_id", "v", x, tsne.annealed(x, 20.0, 150))
+    x = R.training_matrix(rows, "row_id", "v", tsne.LIMIT)
+    return tsne.place_rows(rows, "row_id", "v", x, tsne.annealed(x, 20.0))
 
 
 @query()
@@ -374,9 +374,9 @@ def s24_synthetic_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def m15_perplexities(spark: SparkSession, d: str) -> DataFrame:
-    """Divergences of a sweep of perplexities over a bounded sample of the codes."""
+    """Divergences of the whole sweep of perplexities over all codes up to t-SNE's limit."""
     from cartoweave.ml import tsne
 
     v = F.array(*[F.col(f"c{i}") for i in range(16)])
     rows = table(spark, d, "test_codes").where(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x))).select("row_id", v.alias("v"))
-    return spark.createDataFrame(tsne.sweep(R.training_matrix(rows, "row_id", "v", 120), range(2, 20, 6), 60))
+    return spark.createDataFrame(tsne.sweep(R.training_matrix(rows, "row_id", "v", tsne.LIMIT)))

@@ -141,3 +141,23 @@ def test_upsert_sink(spark, tmp_path):
     sink(spark.createDataFrame([("a", 1, "old"), ("b", 1, "b")], schema), 0)
     sink(spark.createDataFrame([("a", 2, "new"), ("b", 0, "late")], schema), 1)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t/v=1")).collect())) == [("a", 2, "new"), ("b", 1, "b")]
+
+
+def test_fits_take_all_rows_up_to_the_limits(spark, monkeypatch):
+    from cartoweave.ml import rbm, tsne
+    from cartoweave.plans import queue_queries as queries
+
+    d, seen = "/root/testdata/sf0.01", []
+
+    def noted(f):
+        return lambda x, *a, **k: seen.append((f.__name__, len(x), a[1:], k)) or f(x, *a, **k)
+
+    for module, name in ((tsne, "annealed"), (rbm, "pretrain")):
+        monkeypatch.setattr(module, name, noted(getattr(module, name)))
+    monkeypatch.setattr(tsne, "fit", lambda x, perplexity=30.0, iterations=300, **k: (np.zeros((len(x), 2)), len(x) + iterations / 1000))
+    codes = spark.read.parquet(f"{d}/test_codes.parquet").toPandas()[[f"c{i}" for i in range(16)]].dropna()
+    swept = {(r["perplexity"], r["divergence"]) for r in queries.m15_perplexities(spark, d).collect()}
+    assert swept == {(p, len(codes) + 0.1) for p in range(2, 20)}
+    queries.m11_coordinates(spark, d)
+    queries.m05_semantic_codes(spark, d)
+    assert seen == [("annealed", len(codes), (), {}), ("pretrain", spark.read.parquet(f"{d}/embeddings.parquet").where("embedding is not null").count(), (), {})]
