@@ -1,48 +1,54 @@
 """The most similar vectors of every vector, from shifted space-filling curves (problem 4).
 
-Every vector is projected several times (a seeded signed projection and a shift for each ordering) and gets the index of its
-cell on a Hilbert curve. All orderings are range-partitioned and sorted together by (ordering, index, id); within a
-partition every vector is compared exactly, in float64, with the vectors at most ``window`` places away, and its best ``k``
-leave. The best of all orderings are merged by exact distance.
-
-A fixed window cannot hold a dense group of distinct vectors. A row is crowded when in some ordering a quarter of the compared rows
-lie within ``NEAR`` times its k-th distance there, so that more such rows may lie outside the windows. Crowded rows are
-compared exactly with every row: they are broadcast in chunks, in groups around pivots, and a row meets a group only
-if the group's centre and radius allow a distance within the bound already found, which loses nothing. For crowded rows that
-are really one group this is quadratic in the size of the group; rows of groups that the windows hold are not compared again.
-
-Exact copies of a vector would fill the windows of each other, so at most k + 1 copies (those with the smallest ids) enter
-the curves; every further copy has the first k copies, at distance 0, as its neighbours. Pairs that straddle two range
-partitions are found by the other orderings only, or as crowded rows; a partition holds tens of thousands of rows.
+1. Every vector is projected several times (principal axes, a random rotation and a shift for each ordering) and gets the
+   index of its cell on a Hilbert curve of ``DIMS`` dimensions and ``BITS`` bits, so fine that dense groups are told apart.
+2. How many orderings and how wide a window are needed is measured, not fixed: ``SAMPLE`` rows are compared with all rows, and
+   one pass counts how far their true neighbours lie from them in each ordering. The cheapest pair of both that finds the
+   asked ``recall`` of these neighbours is taken. A window is never below ``WINDOW_LEAST``, so tables up to that size are
+   compared completely.
+3. All orderings are range-partitioned and sorted together; every vector is compared with the vectors of its window in blocks
+   of one matrix product, and the nearest ones by exact distance in float64 leave. What a window would see beyond the border
+   of its range is compared in a second step: the outermost rows of neighbouring ranges meet in one bounded group.
+4. The best of all orderings are merged by exact distance.
+
+Where no window up to ``WINDOW_MOST`` would do (vectors without structure in very many dimensions) an exact way takes over:
+rows in chunks of ``CHUNK`` are broadcast and compared with all rows.
+
+Vectors travel packed without loss: numbers of few decimals as integers of two or four bytes. At most k + 1 exact copies of a
+vector (those with the smallest ids) enter the curves; every further copy has the first k copies, at distance 0.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from cartoweave.session import materialise
+from cartoweave.functions.text import let
+from cartoweave.llm.sums import matrix_sum
+from cartoweave.session import materialise, spread
 
-ORDERINGS, WINDOW, DIMS, BITS, SEED = 8, 20, 12, 3, 17
-ROWS_PER_PARTITION = 60_000
-#: A compared row is near within NEAR times the k-th distance; a row is crowded when at least the share CROWDED is near.
-NEAR, CROWDED = 1.5, 0.25
-#: Crowded rows of one broadcast, for one pivot and at most in one group, and rows compared with them at once.
-CROWD_AT_ONCE, CROWD_PIVOT, CROWD_GROUP, ROWS_AT_ONCE = 16_384, 16, 128, 4_096
+DIMS, BITS, WORD, SEED = 12, 10, 60, 17
+#: Numbers of orderings that are tried, and the cost of carrying a row into one more, in compared rows.
+ORDERINGS, CARRY = (2, 4, 8, 16), 4_000
+RECALL = 0.95
+#: Rows whose true neighbours are sought to choose the search (documented bound), and the bounds of a window.
+SAMPLE, WINDOW_LEAST, WINDOW_MOST = 1_024, 2_048, 65_536
+#: Rows of a range at least, rows compared with a window at once, candidates measured exactly at once, rows of one broadcast.
+ROWS_PER_PARTITION, ROWS_AT_ONCE, PAIRS_AT_ONCE, CHUNK = 24_000, 256, 100_000, 8_192
 
 
 def vector_from_text(text: Column | str, size: int) -> Column:
     """``size`` finite numbers written in any bracketed, comma-, semicolon- or blank-separated notation; else null."""
     col = F.col(text) if isinstance(text, str) else text
     body = F.regexp_replace(F.regexp_replace(col, r"(?i)dtype\s*=\s*[\w.']+|\b(array|list|tuple)\s*(?=[(\[])", " "), r"[\[\](){},;\s]+", " ")
-    numbers = F.transform(F.split(F.trim(body), " "), lambda x: x.try_cast("double"))
-    return _complete(numbers, size)
+    return let(F.split(F.trim(body), " "), lambda parts: _complete(F.transform(parts, lambda x: x.try_cast("double")), size))
 
 
 def vector_from_columns(cols: list[str]) -> Column:
@@ -51,12 +57,12 @@ def vector_from_columns(cols: list[str]) -> Column:
 
 
 def _complete(numbers: Column, size: int) -> Column:
-    finite = F.forall(numbers, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.when((F.size(numbers) == size) & finite, F.transform(numbers, lambda x: x + 0.0))
+    finite = lambda v: F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return let(numbers, lambda v: F.when((F.size(v) == size) & finite(v), F.transform(v, lambda x: x + 0.0)))
 
 
-def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
-    """Index on the Hilbert curve of integer cells (rows x dims), as arrays over all rows; dims * bits is at most 63."""
+def hilbert_words(cells: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Index on the Hilbert curve of integer cells (rows x dims), its bits in words of ``WORD`` bits, highest first."""
     x = cells.astype(np.uint64).T.copy()
     dims = len(x)
     one = np.uint64(1)
@@ -74,211 +80,386 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     for level in range(bits - 1, 0, -1):
         fix ^= np.where((x[-1] >> np.uint64(level)) & one == one, np.uint64((1 << level) - 1), np.uint64(0))
     x ^= fix
-    key = np.zeros(x.shape[1], np.uint64)
-    for level in range(bits - 1, -1, -1):
-        for i in range(dims):
-            key = key << one | (x[i] >> np.uint64(level)) & one
-    return key.astype(np.int64)
+    words: list[np.ndarray] = []
+    for n, (level, i) in enumerate((level, i) for level in range(bits - 1, -1, -1) for i in range(dims)):
+        if n % WORD == 0:
+            words.append(np.zeros(x.shape[1], np.uint64))
+        words[-1] = words[-1] << one | (x[i] >> np.uint64(level)) & one
+    return [w.astype(np.int64) for w in words]
+
+
+def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
+    """The index of at most ``WORD`` bits as one integer."""
+    (word,) = hilbert_words(cells, bits)
+    return word
+
+
+def pack(x: np.ndarray) -> list[bytes]:
+    """Every row as bytes, without loss: two or four bytes a number where that holds it exactly, else eight."""
+    made: list[bytes] = [b""] * len(x)
+    left = np.arange(len(x))
+    for kind, scale in ((np.int16, 1e4), (np.int32, 1e7)):
+        scaled = np.rint(x[left] * scale)
+        fits = ((np.abs(scaled) < np.iinfo(kind).max) & (scaled / scale == x[left])).all(1)
+        for i, row in zip(left[fits], scaled[fits].astype(kind), strict=True):
+            made[i] = row.tobytes()
+        left = left[~fits]
+    for i in left:
+        made[i] = x[i].tobytes()
+    return made
 
 
-def _projections(size: int, orderings: int, dims: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each ordering a signed projection (each coordinate of the vector goes to one projected one) and shifts."""
-    made = []
-    dims = min(dims, size)
+def unpack(column: pa.Array, size: int) -> np.ndarray:
+    """The rows that ``pack`` made, as float64."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    width = np.diff(offsets) // max(size, 1)
+    out = np.empty((len(column), size))
+    for kind, scale in ((np.int16, 1e4), (np.int32, 1e7), (np.float64, 1.0)):
+        rows = np.flatnonzero(width == np.dtype(kind).itemsize)
+        if len(rows):
+            at = offsets[rows][:, None] + np.arange(size * np.dtype(kind).itemsize)
+            out[rows] = np.ascontiguousarray(data[at]).view(kind) / scale
+    return out
+
+
+@dataclass
+class Curves:
+    """Projections of all orderings; ``keys`` gives the words of the Hilbert index of rows in one of them."""
+
+    mean: np.ndarray
+    axes: list[np.ndarray]
+    shifts: list[np.ndarray]
+    scales: list[float]
+
+    def keys(self, x: np.ndarray, o: int) -> list[np.ndarray]:
+        y = (x - self.mean) @ self.axes[o] / self.scales[o]
+        top = 1 << BITS
+        cells = np.clip(np.floor((y / 8 + 0.5 + self.shifts[o]) * top), 0, top - 1)
+        words = hilbert_words(cells, BITS)
+        return [*words, *[np.zeros(len(x), np.int64)] * (2 - len(words))]
+
+    def places(self, x: np.ndarray, ids: np.ndarray, o: int) -> np.ndarray:
+        """Sortable keys of rows in ordering ``o``; rows of one cell are ordered by id."""
+        parts = [*self.keys(x, o), ids ^ np.int64(-(2**63))]
+        return np.ascontiguousarray(np.stack(parts, 1).astype(">i8")).view("S24").ravel()
+
+
+def curves_of(n: int, total: np.ndarray, products: np.ndarray, orderings: int, seed: int) -> Curves:
+    """Principal axes that hold 95 % of the variance, rotated at random for every ordering."""
+    mean = total / n
+    cov = products / n - np.outer(mean, mean)
+    values, vectors = np.linalg.eigh((cov + cov.T) / 2)
+    by = np.argsort(-values)
+    values, vectors = np.maximum(values[by], 0), vectors[:, by]
+    dims = min(DIMS, len(mean))
+    share = np.cumsum(values) / max(values.sum(), 1e-300)
+    top = min(len(mean), max(dims, int(np.searchsorted(share, 0.95)) + 1))
+    axes, shifts, scales = [], [], []
     for o in range(orderings):
         rng = np.random.default_rng([seed, o])
-        a = np.zeros((size, dims))
-        a[rng.permutation(size), np.arange(size) % dims] = rng.choice([-1.0, 1.0], size)
-        made.append((a, rng.uniform(0, 1, dims)))
-    return made
+        a = vectors[:, :top] @ np.linalg.qr(rng.standard_normal((top, dims)))[0]
+        axes.append(a)
+        shifts.append(rng.uniform(-0.03, 0.03, dims))
+        scales.append(float(np.sqrt(max(np.einsum("ij,ik,kj->j", a, cov, a).max(), 1e-24))))
+    return Curves(mean, axes, shifts, scales)
 
 
-def _matrix(column: pa.Array, size: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+def _moments(kept: DataFrame, size: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, sums and products of all vectors, summed on the executors."""
 
+    def make(b: pa.RecordBatch, total: np.ndarray) -> None:
+        x = np.c_[np.ones(b.num_rows), unpack(b.column("p"), size)]
+        total += x.T @ x
 
-def _moments(vectors: DataFrame, size: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, means and covariance of all vectors: one partial row per task, merged per task block, then on the driver."""
+    m = matrix_sum(kept.select("p"), make, size + 1, size + 1)
+    return int(m[0, 0]), m[0, 1:], m[1:, 1:]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, s, q = 0, np.zeros(size), np.zeros(size)
-        for b in batches:
-            x = _matrix(b.column("v"), size)
-            n, s, q = n + len(x), s + x.sum(0), q + (x * x).sum(0)
-        yield pa.RecordBatch.from_pydict({"n": [n] * size, "i": np.arange(size, dtype=np.int32), "s": s, "q": q})
-
-    rows = vectors.select("v").mapInArrow(run, "n long, i int, s double, q double").groupBy("i").agg(F.sum("n"), F.sum("s"), F.sum("q")).orderBy("i").collect()
-    if not rows or not rows[0][1]:
-        return 0, np.zeros(size), np.ones(size)
-    n = rows[0][1]
-    mean = np.array([r[2] for r in rows]) / n
-    return n, mean, np.sqrt(np.maximum(np.array([r[3] for r in rows]) / n - mean**2, 1e-12))
-
-
-def _window_best(ids: np.ndarray, order: np.ndarray, v: np.ndarray, lo: int, hi: int, k: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For rows lo..hi-1 the k best of the rows at most ``window`` places away in the same ordering, and whether they are crowded."""
-    m = hi - lo
-    dist = np.full((m, 2 * window), np.inf)
-    other = np.full((m, 2 * window), np.iinfo(np.int64).max)
-    for s in range(1, window + 1):
-        for col, step in ((2 * s - 2, s), (2 * s - 1, -s)):
-            a = np.arange(max(lo, -step), min(hi, len(ids) - step))
-            if not len(a):
-                continue
-            a = a[order[a] == order[a + step]]
-            d = v[a] - v[a + step]
-            dist[a - lo, col] = np.sqrt(np.einsum("ij,ij->i", d, d))
-            other[a - lo, col] = ids[a + step]
-    by_id = np.argsort(other, axis=1)
-    dist, other = np.take_along_axis(dist, by_id, 1), np.take_along_axis(other, by_id, 1)
-    best = np.argsort(dist, axis=1, kind="stable")[:, :k]
-    last = np.take_along_axis(dist, best[:, -1:], 1)
-    met = np.isfinite(dist).sum(1)
-    crowded = (met >= window) & ((np.isfinite(dist) & (dist <= NEAR * last)).sum(1) >= CROWDED * met)
-    dist, other = np.take_along_axis(dist, best, 1), np.take_along_axis(other, best, 1)
-    ok = np.isfinite(dist)
-    return np.repeat(ids[lo:hi], ok.sum(1)), other[ok], dist[ok], np.repeat(crowded, ok.sum(1))
-
-
-def _crowd(ids: np.ndarray, v: np.ndarray, bound: np.ndarray) -> dict[str, np.ndarray]:
-    """Crowded rows in groups around every CROWD_PIVOT-th of them, with the distance from a group's centre beyond which no row can matter."""
-    pivot = v[::CROWD_PIVOT]
-    squares = (pivot * pivot).sum(1) / 2
-    nearest_pivot = np.concatenate([np.argmax(v[lo : lo + ROWS_AT_ONCE] @ pivot.T - squares, axis=1) for lo in range(0, len(v), ROWS_AT_ONCE)])
-    away = ((v - pivot[nearest_pivot]) ** 2).sum(1)
-    order = np.lexsort((ids, away, nearest_pivot))
-    ids, v, bound, of = ids[order], v[order], bound[order], nearest_pivot[order]
-    heads = np.flatnonzero(np.r_[True, np.diff(of) > 0])
-    sizes = np.diff(np.r_[heads, len(of)])
-    first = np.flatnonzero((np.arange(len(of)) - np.repeat(heads, sizes)) % CROWD_GROUP == 0)
-    sizes = np.diff(np.r_[first, len(of)])
-    centre = np.add.reduceat(v, first, axis=0) / sizes[:, None]
-    away = np.sqrt(((v - np.repeat(centre, sizes, axis=0)) ** 2).sum(1))
-    return {"ids": ids, "v": v, "bound": bound, "first": np.r_[first, len(of)], "centre": centre, "reach": np.maximum.reduceat(away + bound, first)}
-
-
-def _crowd_best(crowd: dict[str, np.ndarray], blocks: Iterator[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(id, neighbour, distance): for each crowded row the k nearest others within its bound among the rows of the blocks (ids, vectors)."""
-    own, v, centre = crowd["ids"], crowd["v"], crowd["centre"]
-    bound, size = crowd["bound"].copy(), (v * v).sum(1)
-    none = np.zeros(0)
-    kept = [(none.astype(np.int64), none.astype(np.int64), none)] * len(centre)
-    for ids, x in blocks:
-        squares = (x * x).sum(1)
-        away = squares[:, None] + (centre * centre).sum(1) - 2 * x @ centre.T
-        slack = 1e-9 * (1 + squares.max(initial=0) + size.max(initial=0))
-        meets = away <= crowd["reach"] ** 2 + slack
-        for g in np.flatnonzero(meets.any(0)):
-            lo, hi = crowd["first"][g], crowd["first"][g + 1]
-            at = np.flatnonzero(meets[:, g])
-            close = size[lo:hi, None] + squares[at] - 2 * v[lo:hi] @ x[at].T <= (bound[lo:hi] ** 2 + slack)[:, None]
-            i, j = np.nonzero(close)
-            i, j = i + lo, at[j]
-            differ = own[i] != ids[j]
-            i, j = i[differ], j[differ]
-            if not len(i):
-                continue
-            d = v[i] - x[j]
-            d = np.sqrt(np.einsum("ij,ij->i", d, d))
-            i, other, d = (np.concatenate(pair) for pair in zip(kept[g], (i, ids[j], d), strict=True))
-            order = np.lexsort((other, d, i))
-            i, other, d = i[order], other[order], d[order]
-            heads = np.flatnonzero(np.r_[True, np.diff(i) > 0])
-            rank = np.arange(len(i)) - np.repeat(heads, np.diff(np.r_[heads, len(i)]))
-            i, other, d, rank = i[rank < k], other[rank < k], d[rank < k], rank[rank < k]
-            kept[g] = i, other, d
-            full = rank == k - 1
-            bound[i[full]] = np.minimum(bound[i[full]], d[full])
-    i, other, d = (np.concatenate(parts) for parts in zip(*kept, strict=True))
-    return own[i], other, d
-
-
-def nearest(vectors: DataFrame, size: int, k: int = 5, orderings: int = ORDERINGS, window: int = WINDOW, dims: int = DIMS, bits: int = BITS, seed: int = SEED, within: float | None = None) -> DataFrame:
-    """(id, neighbour, distance, place): the k nearest others of every vector of ``vectors`` (id long, v array<double>).
 
-    Null ids and null vectors take no part; repeated rows of one id count once. Equal distances are ordered by the smaller
-    id. An empty table gives an empty result, a table of n <= k rows n - 1 neighbours for each. With ``within``, only neighbours
-    at most so far away matter: crowded rows whose k-th distance is beyond twice ``within`` are not searched again.
+def _exact(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distances of the rows a[i] and b[j]."""
+    out = np.empty(len(i))
+    for lo in range(0, len(i), PAIRS_AT_ONCE):
+        d = a[i[lo : lo + PAIRS_AT_ONCE]] - b[j[lo : lo + PAIRS_AT_ONCE]]
+        out[lo : lo + PAIRS_AT_ONCE] = np.sqrt((d * d).sum(1))
+    return out
+
+
+def _best(ids: np.ndarray, x: np.ndarray, own: np.ndarray, others: np.ndarray, other_ids: np.ndarray, y: np.ndarray, k: int, within: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, other, distance): for the rows ``own`` of x the k nearest of the rows ``others`` of y, ties by the smaller id.
+
+    One matrix product in float32 around the local mean leaves the candidates, with room for its error; those are measured.
     """
-    rows = materialise(vectors.where("id is not null and v is not null").select("id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(3), F.reverse("v")).alias("h2")).dropDuplicates(["id"]))
-    copy = Window.partitionBy("h1", "h2").orderBy("id")
-    kept = materialise(rows.withColumn("copy", F.row_number().over(copy)).where(F.col("copy") <= k + 1))
-    n, mean, dev = _moments(kept, size)
-    maps = _projections(size, orderings, dims, seed)
-    names = ["ordering", "index", "id", "v"]
-    schema = T.StructType([T.StructField("ordering", T.IntegerType()), T.StructField("index", T.LongType()), T.StructField("id", T.LongType()), T.StructField("v", T.ArrayType(T.DoubleType()))])
-
-    def index(x: np.ndarray, o: int) -> np.ndarray:
-        (a, shift), top = maps[o], (1 << bits) - 1
-        y = (x - mean) @ a / np.sqrt((dev**2) @ (a * a))
-        return hilbert_index(np.clip(np.floor((y + 2.5) / 5 * top + shift), 0, top), bits)
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    if not len(own) or not len(others):
+        return none
+    centre = y[others].mean(0)
+    a, b = (x[own] - centre).astype(np.float32), (y[others] - centre).astype(np.float32)
+    sa, sb = (a * a).sum(1), (b * b).sum(1)
+    d2 = sa[:, None] + sb - 2 * (a @ b.T)
+    d2[ids[own][:, None] == other_ids[others]] = np.inf
+    slack = 1e-5 * (sa + sb.max())
+    bound = (np.partition(d2, k - 1, axis=1)[:, k - 1] if len(others) > k else np.full(len(own), np.inf, np.float32)) + 2 * slack
+    if within is not None:
+        bound = np.minimum(bound, np.float32(within**2) + 2 * slack)
+    i, j = np.nonzero((d2 <= bound[:, None]) & np.isfinite(d2))
+    d = _exact(x, y, own[i], others[j])
+    by = np.lexsort((other_ids[others[j]], d, i))
+    i, j, d = i[by], j[by], d[by]
+    heads = np.flatnonzero(np.r_[True, np.diff(i) > 0]) if len(i) else np.zeros(0, np.int64)
+    rank = np.arange(len(i)) - np.repeat(heads, np.diff(np.r_[heads, len(i)]))
+    near = rank < k
+    return ids[own[i[near]]], other_ids[others[j[near]]], d[near]
+
+
+def _sample_neighbours(kept: DataFrame, size: int, k: int, within: float | None, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, vectors, place of each query, place of its neighbour) of a bounded sample compared with all rows."""
+    drawn = kept.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
+    ids, x = drawn.column("id").to_numpy(), unpack(drawn.column("p").combine_chunks(), size)
+    shared = kept.sparkSession.sparkContext.broadcast((ids, x))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, v = shared.value
+        kept_d, kept_id = np.full((len(own), k), np.inf), np.full((len(own), k), -1, np.int64)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 4 * ROWS_AT_ONCE):
+                b = whole.slice(lo, 4 * ROWS_AT_ONCE)
+                y, other = unpack(b.column("p"), size), b.column("id").to_numpy()
+                d = (v * v).sum(1)[:, None] + (y * y).sum(1) - 2 * v @ y.T
+                d[own[:, None] == other] = np.inf
+                d, other = np.concatenate([kept_d, d], 1), np.concatenate([kept_id, np.broadcast_to(other, d.shape)], 1)
+                near = np.argpartition(d, k - 1, axis=1)[:, :k]
+                kept_d, kept_id = np.take_along_axis(d, near, 1), np.take_along_axis(other, near, 1)
+        real = np.isfinite(kept_d)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, real.sum(1))), pa.array(kept_id[real]), pa.array(np.sqrt(np.maximum(kept_d[real], 0)))], ["id", "neighbour", "distance"])
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = _matrix(b.column("v"), size)
-            for o in range(orderings):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, o, np.int32)), pa.array(index(x, o)), b.column("id"), b.column("v")], names)
+    place = Window.partitionBy("id").orderBy("distance", "neighbour")
+    pairs = kept.mapInArrow(compare, "id long, neighbour long, distance double").withColumn("place", F.row_number().over(place)).where(F.col("place") <= k)
+    if within is not None:
+        pairs = pairs.where(F.col("distance") <= within)
+    found = pairs.select("id", "neighbour").toArrow()
+    shared.unpersist()
+    query, other = found.column("id").to_numpy(), found.column("neighbour").to_numpy()
+    further = np.setdiff1d(other, ids)
+    if len(further):
+        spark = kept.sparkSession
+        wanted = spark.createDataFrame(pa.table({"id": further}))
+        more = kept.join(F.broadcast(wanted), "id").toArrow()
+        ids, x = np.r_[ids, more.column("id").to_numpy()], np.r_[x, unpack(more.column("p").combine_chunks(), size)]
+    by = np.argsort(ids)
+    ids, x = ids[by], x[by]
+    return ids, x, np.searchsorted(ids, query), np.searchsorted(ids, other)
+
+
+@dataclass
+class Search:
+    """The chosen search: orderings, places on either side, and the share of the sample's neighbours these find."""
+
+    orderings: int
+    window: int
+    recall: float
+
+
+def choose_search(kept: DataFrame, size: int, n: int, curves: Curves, k: int, within: float | None, recall: float, sample: int) -> Search:
+    """The cheapest orderings and window that find ``recall`` of the neighbours of the sample.
+
+    One pass counts the rows between the sample's rows and their neighbours in every ordering; its result has a fixed size.
+    """
+    if n <= WINDOW_LEAST + 1:
+        return Search(1, n, 1.0)
+    ids, x, query, other = _sample_neighbours(kept, size, k, within, sample)
+    if not len(query):
+        return Search(ORDERINGS[0], WINDOW_LEAST, 1.0)
+    most = ORDERINGS[-1]
+    places = [np.sort(curves.places(x, ids, o)) for o in range(most)]
+    shared = kept.sparkSession.sparkContext.broadcast((curves, places))
+
+    def make(b: pa.RecordBatch, total: np.ndarray) -> None:
+        own, cuts = shared.value
+        v, i = unpack(b.column("p"), size), b.column("id").to_numpy()
+        for o in range(most):
+            at = np.searchsorted(cuts[o], own.places(v, i, o), "right")
+            total[o] += np.bincount(at, minlength=total.shape[1])
+
+    counts = matrix_sum(kept, make, most, len(ids) + 1)
+    shared.unpersist()
+    apart = []
+    for o in range(most):
+        rank = np.cumsum(counts[o])[np.searchsorted(places[o], curves.places(x, ids, o))]
+        apart.append(np.abs(rank[query] - rank[other]))
+    found = []
+    for m in ORDERINGS:
+        least = np.minimum.reduce(apart[:m])
+        window = max(WINDOW_LEAST, int(np.quantile(least, min(1.0, recall), method="higher")))
+        found.append((m * (2 * window + CARRY), Search(m, window, float((least <= window).mean()))))
+    return min(found, key=lambda s: (s[1].window > WINDOW_MOST, s[0]))[1]
+
+
+RESULT = "id long, neighbour long, distance double, seam long, side int, w0 long, w1 long, ordering int, p binary"
 
-    parts = max(1, -(-n * orderings // ROWS_PER_PARTITION))
-    placed = kept.select("id", "v").mapInArrow(keyed, schema)
-    placed = placed.repartitionByRange(parts, "ordering", "index", "id") if parts > 1 else placed.coalesce(1)
-    placed = placed.sortWithinPartitions("ordering", "index", "id")
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pairs_batch(a: np.ndarray, b: np.ndarray, d: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d), *[pa.nulls(len(a), f.type) for f in list(schema)[3:]]], schema=schema)
+
+
+_SCHEMA = pa.schema([("id", pa.int64()), ("neighbour", pa.int64()), ("distance", pa.float64()), ("seam", pa.int64()), ("side", pa.int32()), ("w0", pa.int64()), ("w1", pa.int64()), ("ordering", pa.int32()), ("p", pa.binary())])
+
+
+def _scan(size: int, window: int, k: int, within: float | None, parts: int):  # noqa: ANN202
+    """The comparison of one sorted range: pairs, and the outermost rows on either side for the seams."""
+
+    def seam_rows(t: pa.Table, seam: int, side: int) -> pa.RecordBatch:
+        n = t.num_rows
+        one = t.combine_chunks()
+        cols = [one.column(c).chunk(0) if n else pa.array([], _SCHEMA.field(c).type) for c in ("id", "w0", "w1", "ordering", "p")]
+        return pa.RecordBatch.from_arrays([cols[0], pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.array(np.full(n, seam, np.int64)), pa.array(np.full(n, side, np.int32)), *cols[1:4], cols[4]], schema=_SCHEMA)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId() if TaskContext.get() else 0
         ids, order, v = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros((0, size))
-        at = 0
+        at, head, tail = 0, [], []
         for b in _ended(batches):
             if b is not None:
-                ids = np.concatenate([ids, b.column("id").to_numpy()])
-                order = np.concatenate([order, b.column("ordering").to_numpy()])
-                v = np.concatenate([v, _matrix(b.column("v"), size)])
+                if not b.num_rows:
+                    continue
+                ids, order = np.concatenate([ids, b.column("id").to_numpy()]), np.concatenate([order, b.column("ordering").to_numpy()])
+                v = np.concatenate([v, unpack(b.column("p"), size)])
+                if parts > 1:
+                    if sum(x.num_rows for x in head) < window:
+                        head.append(b.slice(0, window - sum(x.num_rows for x in head)))
+                    tail.append(b)
+                    while len(tail) > 1 and sum(x.num_rows for x in tail[1:]) >= window:
+                        tail.pop(0)
             upto = len(ids) if b is None else max(at, len(ids) - window)
-            if upto > at:
-                a, c, d, crowded = _window_best(ids, order, v, at, upto, k, window)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(d), pa.array(crowded)], ["id", "neighbour", "distance", "crowded"])
+            lo = at
+            while lo < upto:
+                hi = min(upto, lo + ROWS_AT_ONCE)
+                seg_lo, seg_hi = int(np.searchsorted(order, order[lo], "left")), int(np.searchsorted(order, order[lo], "right"))
+                hi = min(hi, seg_hi)
+                others = np.arange(max(seg_lo, lo - window), min(seg_hi, hi + window))
+                yield _pairs_batch(*_best(ids, v, np.arange(lo, hi), others, ids, v, k, within), _SCHEMA)
+                lo = hi
             cut = max(0, upto - window)
             ids, order, v, at = ids[cut:], order[cut:], v[cut:], upto - cut
+        if parts > 1 and head:
+            first, last = pa.Table.from_batches(head), pa.Table.from_batches(tail)
+            yield seam_rows(first, part - 1, 1)
+            yield seam_rows(last.slice(max(0, last.num_rows - window)), part, 0)
+
+    return run
+
+
+def _seam(size: int, window: int, k: int, within: float | None):  # noqa: ANN202
+    """The comparison across one border between ranges: at most ``window`` rows of either side."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        made = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        side, order = t.column("side").to_numpy(), t.column("ordering").to_numpy()
+        ids, v = t.column("id").to_numpy(), unpack(t.column("p").combine_chunks(), size)
+        w = [t.column(c).to_numpy() for c in ("w0", "w1")]
+        by = np.lexsort((ids, w[1], w[0], order, side))
+        side, order, ids, v = side[by], order[by], ids[by], v[by]
+        parts = []
+        for o in np.intersect1d(order[side == 0], order[side == 1]):
+            left, right = np.flatnonzero((side == 0) & (order == o)), np.flatnonzero((side == 1) & (order == o))
+            for lo in range(0, len(left), ROWS_AT_ONCE):
+                own = left[lo : lo + ROWS_AT_ONCE]
+                parts.append(_best(ids, v, own, right[: max(0, window - (len(left) - 1 - lo - len(own) + 1))], ids, v, k, within))
+            for lo in range(0, len(right), ROWS_AT_ONCE):
+                own = right[lo : lo + ROWS_AT_ONCE]
+                parts.append(_best(ids, v, own, left[max(0, len(left) - (window - lo)) :] if window > lo else left[:0], ids, v, k, within))
+        made = [np.concatenate(x) for x in zip(made, *parts, strict=True)] if parts else made
+        return pa.table({"id": made[0], "neighbour": made[1], "distance": made[2]})
+
+    return run
+
+
+def _all_pairs(kept: DataFrame, size: int, n: int, k: int, within: float | None) -> DataFrame:
+    """Every row against all rows: chunks of at most about ``CHUNK`` rows are broadcast, one pass over the rows for each."""
+    chunks = -(-n // CHUNK)
+    made = None
+    for c in range(chunks):
+        one = kept.where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == c).orderBy("id").toArrow()
+        shared = kept.sparkSession.sparkContext.broadcast((one.column("id").to_numpy(), unpack(one.column("p").combine_chunks(), size)))
+
+        def compare(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            ids, x = shared.value
+            for b in batches:
+                other, y = b.column("id").to_numpy(), unpack(b.column("p"), size)
+                for lo in range(0, len(ids), ROWS_AT_ONCE):
+                    a, o, d = _best(ids, x, np.arange(lo, min(len(ids), lo + ROWS_AT_ONCE)), np.arange(len(other)), other, y, k, within)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(o), pa.array(d)], ["id", "neighbour", "distance"])
+
+        part = materialise(_top(kept.mapInArrow(compare, "id long, neighbour long, distance double"), k))
+        shared.destroy()
+        made = part if made is None else made.union(part)
+    return made
+
 
-    found = placed.mapInArrow(scan, "id long, neighbour long, distance double, crowded boolean")
+def _top(pairs: DataFrame, k: int) -> DataFrame:
     place = Window.partitionBy("id").orderBy("distance", "neighbour")
+    merged = pairs.groupBy("id", "neighbour").agg(F.min("distance").alias("distance"))
+    return merged.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k)
 
-    def best(pairs: DataFrame) -> DataFrame:
-        merged = pairs.groupBy("id", "neighbour").agg(F.min("distance").alias("distance"), F.max("crowded").alias("crowded"))
-        return merged.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k)
 
-    ranked = materialise(best(found))
-    bounds = ranked.groupBy("id").agg(F.max("distance").alias("bound"), F.max("crowded").alias("crowded")).where("crowded")
-    if within is not None:
-        bounds = bounds.where(F.col("bound") <= 2 * within).withColumn("bound", F.least("bound", F.lit(float(within))))
+def nearest(vectors: DataFrame, size: int, k: int = 5, within: float | None = None, recall: float = RECALL, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
+    """(id, neighbour, distance, place): the k nearest others of every vector of ``vectors`` (id long, v array<double>).
+
+    Null ids and null vectors take no part; repeated rows of one id count once. Equal distances are ordered by the smaller
+    id. An empty table gives an empty result, a table of n <= k rows n - 1 neighbours for each. With ``within``, only
+    neighbours at most so far away are sought and returned. ``recall`` is the share of the true neighbours that the search is
+    chosen to find, as measured on ``sample`` rows; up to ``WINDOW_LEAST`` rows the result is exact.
+    """
 
-    def along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), b.column("bound"), pa.array(index(_matrix(b.column("v"), size), 0))], ["id", "v", "bound", "index"])
+            v = b.column("v")
+            full = v.is_valid()
+            x = v.filter(full).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+            yield pa.RecordBatch.from_arrays([b.column("id").filter(full), pa.array(pack(x), pa.binary())], ["id", "p"])
+
+    rows = vectors.where("id is not null").select(F.col("id").cast("long").alias("id"), "v").mapInArrow(packed, "id long, p binary")
+    rows = materialise(rows.withColumn("h1", F.xxhash64("p")).withColumn("h2", F.xxhash64(F.lit(3), "p")))
+    own = materialise(rows.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("id", "h.h1", "h.h2"))
+    copy = own.withColumn("copy", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))).where(F.col("copy") <= k + 1)
+    copies = materialise(copy.join(rows.groupBy("h1", "h2").agg(F.first("p").alias("p")), ["h1", "h2"]))
+    kept = spread(copies.select("id", "p"))
+    n, total, products = _moments(kept, size)
+    if not n:
+        return kept.select("id", F.col("id").alias("neighbour"), F.lit(0.0).alias("distance"), F.lit(1).alias("place"))
+    curves = curves_of(n, total, products, ORDERINGS[-1], seed)
+    search = choose_search(kept, size, n, curves, k, within, recall, sample)
+    if search.window > WINDOW_MOST:
+        ranked = _all_pairs(kept, size, n, k, within)
+    else:
+        ranked = _by_curves(kept, size, n, curves, search, k, within)
+    firsts = copies.where(F.col("copy") <= k).select("h1", "h2", F.col("id").alias("neighbour"), F.col("copy").alias("place"))
+    full = copies.where(F.col("copy") == k + 1).select("h1", "h2", F.col("id").alias("last"))
+    further = own.join(full, ["h1", "h2"]).where("id > last").select("id", "h1", "h2").join(firsts, ["h1", "h2"]).select("id", "neighbour", F.lit(0.0).alias("distance"), "place")
+    return ranked.select("id", "neighbour", "distance", "place").unionByName(further)
 
-    asked = materialise(kept.join(bounds, "id").select("id", "v", "bound").mapInArrow(along, "id long, v array<double>, bound double, index long"))
-    chunks = -(-asked.count() // CROWD_AT_ONCE)
-    if chunks > 1:
-        asked = materialise(asked.repartitionByRange(chunks, "index", "id").withColumn("chunk", F.spark_partition_id()))
-    again = ranked.drop("place")
-    for c in range(chunks):
-        rows_of = (asked.where(F.col("chunk") == c) if chunks > 1 else asked).orderBy("index", "id").toArrow()
-        if not rows_of.num_rows:
-            continue
-        one = rows_of.combine_chunks().to_batches()[0]
-        shared = vectors.sparkSession.sparkContext.broadcast(_crowd(one.column("id").to_numpy(), _matrix(one.column("v"), size), one.column("bound").to_numpy()))
 
-        def compare(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            blocks = ((b.column("id").to_numpy(), _matrix(b.column("v"), size)) for whole in batches for b in (whole.slice(lo, ROWS_AT_ONCE) for lo in range(0, whole.num_rows, ROWS_AT_ONCE)))
-            a, c, d = _crowd_best(shared.value, blocks, k)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(d), pa.array(np.ones(len(a), bool))], ["id", "neighbour", "distance", "crowded"])
-
-        again = again.union(kept.select("id", "v").mapInArrow(compare, "id long, neighbour long, distance double, crowded boolean"))
-    if chunks:
-        ranked = best(again)
-    firsts = kept.where(F.col("copy") <= k).select("h1", "h2", F.col("id").alias("neighbour"), F.col("copy").alias("place"))
-    full = kept.where(F.col("copy") == k + 1).select("h1", "h2", F.col("id").alias("last"))
-    further = rows.join(full, ["h1", "h2"]).where("id > last").select("id", "h1", "h2").join(firsts, ["h1", "h2"]).select("id", "neighbour", F.lit(0.0).alias("distance"), "place")
-    return ranked.select("id", "neighbour", "distance", "place").unionByName(further)
+def _by_curves(kept: DataFrame, size: int, n: int, curves: Curves, search: Search, k: int, within: float | None) -> DataFrame:
+    shared = kept.sparkSession.sparkContext.broadcast(curves)
+    names = ["ordering", "w0", "w1", "id", "p"]
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = unpack(b.column("p"), size)
+            for o in range(search.orderings):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, o, np.int32)), *[pa.array(w) for w in shared.value.keys(x, o)], b.column("id"), b.column("p")], names)
+
+    parts = max(1, n * search.orderings // max(ROWS_PER_PARTITION, 4 * search.window))
+    placed = kept.select("id", "p").mapInArrow(keyed, "ordering int, w0 long, w1 long, id long, p binary")
+    placed = placed.repartitionByRange(parts, *names[:4]) if parts > 1 else placed.coalesce(1)
+    found = placed.sortWithinPartitions(*names[:4]).mapInArrow(_scan(size, search.window, k, within, parts), RESULT)
+    pairs = ["id", "neighbour", "distance"]
+    if parts == 1:
+        return _top(found.select(*pairs), k)
+    found = materialise(found)
+    across = found.where("seam is not null").select("seam", "side", "ordering", "w0", "w1", "id", "p").groupBy("seam").applyInArrow(_seam(size, search.window, k, within), "id long, neighbour long, distance double")
+    return _top(found.where("seam is null").select(*pairs).union(across), k)
 
 
 def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -286,7 +467,7 @@ def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]
     yield None
 
 
-def near_pairs(vectors: DataFrame, size: int, within: float, k: int = 5, **options: int) -> DataFrame:
+def near_pairs(vectors: DataFrame, size: int, within: float, k: int = 5, recall: float = 0.998, **options: int) -> DataFrame:
     """(id_a, id_b), id_a < id_b: pairs in which one is among the k nearest of the other and that are at most ``within`` apart."""
-    found = nearest(vectors, size, k, within=within, **options).where(F.col("distance") <= within)
+    found = nearest(vectors, size, k, within=within, recall=recall, **options).where(F.col("distance") <= within)
     return found.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()

@@ -85,10 +85,56 @@ def test_one_dense_group_of_distinct_vectors(spark):
     assert {tuple(r) for r in K.near_pairs(frame(spark, rows), 32, 0.3).collect()} == near
 
 
-def test_crowded_rows_in_several_chunks(spark, monkeypatch):
-    monkeypatch.setattr(K, "CROWD_AT_ONCE", 150)
+def test_rows_without_a_fitting_window_are_compared_with_all(spark, monkeypatch):
+    monkeypatch.setattr(K, "WINDOW_LEAST", 8)
+    monkeypatch.setattr(K, "WINDOW_MOST", 7)
+    monkeypatch.setattr(K, "CHUNK", 150)
     monkeypatch.setattr(K, "ROWS_AT_ONCE", 64)
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(0, 1e-3 if i % 3 else 1.0, 24)) for i in range(600)]
     got, want = found(frame(spark, rows), 24), brute(rows, 5)
     assert {i: [n for n, _ in x] for i, x in got.items()} == {i: [n for n, _ in x] for i, x in want.items()}
+
+
+def recall_of(spark, rows, size, every, **options):
+    """Share of the true five nearest of the rows with id % every == 0, by brute force over all rows."""
+    import pyarrow as pa
+
+    x = np.array(rows)
+    df = spark.createDataFrame(pa.table({"id": np.arange(len(x)), "v": pa.FixedSizeListArray.from_arrays(x.ravel(), size).cast(pa.list_(pa.float64()))}))
+    got = {}
+    for i, n in K.nearest(df, size, **options).where(f"id % {every} = 0").select("id", "neighbour").collect():
+        got.setdefault(i, set()).add(n)
+    hit = 0
+    for i in range(0, len(x), every):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        hit += len(got[i] & set(np.argpartition(d, 5)[:5].tolist()))
+    return hit / (5 * len(range(0, len(x), every)))
+
+
+def test_recall_on_many_gaussian_vectors(spark):
+    assert recall_of(spark, np.random.default_rng(5).normal(size=(120_000, 16)), 16, 500) >= 0.9
+
+
+def test_recall_on_many_blobs(spark):
+    rng = np.random.default_rng(6)
+    centres = 5 * rng.normal(size=(40, 16))
+    assert recall_of(spark, centres[rng.integers(0, 40, 120_000)] + rng.normal(0, 0.5, (120_000, 16)), 16, 500) >= 0.9
+
+
+def test_recall_across_many_small_ranges(spark, monkeypatch):
+    monkeypatch.setattr(K, "WINDOW_LEAST", 64)
+    monkeypatch.setattr(K, "ROWS_PER_PARTITION", 300)
+    rng = np.random.default_rng(7)
+    assert recall_of(spark, rng.normal(size=(4_000, 6)), 6, 4, recall=0.97) >= 0.95
+
+
+def test_packing_loses_nothing():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    x = np.r_[np.round(rng.uniform(-1, 1, (5, 4)), 4), np.round(rng.uniform(-90, 90, (5, 4)), 6), rng.normal(size=(5, 4)), [[0.0, 1e300, -1e-300, 3.2767]]]
+    packed = pa.array(K.pack(x), pa.binary())
+    assert (K.unpack(packed, 4) == x).all() and (K.unpack(packed.slice(3, 9), 4) == x[3:12]).all()
+    assert {len(b.as_py()) for b in packed} == {8, 16, 32}
