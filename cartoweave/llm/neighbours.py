@@ -467,7 +467,7 @@ def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]
     yield None
 
 
-def near_pairs(vectors: DataFrame, size: int, within: float, k: int = 5, recall: float = 0.998, **options: int) -> DataFrame:
+def near_pairs(vectors: DataFrame, size: int, within: float, k: int = 5, recall: float = 0.9995, **options: int) -> DataFrame:
     """(id_a, id_b), id_a < id_b: pairs in which one is among the k nearest of the other and that are at most ``within`` apart."""
     found = nearest(vectors, size, k, within=within, recall=recall, **options).where(F.col("distance") <= within)
     return found.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
