@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartoweave.llm import canonical, clusters, language, leaks, mixing, neighbours, subjects, terms
-from cartoweave.session import table
+from cartoweave.session import checkpoint_dir, table
 
 MAP_LOW, MAP_HIGH, MAP_STEP, MAP_LEAST = -104.0, 56.0, 0.15, 5
 HASH_SIZE, HASH_WITHIN, CODE_WITHIN, NEIGHBOURS = 64, 1.2, 0.6, 5
 CODE_COLUMNS = [f"c{i}" for i in range(16)]
+#: The last so manieth part of the time in which tweets were stored is merged as a change set.
+LATE = 10
 TEXT_RARE, TEXT_COMMON, WORD_RARE, WORD_COMMON = 5, 0.1, 10, 0.9
 
 
@@ -85,23 +88,34 @@ def p4_nearest(spark: SparkSession, d: str) -> DataFrame:
     return users.union(codes).select("tbl", "id", "neighbour", F.round("distance", 9).alias("distance"), F.col("place").cast("long").alias("place"))
 
 
-def _text_counts(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
-    tweets = terms.latest_records(table(spark, d, "raw_tweets"), "tweet_id", "text")
-    total = table(spark, d, "raw_tweets").where("tweet_id is not null").select("tweet_id").distinct().count()
-    return terms.merge_counts(None, terms.text_deltas(tweets, "text")), total
+def _store_path(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark)}/terms-{uuid.uuid4().hex}"
 
 
-def _word_counts(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
-    rows = table(spark, d, "fake_word_vectors").select("user_id", "word_id", "count").distinct()
-    total = table(spark, d, "fake_word_vectors").where("user_id is not null and word_id is not null and count > 0").select("user_id").distinct().count()
-    return terms.merge_counts(None, terms.valued_deltas(rows, "word_id", "count", "user_id")), total
+def _text_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of the tweets: a first load, then the tweets stored in the last tenth of the time as a signed change set."""
+    tweets = table(spark, d, "raw_tweets").where("tweet_id is not null").select("tweet_id", "text", "stored_at")
+    low, high = tweets.agg(F.min(F.to_date("stored_at")), F.max(F.to_date("stored_at"))).first()
+    late = F.coalesce(F.col("stored_at") >= F.lit(str(high - (high - low) / LATE)).cast("timestamp_ntz"), F.lit(False)) if high else F.lit(False)
+    first, later = tweets.where(~late), tweets.where(late)
+    store = terms.TermStore(spark, _store_path(spark))
+    store.apply(terms.text_deltas(terms.latest_records(first, "tweet_id", "text"), "text"))
+    store.apply(terms.text_deltas(terms.change_set(first, later, "tweet_id", "text", whole=False), "text", "sign"))
+    return store.table()
+
+
+def _word_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of the word vectors, whose rows carry a term and its count."""
+    store = terms.ValuedStore(spark, _store_path(spark))
+    store.apply(terms.row_deltas(table(spark, d, "fake_word_vectors"), "word_id", "count", "user_id"))
+    return store.counts()
 
 
 def p5_terms(spark: SparkSession, d: str) -> DataFrame:
     """Every term with its occurrences, its records and its mark."""
     made = []
-    for field, (counts, total), rare, common in (("raw_tweets.text", _text_counts(spark, d), TEXT_RARE, TEXT_COMMON), ("fake_word_vectors.word_id", _word_counts(spark, d), WORD_RARE, WORD_COMMON)):
-        made.append(terms.mark_terms(counts, total, rare, common).withColumn("field", F.lit(field)))
+    for field, counts, rare, common in (("raw_tweets.text", _text_counts(spark, d), TEXT_RARE, TEXT_COMMON), ("fake_word_vectors.word_id", _word_counts(spark, d), WORD_RARE, WORD_COMMON)):
+        made.append(terms.mark_terms(counts, terms.record_total(counts), rare, common).withColumn("field", F.lit(field)))
     return made[0].union(made[1]).select("field", "term", "occurrences", "records", "mark")
 
 

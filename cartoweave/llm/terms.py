@@ -2,18 +2,28 @@
 
 A change set holds records that were added (+1), deleted (-1) or changed (-1 for the old form, +1 for the new one). Only
 these records are tokenised; their signed contributions are pre-aggregated per term and merged into the persistent counts,
-which are partitioned by a hash of the term, so a merge rewrites partitions and never touches unchanged records.
+which are partitioned by a hash of the term. A merge rewrites the partitions that hold a changed term and no other ones.
 
 Terms: in texts the longest runs of Unicode letters and digits after lower-casing, as stored. Null and empty texts hold no
-term but count as records. Everything runs on the JVM.
+term but count as records. Rows that carry a term and a count instead need to know which rows of the same term and record
+are there already: their state (term, record, count, copies) is kept beside the counts, and a change of the counts is derived
+from the state before and after. The row whose term is null stands for all records: its ``records`` is their number.
+Everything runs on the JVM.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartoweave.session import materialise
+
 NOT_TERM = r"[^\p{L}\p{Nd}]+"
+#: Rows that a partition of a store is laid out for at its first load.
+ROWS_PER_BUCKET = 2_000_000
 
 
 def term_array(text: Column | str) -> Column:
@@ -23,92 +33,183 @@ def term_array(text: Column | str) -> Column:
 
 
 def _term_counts(text: Column) -> Column:
-    """Array of (term, first): one element per occurrence, ``first`` is 1 for one occurrence of each term of the record."""
-    terms = F.sort_array(term_array(text))
-    return F.when(F.size(terms) > 0, F.zip_with(terms, F.concat(F.array(F.lit(None).cast("string")), F.slice(terms, 1, F.greatest(F.size(terms) - 1, F.lit(0)))), lambda a, b: F.struct(a.alias("term"), F.when(a.eqNullSafe(b), 0).otherwise(1).alias("first"))))
+    """Array of (term, first): one element per occurrence, ``first`` is 1 for one occurrence of each term of the record; the first one stands for the record."""
+    terms = F.sort_array(F.concat(F.array(F.lit(None).cast("string")), F.coalesce(term_array(text), F.array().cast("array<string>"))))
+    before = F.concat(F.array(F.lit("").cast("string")), F.slice(terms, 1, F.size(terms) - 1))
+    return F.zip_with(terms, before, lambda a, b: F.struct(a.alias("term"), F.when(a.eqNullSafe(b), 0).otherwise(1).alias("first")))
+
+
+def _sign(sign_col: str | None) -> Column:
+    return F.col(sign_col).cast("long") if sign_col else F.lit(1).cast("long")
 
 
 def text_deltas(records: DataFrame, text_col: str, sign_col: str | None = None) -> DataFrame:
     """(term, occurrences, records): signed changes that the records make. ``sign_col`` holds +1 or -1; without it all are added."""
-    sign = F.col(sign_col).cast("long") if sign_col else F.lit(1).cast("long")
-    each = records.select(_term_counts(F.col(text_col)).alias("terms"), sign.alias("sign")).select("sign", F.inline("terms"))
+    each = records.select(_term_counts(F.col(text_col)).alias("terms"), _sign(sign_col).alias("sign")).select("sign", F.inline("terms"))
     return each.groupBy("term").agg(F.sum("sign").alias("occurrences"), F.sum(F.col("sign") * F.col("first")).alias("records"))
 
 
-def valued_deltas(records: DataFrame, term_col: str, count_col: str, record_col: str, sign_col: str | None = None) -> DataFrame:
-    """(term, occurrences, records) for rows that already carry a term and its count; one record may have several rows.
+def row_deltas(records: DataFrame, term_col: str, count_col: str, record_col: str, sign_col: str | None = None) -> DataFrame:
+    """(term, record, n, copies): signed numbers of rows that already carry a term and its count.
+
+    Rows whose count is null, zero or negative, or whose term or record is null, hold nothing. The null term stands for the
+    record itself.
+    """
+    used = F.col(term_col).isNotNull() & F.col(record_col).isNotNull() & (F.col(count_col) > 0)
+    n = F.col(count_col).cast("long")
+    both = F.array(F.struct(F.col(term_col).cast("string").alias("term"), n.alias("n")), F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).cast("long").alias("n")))
+    rows = records.where(used).select(F.col(record_col).cast("string").alias("record"), _sign(sign_col).alias("sign"), F.inline(both))
+    return rows.groupBy("term", "record", "n").agg(F.sum("sign").alias("copies")).where("copies <> 0")
+
+
+def merge_rows(state: DataFrame | None, deltas: DataFrame) -> DataFrame:
+    """(term, record, n, copies, before): the state after the deltas; ``before`` is the number of copies before them."""
+    new = deltas.select("term", "record", "n", "copies", F.lit(0).cast("long").alias("before"))
+    if state is not None:
+        new = new.union(state.select("term", "record", "n", "copies", F.col("copies").alias("before")))
+    return new.groupBy("term", "record", "n").agg(F.sum("copies").alias("copies"), F.sum("before").alias("before"))
+
+
+def valued_deltas(merged: DataFrame) -> DataFrame:
+    """(term, occurrences, records): the change of the counts that a ``merge_rows`` makes.
 
-    A record counts once per term however many of its rows hold it. Rows whose count is null, zero or negative, or whose
-    term or record is null, hold nothing.
+    Repeated rows of one term, record and count count once; a record counts once per term however many of its rows hold it.
     """
-    sign = F.col(sign_col).cast("long") if sign_col else F.lit(1).cast("long")
-    rows = records.where(F.col(term_col).isNotNull() & F.col(record_col).isNotNull() & (F.col(count_col) > 0)).select(F.col(term_col).cast("string").alias("term"), F.col(record_col).alias("record"), (F.col(count_col) * sign).cast("long").alias("n"), sign.alias("sign"))
-    per = rows.groupBy("term", "record", "sign").agg(F.sum("n").alias("n"))
-    return per.groupBy("term").agg(F.sum("n").alias("occurrences"), F.sum("sign").alias("records"))
+    now, was = (F.col("copies") > 0).cast("long"), (F.col("before") > 0).cast("long")
+    per = merged.groupBy("term", "record").agg(F.sum(F.col("n") * (now - was)).alias("n"), (F.max(now) - F.max(was)).alias("r"))
+    return per.groupBy("term").agg(F.sum("n").alias("occurrences"), F.sum("r").alias("records")).where("occurrences <> 0 or records <> 0")
 
 
 def merge_counts(counts: DataFrame | None, deltas: DataFrame) -> DataFrame:
     """Counts after the deltas; terms that no record holds any more leave."""
-    if counts is None:
-        return deltas.where("records > 0 or occurrences > 0")
-    both = counts.select("term", "occurrences", "records").unionByName(deltas.select("term", "occurrences", "records"))
-    return both.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")).where("records > 0 or occurrences > 0")
+    both = deltas.select("term", "occurrences", "records")
+    if counts is not None:
+        both = both.union(counts.select("term", "occurrences", "records")).groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    return both.where("records > 0 or occurrences > 0")
+
+
+def record_total(counts: DataFrame) -> int:
+    """The number of records that the counts stand for."""
+    row = counts.where("term is null").select("records").first()
+    return int(row[0]) if row else 0
 
 
 def mark_terms(counts: DataFrame, total_records: int, rare_below: int, common_above: float) -> DataFrame:
     """Counts with ``mark``: 'rare' under ``rare_below`` occurrences, 'common' above that share of all records, else null."""
     mark = F.when(F.col("occurrences") < rare_below, "rare").when(F.col("records") > F.lit(common_above) * total_records, "common")
-    return counts.withColumn("mark", mark)
+    return counts.where("term is not null").withColumn("mark", mark)
 
 
-def change_set(before: DataFrame, after: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def change_set(before: DataFrame, after: DataFrame, id_col: str, text_col: str, whole: bool = True) -> DataFrame:
     """(text, sign): the signed records that lead from one state of a table to the next; unchanged records are left out.
 
-    Both states hold one row per id. One shuffle by id carries hashes of the texts besides the texts that changed.
+    Repeated rows of one id hold the same text and count once. With ``whole`` records that ``after`` lacks were deleted, else ``after`` holds additions
+    and changes only. Ids and hashes of the texts are compared first; the texts are then fetched for the changed ids alone
+    (their ids are broadcast by Spark while they are few).
     """
-    a = before.select(F.col(id_col).alias("id"), F.col(text_col).alias("old"), F.lit(True).alias("was"))
-    b = after.select(F.col(id_col).alias("id"), F.col(text_col).alias("new"), F.lit(True).alias("is"))
-    both = a.join(b, "id", "full").where("was is null or is is null or not (old <=> new)")
-    signed = F.array(F.when(F.col("was"), F.struct(F.col("old").alias("text"), F.lit(-1).alias("sign"))), F.when(F.col("is"), F.struct(F.col("new").alias("text"), F.lit(1).alias("sign"))))
-    return both.select(F.inline(F.filter(signed, lambda x: x.isNotNull())))
+    was, now = (df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(F.xxhash64(text_col, F.col(text_col).isNull())).alias(name)) for df, name in ((before, "was"), (after, "now")))
+    changed = materialise(was.join(now, "id", "full" if whole else "right").where("not (was <=> now)"))
+    signed = []
+    for df, name, sign in ((before, "was", -1), (after, "now", 1)):
+        own = changed.where(F.col(name).isNotNull()).select(F.col("id").alias(id_col))
+        signed.append(df.select(id_col, text_col).join(own, id_col, "left_semi").dropDuplicates([id_col]).select(F.col(text_col).alias("text"), F.lit(sign).alias("sign")))
+    return signed[0].union(signed[1])
 
 
 class TermStore:
-    """Counts kept on disk, partitioned by a hash of the term; every merge writes the next version beside the last one.
+    """A table kept on disk, partitioned by a hash of its keys; a merge writes the partitions it changes beside the last ones.
 
-    ``path`` is a folder all executors reach. A merge that is lost half-way leaves the former version in force: the
-    version is named only after its data are complete.
+    ``path`` is a folder all executors reach. A version is a manifest that names the folder of every partition and is put in
+    place by one rename after its data are complete, so a merge that is lost half-way leaves the former version in force.
+    The number of partitions follows the size of the first load.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 32) -> None:
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, path: str, rows_per_bucket: int = ROWS_PER_BUCKET, keys: tuple[str, ...] = ("term",)) -> None:
+        self.spark, self.path, self.rows_per_bucket, self.keys = spark, path.rstrip("/"), rows_per_bucket, keys
 
     def _fs(self):  # noqa: ANN202
         jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        path = jvm.org.apache.hadoop.fs.Path
+        return path, path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def version(self) -> int:
         """The last complete version; 0 where there is none."""
-        jvm, fs = self._fs()
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        if not fs.exists(root):
-            return 0
-        done = [int(x.getPath().getName()[2:]) for x in fs.listStatus(root) if x.getPath().getName().startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))]
-        return max(done, default=0)
-
-    def counts(self) -> DataFrame | None:
-        """The counts in force, or None before the first merge."""
+        path, fs = self._fs()
+        root = path(f"{self.path}/manifests")
+        return max((int(x.getPath().getName()) for x in fs.listStatus(root) if x.getPath().getName().isdigit()), default=0) if fs.exists(root) else 0
+
+    def _manifest(self, version: int) -> dict:
+        path, fs = self._fs()
+        stream = fs.open(path(f"{self.path}/manifests/{version}"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _commit(self, version: int, manifest: dict) -> None:
+        path, fs = self._fs()
+        stream = fs.create(path(f"{self.path}/manifests/_{version}"), True)
+        stream.write(json.dumps(manifest).encode())
+        stream.close()
+        if not fs.rename(path(f"{self.path}/manifests/_{version}"), path(f"{self.path}/manifests/{version}")):
+            raise RuntimeError(f"version {version} of {self.path} was written twice")
+
+    def _read(self, manifest: dict, buckets: list[int] | None = None) -> DataFrame:
+        chosen = [f"{self.path}/data/{manifest['at'][str(b)]}/bucket={b}" for b in (buckets if buckets is not None else range(manifest["buckets"])) if str(b) in manifest["at"]]
+        schema = manifest["schema"]
+        return self.spark.read.schema(schema).parquet(*chosen) if chosen else self.spark.createDataFrame([], schema)
+
+    def table(self) -> DataFrame | None:
+        """The table in force, or None before the first merge."""
         v = self.version()
-        return self.spark.read.parquet(f"{self.path}/v={v}") if v else None
+        return self._read(self._manifest(v)) if v else None
+
+    counts = table
 
     def apply(self, deltas: DataFrame) -> int:
-        """Merge signed deltas and return the number of the new version."""
+        """Merge signed deltas of counts and return the number of the new version."""
+        return self.merged(deltas, merge_counts)[0]
+
+    def merged(self, deltas: DataFrame, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> tuple[int, DataFrame]:
+        """Merge deltas (they have the keys); the number of the new version and what ``merge`` made of the touched partitions.
+
+        ``merge`` takes the stored rows (or None) and the deltas. Its columns that the store does not hold are not written;
+        rows with no ``copies`` left are not written either.
+        """
         v = self.version() + 1
-        now = self.counts()
-        merged = merge_counts(now, deltas).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
-        merged.repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v={v}")
-        return v
+        deltas = materialise(deltas)
+        manifest = self._manifest(v - 1) if v > 1 else {"buckets": max(1, -(-deltas.count() // self.rows_per_bucket)), "at": {}}
+        n = manifest["buckets"]
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(n)).cast("int")
+        touched = [r[0] for r in deltas.select(bucket.alias("b")).distinct().collect()]
+        merged = materialise(merge(self._read(manifest, touched) if v > 1 else None, deltas))
+        kept = merged.drop("before").where("copies > 0") if "copies" in merged.columns else merged
+        manifest["schema"] = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+        kept.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/{v}")
+        path, fs = self._fs()
+        for b in touched:
+            if fs.exists(path(f"{self.path}/data/{v}/bucket={b}")):
+                manifest["at"][str(b)] = v
+            else:
+                manifest["at"].pop(str(b), None)
+        self._commit(v, manifest)
+        return v, merged
+
+
+class ValuedStore:
+    """Counts of rows that carry a term and its count, with the state of these rows that signed deltas need."""
+
+    def __init__(self, spark: SparkSession, path: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> None:
+        self.state = TermStore(spark, f"{path}/rows", rows_per_bucket, ("term", "record"))
+        self.terms = TermStore(spark, f"{path}/terms", rows_per_bucket)
+
+    def apply(self, deltas: DataFrame) -> None:
+        """Merge ``row_deltas``: the state first, then the change of the counts that it makes."""
+        _, merged = self.state.merged(deltas, merge_rows)
+        self.terms.apply(valued_deltas(merged))
+
+    def counts(self) -> DataFrame | None:
+        return self.terms.table()
 
 
 def latest_records(df: DataFrame, id_col: str, *cols: str) -> DataFrame:
@@ -116,4 +217,4 @@ def latest_records(df: DataFrame, id_col: str, *cols: str) -> DataFrame:
     return df.where(F.col(id_col).isNotNull()).select(id_col, *cols).dropDuplicates([id_col])
 
 
-__all__ = ["TermStore", "change_set", "latest_records", "mark_terms", "merge_counts", "term_array", "text_deltas", "valued_deltas"]
+__all__ = ["TermStore", "ValuedStore", "change_set", "latest_records", "mark_terms", "merge_counts", "merge_rows", "record_total", "row_deltas", "term_array", "text_deltas", "valued_deltas"]
