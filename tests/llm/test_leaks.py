@@ -90,3 +90,75 @@ def test_alignment_counts_runs_in_order():
 def test_item_instruction():
     assert K.item_passages(["Do: this: that", "plain", None]).to_pylist() == [" this: that", "plain", None]
     assert isinstance(K.item_passages([]), pa.Array)
+
+
+def edited(spark, every, share=1.0):
+    """Documents that hold an item of which every so manieth word is another one, and those that only use its words."""
+    rng = random.Random(every)
+    d = "/root/testdata/sf0.01"
+    it = spark.read.parquet(f"{d}/eval_items.parquet").where("text is not null").select("item_id", "text").orderBy("item_id")
+    long = [r[0].split() for r in spark.read.parquet(f"{d}/documents.parquet").where("size(split(text, '\\\\s+')) between 60 and 300").orderBy("doc_id").limit(240).select("text").collect()]
+    docs, want = [], set()
+    for no, (i, text) in enumerate(it.collect()):
+        item = text.split(":", 1)[-1].split()
+        part = [w if k % every else "".join(rng.sample("abcdefghijkmnop", 7)) for k, w in enumerate(item[: int(len(item) * share)])]
+        body = list(long[no % len(long)])
+        cut = rng.randrange(len(body))
+        docs.append((no, " ".join(body[:cut] + part + body[cut:])))
+        want.add((no, i))
+        docs.append((1000 + no, " ".join(rng.sample(body, len(body)) + rng.sample(item, len(item)))))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    return want, {(r["id"], r["item"]) for r in K.leaked(df, "doc_id", "text", it, "item_id", "text").collect()}
+
+
+def test_every_third_word_edited(spark):
+    want, found = edited(spark, 3)
+    assert len(want - found) <= len(want) // 50, (len(want - found), len(want))
+    assert not {x for x in found - want if x[0] >= 1000}
+
+
+def test_every_second_word_edited(spark):
+    """Half of the words are left, less the one that is lost where an item has an odd number of them."""
+    want, found = edited(spark, 2)
+    it = {r["item_id"]: len(r["text"].split(":", 1)[-1].split()) for r in spark.read.parquet("/root/testdata/sf0.01/eval_items.parquet").collect()}
+    want = {(d, i) for d, i in want if it[i] % 2 == 0}
+    assert len(want) > 50 and len(want - found) <= len(want) // 20, (len(want - found), len(want))
+    assert not {x for x in found if x[0] >= 1000}
+
+
+def test_less_than_a_third_is_no_case(spark):
+    want, found = edited(spark, 1000, 0.3)
+    assert not want & found and not {x for x in found if x[0] >= 1000}
+
+
+def test_subsequence_equals_the_plain_table():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        a, b = rng.integers(0, 6, rng.integers(0, 30)), rng.integers(0, 6, rng.integers(0, 30))
+        t = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                t[i + 1, j + 1] = t[i, j] + 1 if a[i] == b[j] else max(t[i, j + 1], t[i + 1, j])
+        i, j = K.lcs_pairs(a, b)
+        assert len(i) == t[-1, -1] and (a[i] == b[j]).all() and (np.diff(i) > 0).all() and (np.diff(j) > 0).all()
+
+
+def test_cell_index_finds_most_near_pairs():
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(300, 32))
+    unit = lambda x: (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    own, x = unit(centres), unit(centres[rng.integers(0, 300, 2000)] + 0.6 * rng.normal(size=(2000, 32)))
+    i, j = K.cell_index(own).pairs(x, 0.5)
+    want = set(zip(*map(np.ndarray.tolist, np.nonzero(x @ own.T >= 0.5)), strict=True))
+    got = set(zip(i.tolist(), j.tolist(), strict=True))
+    assert got <= want and len(got) >= 0.95 * len(want)
+
+
+def test_a_document_of_many_slabs(spark, monkeypatch):
+    monkeypatch.setattr(K, "PASSAGES_AT_ONCE", 64)
+    monkeypatch.setattr(K, "ITEM_CHARS_AT_ONCE", 400)
+    rng = random.Random(7)
+    items = [(i, " ".join(words(rng, 30))) for i in range(12)]
+    docs = [(d, " ".join(words(rng, 900) + items[d][1].split() + words(rng, 900))) for d in range(12)]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["id"], r["item"]) for r in K.leaked(df, "doc_id", "text", it, "item_id", "text").collect()} == {(d, d) for d in range(12)}
