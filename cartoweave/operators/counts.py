@@ -34,9 +34,9 @@ def totals(counts: DataFrame, key: str) -> DataFrame:
 
 
 def cover(counts: DataFrame) -> DataFrame:
-    """(token, users, percent_cover): how many users use a token, and their share of all users."""
+    """(token, users, percent_cover): how many users use a token, and their share of all users; one row per user and token."""
     users = counts.agg(F.count_distinct("user").alias("all_users"))
-    per = counts.groupBy("token").agg(F.count_distinct("user").alias("users"))
+    per = counts.groupBy("token").agg(F.count("user").alias("users"))
     return per.join(F.broadcast(users)).select("token", "users", (F.col("users") / F.col("all_users")).alias("percent_cover"))
 
 

@@ -11,10 +11,10 @@ from cartoweave.operators.views import ATTEMPTS, request_view
 PAGES = 3
 
 
-def download_requests(users: DataFrame, name: str, priority: int = 0, pages: int = PAGES) -> DataFrame:
-    """A request for every page of every user; the key is a hash of its content."""
+def download_requests(users: DataFrame, name: str, priority: int = 0, pages: int = PAGES, at: Column | None = None) -> DataFrame:
+    """A request for every page of every user, made ``at`` that time (now); the key is a hash of its content."""
     made = users.select(F.col(name).alias("username")).where("username is not null").distinct().withColumn("page", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(pages).cast("bigint"))))
-    return made.select(F.sha2(F.concat_ws("/", "username", F.col("page").cast("string")), 256).alias("request_id"), "username", "page", F.lit(priority).cast("bigint").alias("priority"), F.lit("download_request").alias("doc_type"))
+    return made.select(F.sha2(F.concat_ws("/", "username", F.col("page").cast("string")), 256).alias("request_id"), "username", "page", F.lit(priority).cast("bigint").alias("priority"), F.lit("download_request").alias("doc_type"), (F.current_timestamp() if at is None else at).alias("request_time"), *[F.lit(None).cast(kind).alias(c) for c, kind in (("started_time", "timestamp"), ("completed_time", "timestamp"), ("attempts", "bigint"))])
 
 
 def dequeue(requests: DataFrame, n: int = 350, view: str = "queued_downloads") -> DataFrame:

@@ -8,14 +8,28 @@ from pyspark.sql.window import Window
 
 from cartoweave.session import materialise
 
+#: Bytes of a range, and the most ranges (each leaves one row per key for the sums of the ranges).
+RANGE_BYTES, MOST_RANGES = 256 << 20, 100_000
 
-def running_sum(df: DataFrame, keys: list[str], order: list[Column], value: Column, name: str, parts: int = 64) -> DataFrame:
+
+def in_ranges(df: DataFrame, *order: Column, parts: int | None = None) -> DataFrame:
+    """``df`` range-partitioned by an order, into ``parts`` ranges or as many as its estimated size asks for.
+
+    Up to the session's number of shuffle partitions the adaptive planner joins small ranges; beyond it the number is set.
+    """
+    asked = parts is not None
+    parts = parts or min(MOST_RANGES, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // RANGE_BYTES)
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(parts, *order) if asked or parts > usual else df.repartitionByRange(*order)
+
+
+def running_sum(df: DataFrame, keys: list[str], order: list[Column], value: Column, name: str, parts: int | None = None) -> DataFrame:
     """``df`` with the sum of ``value`` over the rows up to and with the own one, in ``order`` within ``keys``.
 
     The order should be total. Rows are range-partitioned by keys and order and summed within each range; the sums of the
-    ranges (at most ``parts`` per key) are summed up and joined back. No key is collected into one task.
+    ranges (one row per range and key) are summed up and joined back. No key is collected into one task.
     """
-    placed = materialise(df.withColumn("_v", value).repartitionByRange(parts, *[F.col(k) for k in keys], *order).withColumn("_p", F.spark_partition_id()))
+    placed = materialise(in_ranges(df.withColumn("_v", value), *[F.col(k) for k in keys], *order, parts=parts).withColumn("_p", F.spark_partition_id()))
     upto = Window.partitionBy("_p", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     sums = placed.groupBy("_p", *keys).agg(F.sum("_v").alias("_s"))
     before = sums.withColumn("_before", F.sum("_s").over(Window.partitionBy(*keys).orderBy("_p")) - F.col("_s")).drop("_s")
@@ -27,6 +41,6 @@ def running_sum(df: DataFrame, keys: list[str], order: list[Column], value: Colu
     return own.join(renamed, match).withColumn(name, F.col("_before") + F.col("_w")).select(*df.columns, name)
 
 
-def global_rank(df: DataFrame, order: list[Column], name: str = "rank", parts: int = 64) -> DataFrame:
+def global_rank(df: DataFrame, order: list[Column], name: str = "rank", parts: int | None = None) -> DataFrame:
     """``df`` with its 0-based position in a total ``order``."""
     return running_sum(df, [], order, F.lit(1).cast("bigint"), name, parts).withColumn(name, F.col(name) - 1)

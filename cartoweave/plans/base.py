@@ -26,8 +26,9 @@ def word_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def people(spark: SparkSession, d: str) -> DataFrame:
-    """(user, x, y) of the map's users, imports repeated once."""
-    return table(spark, d, "user_docs").where("doc_type = 'twuser' and trained_as_id is not null").select(F.col("trained_as_id").alias("user"), F.col("x_coord").alias("x"), F.col("y_coord").alias("y")).distinct()
+    """(user, x, y) of the map's users, imports repeated once; a coordinate that is not a number is null."""
+    number = lambda c: F.nanvl(c, F.lit(None).cast("double"))
+    return table(spark, d, "user_docs").where("doc_type = 'twuser' and trained_as_id is not null").select(F.col("trained_as_id").alias("user"), number("x_coord").alias("x"), number("y_coord").alias("y")).distinct()
 
 
 def positioned(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +64,7 @@ def request_events(spark: SparkSession, d: str) -> DataFrame:
 TWEETS = "tweets as (select distinct _id, tweet_id, doc_type, provider_namespace, username, text, lang, created_at from raw_tweets)"
 TOKENS = TWEETS + ", tokens as (select \"user\", token from (select '@' || lower(username) as \"user\", unnest(regexp_split_to_array(lower(text), '[^\\w]+')) as token from tweets where username is not null and text is not null) where token <> '')"
 COUNTS = "wc as (select user_id as \"user\", word_id as token, cast(sum(count) as bigint) as count from (select distinct user_id, word_id, count from fake_word_vectors where user_id is not null and word_id is not null and count > 0) group by all)"
-PEOPLE = "people as (select distinct trained_as_id as \"user\", x_coord as x, y_coord as y from user_docs where doc_type = 'twuser' and trained_as_id is not null)"
+PEOPLE = "people as (select distinct trained_as_id as \"user\", case when isnan(x_coord) then null else x_coord end as x, case when isnan(y_coord) then null else y_coord end as y from user_docs where doc_type = 'twuser' and trained_as_id is not null)"
 POSITIONED = COUNTS + ", " + PEOPLE + ", positioned as (select w.word as token, wc.\"user\", p.x, p.y, wc.count from wc join fake_words w on w.word_id = wc.token join people p on p.\"user\" = wc.\"user\")"
 ON_MAP = "isfinite(x) and isfinite(y) and x > -104 and x < 56 and y > -104 and y < 56"
 QUAD = "list_transform(range(14, -1, -1), lambda i: 2 * (((try_cast(trunc(-(y + 104) * 204.8) as bigint) & 32767) >> i) & 1) + ((try_cast(trunc((x + 104) * 204.8) as bigint) >> i) & 1))"

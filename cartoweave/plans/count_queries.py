@@ -229,7 +229,7 @@ def rel_p21_split(spark: SparkSession, d: str) -> DataFrame:
 def w07_running(spark: SparkSession, d: str) -> DataFrame:
     """Running quantity of every order."""
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    return running_sum(rows, ["l_orderkey"], [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")], F.col("l_quantity"), "running", 32).select("l_orderkey", "l_linenumber", F.col("running").cast("double").alias("running"))
+    return running_sum(rows, ["l_orderkey"], [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")], F.col("l_quantity"), "running").select("l_orderkey", "l_linenumber", F.col("running").cast("double").alias("running"))
 
 
 @query(f"with {B.TOKENS}, tt as (select token, count(*) as total from tokens group by token) select token, total, row_number() over (order by total desc, token) as place from tt")

@@ -70,10 +70,21 @@ def t02_dequeue(spark: SparkSession, d: str) -> DataFrame:
     return W.dequeue(B.requests(spark, d)).select("request_id", "username", "page")
 
 
-@query("with u as (select distinct username from raw_tweets where username is not null) select sha256(username || '/' || page) as request_id, username, page, cast(0 as bigint) as priority, 'download_request' as doc_type from u, (select unnest(range(1, 4)) as page)")
+@query("with u as (select distinct username from raw_tweets where username is not null) select sha256(username || '/' || page) as request_id, username, page, cast(0 as bigint) as priority, 'download_request' as doc_type, timestamp '2024-01-01 00:00:00' as request_time from u, (select unnest(range(1, 4)) as page)")
 def t01_enqueue(spark: SparkSession, d: str) -> DataFrame:
     """Three pages of requests for every user."""
-    return W.download_requests(table(spark, d, "raw_tweets"), "username")
+    return _enqueued(spark, d, 0, "2024-01-01").select("request_id", "username", "page", "priority", "doc_type", "request_time")
+
+
+def _enqueued(spark: SparkSession, d: str, priority: int, day: str) -> DataFrame:
+    return W.download_requests(table(spark, d, "raw_tweets"), "username", priority, at=F.lit(day).cast("timestamp_ntz"))
+
+
+@query("with u as (select distinct username from raw_tweets where username is not null), q as (select sha256(username || '/' || page) as request_id, username, page, p as priority, t as request_time from u, (select unnest(range(1, 4)) as page), (values (1, timestamp '2024-01-01'), (0, timestamp '2024-01-02')) v(p, t)) select username, page, cast(priority as bigint) as priority from q order by priority, request_time, request_id limit 350")
+def t01_enqueue_dequeue(spark: SparkSession, d: str) -> DataFrame:
+    """Requests of two days and priorities go into the queue and the first 350 come out."""
+    both = _enqueued(spark, d, 1, "2024-01-01").union(_enqueued(spark, d, 0, "2024-01-02"))
+    return W.dequeue(both).select("username", "page", "priority")
 
 
 @query(f"""with {B.REQUEST_EVENTS}, k as (select * from revents where event is not null and request_id is not null and ts is not null),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,13 +25,15 @@ def get_session(app: str = "cartoweave", master: str | None = None, **conf: str)
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    ``spark.checkpoint.dir`` is used where the cluster names one; only where it is unset (tests, a laptop) a temporary
-    folder is made and set.
+    ``spark.checkpoint.dir`` is used where the cluster names one. Only in local mode, where all tasks share this machine, a
+    temporary folder is made where it is unset; on a cluster that is an error, as executors would not see each other's files.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current is None:
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="cartoweave-checkpoint-"))
     return named or sc.getCheckpointDir()
 

@@ -36,9 +36,12 @@ def split_by_token(rows: DataFrame, path: str, size: int = 100_000) -> None:
 
 
 def export_by_user(tweets: DataFrame, path: str, user: str = "username") -> None:
-    """Gzip JSON under initial/user; users without a name go to '_'."""
+    """Gzip JSON under initial/user; users without a name go to '_'.
+
+    Rows are rebalanced by user: small users share tasks, one that writes a large part of all rows is split over several.
+    """
     name = F.coalesce(F.col(user), F.lit("_"))
-    tweets.withColumn("initial", F.lower(F.substring(name, 1, 1))).withColumn("owner", name).repartition("owner").write.mode("append").partitionBy("initial", "owner").json(path, compression="gzip")
+    tweets.withColumn("initial", F.lower(F.substring(name, 1, 1))).withColumn("owner", name).hint("rebalance", "owner").write.mode("append").partitionBy("initial", "owner").json(path, compression="gzip")
 
 
 def trigram_model(model: DataFrame, path: str) -> None:

@@ -26,23 +26,25 @@ def session_counts(events: DataFrame, time: str, keys: list[str], gap: str, late
     return events.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n")
 
 
-def scored_stream(lines: DataFrame, model: DataFrame, default: float, mode: str = "word_aware_lc") -> DataFrame:
-    """(screen_name, text, score) of each line; ``model`` is static evidence (tg, evidence).
+def scored_stream(lines: DataFrame, model: DataFrame, default: float, keys: tuple[str, ...] = ("screen_name",), time: str | None = None, mode: str = "word_aware_lc", late: str = "10 minutes") -> DataFrame:
+    """(keys, time, score) of each line; ``model`` is static evidence (tg, evidence), ``keys`` tell the lines apart.
 
-    Stateless: the evidence of a text's trigrams is looked up in a map that a static frame gives, so no join state is kept.
+    A stream-static join on the trigrams and one mean per line. With the event time ``time`` the state of a line is dropped
+    ``late`` after it; without it (batches, complete mode) nothing is dropped.
     """
-    table = model.agg(F.map_from_entries(F.collect_list(F.struct("tg", "evidence"))).alias("m"))
-    each = F.transform(trigrams("text", mode), lambda t: F.coalesce(F.col("m")[byte_hex(t)], F.lit(default)))
-    total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
-    return lines.join(F.broadcast(table)).select("screen_name", "text", F.when(F.size(each) > 0, total / F.size(each)).otherwise(0.0).alias("score"))
+    if time:
+        lines, keys = lines.withWatermark(time, late), (*keys, time)
+    each = lines.select(*keys, F.explode_outer(trigrams("text", mode)).alias("t")).withColumn("tg", byte_hex("t"))
+    gain = F.when(F.col("tg").isNotNull(), F.coalesce("evidence", F.lit(default)))
+    return each.join(model, "tg", "left").groupBy(*keys).agg(F.coalesce(F.avg(gain), F.lit(0.0)).alias("score"))
 
 
-def split_sink(model: DataFrame, other: DataFrame | None, threshold: float, good: str, rejected: str) -> Callable[[DataFrame, int], None]:
+def split_sink(model: DataFrame, other: DataFrame | None, threshold: float, good: str, rejected: str, mode: str = "word_aware_lc") -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that scores a batch and writes both sides; a repeated batch overwrites its own folder."""
 
     def run(batch: DataFrame, epoch: int) -> None:
         keyed = batch.withColumn("row", F.monotonically_increasing_id()).persist()
-        both = scored(keyed, ["row", "screen_name", "text"], "text", model, other).drop("row").persist()
+        both = scored(keyed, ["row", "screen_name", "text"], "text", model, other, mode).drop("row").persist()
         for part, path in zip(bisect(both, threshold), (good, rejected), strict=True):
             part.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
         both.unpersist()
