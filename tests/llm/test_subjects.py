@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import random
+import re
+import unicodedata
+
+import numpy as np
 
 from cartoweave.llm import subjects as K
 
@@ -55,9 +59,101 @@ def test_planted_subjects(spark):
     assert run(d.limit(20), e.where("false"), s).count() == 0
 
 
+def toy_model(seed):
+    """A table of weights for one language with the own words of two subjects, and the calibration from generated texts."""
+    rng = np.random.default_rng(seed)
+    table = np.zeros((len(K.LANGUAGES) * K.BUCKETS, 2), np.float32)
+    table[100:150, 0] = 3.5
+    table[200:250, 1] = 3.5
+
+    def text(subject, n, density=0.33):
+        general, own = rng.integers(1000, 1400, n), rng.integers(100, 150, n) + 100 * max(subject, 0)
+        return np.where(rng.random(n) < density, own, general) if subject >= 0 else general
+
+    texts = [text(i % 2, int(rng.integers(40, 110))) for i in range(24)]
+    x = K._Examples(np.arange(24) % 2, np.zeros(24, np.int64), np.array([len(t) for t in texts]), np.concatenate(texts), {})
+    return table, K.calibrate(x, 2, table), text, rng
+
+
+def posteriors(texts, table, coefficients):
+    return K.subject_posteriors(np.zeros(len(texts), np.int64), np.array([len(t) for t in texts]), np.concatenate(texts), table, coefficients)
+
+
 def test_spread_needs_more_than_a_passing_mention():
-    import numpy as np
+    table, coefficients, text, rng = toy_model(1)
+    general = text(-1, 60)
+    spread, passage, one = general.copy(), general.copy(), general.copy()
+    spread[::4], passage[:6], one[5] = 110, 110, 110
+    assert [bool(p >= 0.5) for p in posteriors([spread, passage, one], table, coefficients)[:, 0]] == [True, False, False]
+
+
+def test_posteriors_are_reliable():
+    """Among fresh texts, those with a posterior in a bin hold the subject about as often as it says, and few lie between."""
+    table, coefficients, text, rng = toy_model(2)
+    texts, labels = [], []
+    for _ in range(600):
+        kind, n = rng.integers(0, 4), int(rng.integers(40, 140))
+        if kind == 0:
+            texts.append(text(0, n)), labels.append(True)
+        elif kind == 1:
+            texts.append(np.r_[text(1, n), text(0, n)]), labels.append(True)
+        elif kind == 2:
+            texts.append(text(1, n)), labels.append(False)
+        else:
+            host = text(-1, n)
+            at = int(rng.integers(0, n - n // 8))
+            host[at : at + n // 8] = text(0, n // 8)
+            texts.append(host), labels.append(False)
+    p, y = posteriors(texts, table, coefficients)[:, 0], np.array(labels)
+    assert ((p >= 0.5) == y).mean() >= 0.99
+    for low, high in ((0, 0.1), (0.9, 1.01)):
+        bin_ = (p >= low) & (p < high)
+        assert bin_.sum() > 200 and abs(y[bin_].mean() - p[bin_].mean()) < 0.03
+    assert ((p > 0.1) & (p < 0.9)).mean() < 0.15
+
+
+def test_features_against_plain_loops():
+    rng = np.random.default_rng(3)
+    table = np.zeros((len(K.LANGUAGES) * K.BUCKETS, 2), np.float32)
+    table[:40] = rng.choice([0, 0, 0, 2.0, 3.0], (40, 2))
+    sizes = np.array([1, 2, 17, 40, 9])
+    bucket = rng.integers(0, 40, sizes.sum())
+    for part in range(3):
+        got = K.segment_features(np.zeros(5, np.int64), sizes, bucket, table, part)
+        for i, words in enumerate(np.split(bucket, np.cumsum(sizes)[:-1])):
+            half = (len(words) + 1) // 2
+            e = table[[words, words[:half], words[half:]][part]]
+            assert len(e) or (got[i, :, :2] == 0).all()
+            for s in range(2 if len(e) else 0):
+                k = max(1, round(len(e) / K.PIECE))
+                parts = [[x for j, x in enumerate(e[:, s]) if j * k // len(e) == q] for q in range(k)]
+                gap = max(len(x) for x in "".join("1" if v > 0 else "0" for v in e[:, s]).split("1"))
+                want = [np.mean([1 / (1 + np.exp(K.REST - sum(x))) for x in parts]), e[:, s].mean() / 3, gap / len(e), np.log(len(e)) / 4]
+                assert np.allclose(got[i, s], want, atol=1e-5)
+
+
+def test_spelling_grams():
+    import pyarrow as pa
+
+    def plain(word):
+        word = "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+        for a, b in (("ph", "f"), ("th", "t"), ("ch", "k"), ("qu", "k"), ("c", "k"), ("y", "i"), ("z", "s"), ("v", "b")):
+            word = word.replace(a, b)
+        word = re.sub(r"(.)\1+", r"\1", f"_{word}_")
+        return {word[i : i + n] for n in (2, 3) for i in range(len(word) - n + 1)}
+
+    words = ["molécula", "molecule", "theorem", "teorema", "queso", "cheese", "ballet", "a"]
+    owner, gram = K.spelling_grams(pa.array(words))
+    for i, a in enumerate(words):
+        for j, b in enumerate(words):
+            assert len(set(gram[owner == i]) & set(gram[owner == j])) == len(plain(a) & plain(b))
+
 
-    assert K.run_through(np.arange(0, 60, 4), 0, 60, 0.115) > 1
-    assert K.run_through(np.arange(0, 12), 0, 60, 0.115) == 0
-    assert K.run_through(np.array([5]), 0, 60, 0.115) == 0
+def test_examples_are_bounded_by_subject(spark, monkeypatch):
+    monkeypatch.setattr(K, "EXAMPLES", 30)
+    rng = random.Random(5)
+    rows = [(part(rng, "en", s, 20), s) for s in SUBJECTS for _ in range(25)]
+    docs = spark.createDataFrame([(i, t, "en") for i, (t, _) in enumerate(rows)], "doc_id long, text string, lang string")
+    language = K.fit_from(docs, "doc_id", "text", "lang", 100, K.LANGUAGES)
+    got = K.labelled_examples(spark.createDataFrame(rows, "text string, subject string"), "text", "subject", SUBJECTS, language)
+    assert np.bincount(got.subject).tolist() == [10, 10, 10]
