@@ -1,13 +1,14 @@
 """Clusters of neighbouring points, their sizes and most typical members (problem 1, second half).
 
-A mixture of Gaussians (``mixture``) gives every account a component and a density, and with it the typical members of a
-cluster. A mixture cannot give clusters that are defined by chains of short steps (a component may hold many of them, and a
-cluster may bend), so which accounts belong together is decided by an exact linking:
+Two kinds of clusters: the components of a mixture of Gaussians (``mixture``) with their sizes and densest members
+(``mixture_clusters``), and clusters that are defined by chains of short steps. A mixture cannot give the latter (a component
+may hold many of them, and a cluster may bend), so which accounts a chain joins is decided by an exact linking, and the
+mixture's density then names the typical members of a chain cluster (``describe``):
 
 * points fall into cells so small that all points of a cell are linked; a cell is summed up by the bounding boxes of its
   sub-cells, a number of rows bounded by geometry and not by the number of points (pre-aggregated before any shuffle);
 * cells of one tile, with a rim of two cells, are linked in one bounded task; pairs of sub-cells whose
-  boxes leave it open whether two points are near enough are decided on the points themselves by an equi-join;
+  boxes leave it open whether two points are near enough are divided again and again, until their boxes decide it;
 * the links that leave a tile are contracted by alternating star steps on DataFrames, checkpointed each round.
 """
 
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cartoweave.llm.mixture import fit_mixture, score_mixture
+from cartoweave.operators.running import in_ranges
 from cartoweave.session import materialise
 
 #: Sub-cells along the side of a cell, cells along the side of a tile.
@@ -124,6 +126,39 @@ def _link_block(step: float) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     return run
 
 
+def _divided(placed: DataFrame, pairs: DataFrame, side: float, step: float, most_levels: int = 24) -> DataFrame:
+    """(a, b): cells of which two points lie within ``step``, for the open pairs (a, b) of sub-cells.
+
+    Each level cuts the sub-cells of the open pairs ``SUB`` times finer along both sides and compares bounding boxes, at most
+    ``SUB ** 4`` a pair whatever number of points they hold. A pair of cells is decided as soon as two boxes are near in every
+    case; box pairs that are far in every case leave. Boxes end as single points, which always decide.
+    """
+    open_pairs = materialise(pairs.select(F.col("a").alias("key_a"), F.col("b").alias("key_b")))
+    keys, scale, made = placed.select(F.col("sub").alias("key"), "cell", "x", "y"), float(SUB), None
+    for _ in range(most_levels):
+        if open_pairs.isEmpty():
+            break
+        scale *= SUB
+        wanted = open_pairs.select(F.col("key_a").alias("key")).union(open_pairs.select("key_b")).distinct()
+        fine = [F.floor(F.col(c) * scale / side).cast("long") for c in "xy"]
+        keys = materialise(keys.join(wanted, "key", "left_semi").withColumn("fine", F.xxhash64(*fine)))
+        boxes = keys.groupBy("key", "cell", "fine").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+        p, q = (boxes.select(*[F.col(c).alias(f"{c}_{s}") for c in boxes.columns]) for s in "ab")
+        gap = lambda c: F.greatest(F.lit(0.0), F.col(f"{c}0_a") - F.col(f"{c}1_b"), F.col(f"{c}0_b") - F.col(f"{c}1_a"))
+        far = lambda c: F.greatest(F.col(f"{c}1_a") - F.col(f"{c}0_b"), F.col(f"{c}1_b") - F.col(f"{c}0_a"))
+        square = lambda f: f("x") * f("x") + f("y") * f("y")
+        both = open_pairs.join(p, "key_a").join(q, "key_b").where(square(gap) <= F.lit(step) * F.lit(step))
+        both = materialise(both.select("cell_a", "cell_b", "fine_a", "fine_b", (square(far) <= F.lit(step) * F.lit(step)).alias("sure")))
+        near = materialise(both.where("sure").select(F.col("cell_a").alias("a"), F.col("cell_b").alias("b")).distinct())
+        made = near if made is None else made.union(near)
+        left = both.where("not sure").join(near, (both["cell_a"] == near["a"]) & (both["cell_b"] == near["b"]), "left_anti")
+        open_pairs = materialise(left.select(F.col("fine_a").alias("key_a"), F.col("fine_b").alias("key_b")).distinct())
+        keys = keys.select(F.col("fine").alias("key"), "cell", "x", "y")
+    else:
+        raise RuntimeError(f"pairs of cells were open after {most_levels} levels")
+    return made if made is not None else pairs.where("false")
+
+
 def chain_components(points: DataFrame, step: float) -> DataFrame:
     """``points`` (id, x, y, ...) with ``root``: points joined by a chain of steps of at most ``step`` share it.
 
@@ -143,10 +178,7 @@ def chain_components(points: DataFrame, step: float) -> DataFrame:
     roots = found.where("kind = 0").select(F.col("a").alias("cell"), F.col("b").alias("local"))
     links = found.where("kind = 1").select("a", "b")
     pairs = found.where("kind = 2").select("a", "b").distinct()
-    spots = placed.select("sub", "cell", "x", "y").distinct()
-    p, q = (spots.select(F.col("sub").alias(s), F.col("cell").alias(f"cell_{s}"), F.col("x").alias(f"x_{s}"), F.col("y").alias(f"y_{s}")) for s in "ab")
-    near = pairs.join(p, "a").join(q, "b").where(f"(x_a - x_b) * (x_a - x_b) + (y_a - y_b) * (y_a - y_b) <= {step!r}D * {step!r}D")
-    links = links.union(near.select("cell_a", "cell_b")).distinct()
+    links = links.union(_divided(placed, pairs, side, step)).distinct()
     a, b = (roots.select(F.col("cell").alias(s), F.col("local").alias(f"local_{s}")) for s in "ab")
     between = links.join(a, "a").join(b, "b").select(F.col("local_a").alias("a"), F.col("local_b").alias("b"))
     merged = connected_components(between)
@@ -154,21 +186,40 @@ def chain_components(points: DataFrame, step: float) -> DataFrame:
     return placed.join(final, "cell").drop("cell", "cx", "cy", "sub")
 
 
-def clusters(df: DataFrame, id_col: str, x_col: str, y_col: str, low: float, high: float, step: float, least: int) -> DataFrame:
-    """(id, x, y, component, log_density, cluster, size) of every member of a cluster of at least ``least`` points.
+def map_points(df: DataFrame, id_col: str, x_col: str, y_col: str, low: float, high: float) -> DataFrame:
+    """(id, x, y) of the points whose coordinates both lie strictly between ``low`` and ``high``.
 
-    Points count whose coordinates both lie strictly between ``low`` and ``high``; null ids, missing, not-a-number and far-off
-    coordinates leave, repeated rows of one id count once. ``cluster`` is the smallest id in it. An empty table gives none.
+    Null ids, missing, not-a-number and far-off coordinates leave, repeated rows of one id count once.
     """
     x, y = F.col(x_col).cast("double"), F.col(y_col).cast("double")
     inside = (x > low) & (x < high) & (y > low) & (y < high) & ~F.isnan(x) & ~F.isnan(y)
-    points = materialise(df.where(F.col(id_col).isNotNull() & inside).select(F.col(id_col).cast("long").alias("id"), x.alias("x"), y.alias("y")).groupBy("id").agg(F.min(F.struct("x", "y")).alias("p")).select("id", "p.x", "p.y"))
+    rows = df.where(F.col(id_col).isNotNull() & inside).select(F.col(id_col).cast("long").alias("id"), x.alias("x"), y.alias("y"))
+    return materialise(rows.groupBy("id").agg(F.min(F.struct("x", "y")).alias("p")).select("id", "p.x", "p.y"))
+
+
+def clusters(points: DataFrame, step: float, least: int) -> DataFrame:
+    """(id, x, y, cluster, size) of every member of a chain cluster of at least ``least`` of the ``points`` (id, x, y).
+
+    ``cluster`` is the smallest id in it. An empty table gives none.
+    """
+    found = materialise(chain_components(points, step))
+    sizes = found.groupBy("root").agg(F.count("*").alias("size"), F.min("id").alias("cluster")).where(F.col("size") >= least)
+    return found.join(sizes, "root").select("id", "x", "y", "cluster", "size")
+
+
+def with_density(rows: DataFrame, points: DataFrame) -> DataFrame:
+    """``rows`` (x, y, ...) with component and log_density of the mixture fitted on all ``points``."""
     model = fit_mixture(points, ["x", "y"])
     if model is None:
-        return points.select("id", "x", "y", F.lit(0).alias("component"), F.lit(0.0).alias("log_density"), F.col("id").alias("cluster"), F.lit(0).cast("long").alias("size"))
-    found = materialise(chain_components(score_mixture(points, ["x", "y"], model), step))
-    sizes = found.groupBy("root").agg(F.count("*").alias("size"), F.min("id").alias("cluster")).where(F.col("size") >= least)
-    return found.join(sizes, "root").select("id", "x", "y", "component", "log_density", "cluster", "size")
+        return rows.withColumn("component", F.lit(0)).withColumn("log_density", F.lit(0.0))
+    return score_mixture(rows, ["x", "y"], model)
+
+
+def mixture_clusters(points: DataFrame) -> DataFrame:
+    """(id, x, y, component, log_density, cluster, size): every point with the component of the mixture that holds it."""
+    scored = materialise(with_density(points, points))
+    sizes = scored.groupBy("component").agg(F.count("*").alias("size"), F.min("id").alias("cluster"))
+    return scored.join(F.broadcast(sizes), "component").select(*scored.columns, "cluster", "size")
 
 
 def describe(members: DataFrame, typical: int = 3) -> DataFrame:
@@ -179,16 +230,13 @@ def describe(members: DataFrame, typical: int = 3) -> DataFrame:
     return members.groupBy("cluster", "size").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).join(best, "cluster")
 
 
-def followers(members: DataFrame, buckets: int = 64) -> DataFrame:
+def followers(members: DataFrame, parts: int | None = None) -> DataFrame:
     """(id_a, id_b): ids that follow each other when the members of a cluster are sorted by id.
 
-    Ids are cut into ranges first, so a cluster that holds a third of all rows is sorted in many tasks; the seams between the
-    ranges come from the smallest and largest id of each, at most ``buckets`` rows per cluster.
+    Rows are cut into ranges of cluster and id first, so a cluster that holds a third of all rows is sorted in many tasks; the
+    seams between the ranges come from the smallest and largest id of each.
     """
-    rows = members.select("cluster", "id")
-    cuts = rows.agg(F.percentile_approx("id", [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []
-    at = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<bigint>"), lambda c: c <= F.col("id")))
-    rows = rows.withColumn("range", at)
+    rows = materialise(in_ranges(members.select("cluster", "id"), F.col("cluster"), F.col("id"), parts=parts).withColumn("range", F.spark_partition_id()))
     inner = rows.select(F.lag("id").over(Window.partitionBy("cluster", "range").orderBy("id")).alias("id_a"), F.col("id").alias("id_b"))
     ends = rows.groupBy("cluster", "range").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
     seams = ends.select(F.lag("hi").over(Window.partitionBy("cluster").orderBy("range")).alias("id_a"), F.col("lo").alias("id_b"))

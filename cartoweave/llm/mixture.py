@@ -2,8 +2,10 @@
 
 Features are standardised and reduced to their principal axes; covariances are regularised. Several numbers of components
 are fitted in the same passes: every task turns its rows into sufficient statistics of every component of every candidate
-(a few rows, whatever the task read), these are summed on the executors and only the sums reach the driver. The Bayesian
-information criterion chooses among the candidates. Starting means come from a bounded sample chosen by the hash of the id.
+(a few rows, whatever the task read), these are summed on the executors and only the sums reach the driver. Steps end when
+the likelihood hardly grows. The Bayesian information criterion chooses the number of components: it is doubled from 1 as
+long as the criterion falls, then numbers between are tried. Starting means come from a bounded sample chosen by the hash of
+the id.
 """
 
 from __future__ import annotations
@@ -18,8 +20,10 @@ from pyspark.sql import functions as F
 
 #: Rows of the sample that the starting means are taken from.
 START_ROWS = 4_000
-CANDIDATES = (8, 16, 32, 64)
-ROUNDS = 12
+#: Numbers of components that are fitted first; further ones are doubled from the last.
+CANDIDATES = (1, 2, 4, 8)
+#: Steps end when the mean log-likelihood of a row grows by less than this, or after so many.
+GROWTH, ROUNDS = 1e-3, 60
 RIDGE = 1e-4
 
 
@@ -87,38 +91,18 @@ def _starts(z: np.ndarray, k: int, seed: int) -> np.ndarray:
     return np.array(taken)
 
 
-def fit_mixture(points: DataFrame, cols: list[str], id_col: str = "id", candidates: tuple[int, ...] = CANDIDATES, rounds: int = ROUNDS, ridge: float = RIDGE, keep: float = 0.999, seed: int = 5) -> Mixture | None:
-    """The mixture with the best information criterion; None for an empty table. Rows must hold finite numbers.
+def _free(k: int, dims: int) -> float:
+    """Free parameters of a mixture of k components."""
+    return k - 1 + k * dims + k * dims * (dims + 1) / 2
 
-    ``keep`` is the share of the standardised variance that the reduced features retain.
-    """
-    d = len(cols)
 
-    def moments(b: pa.RecordBatch) -> np.ndarray:
-        x = _columns(b, cols)
-        return np.r_[len(x), x.sum(0), (x[:, :, None] * x[:, None, :]).sum(0).ravel()][None]
-
-    total = _summed(points.select(*cols), moments, 1 + d + d * d, 1)[0]
-    n = int(total[0])
-    if not n:
-        return None
-    centre = total[1 : d + 1] / n
-    cov = total[d + 1 :].reshape(d, d) / n - np.outer(centre, centre)
-    dev = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-    values, vectors = np.linalg.eigh(cov / np.outer(dev, dev))
-    order = np.argsort(-values)
-    values, vectors = np.maximum(values[order], 1e-9), vectors[:, order]
-    dims = int(np.searchsorted(np.cumsum(values) / values.sum(), keep) + 1)
-    axes = vectors[:, :dims] / dev[:, None]
-    sample = points.select(id_col, *cols).orderBy(F.xxhash64(id_col), id_col).limit(START_ROWS).toPandas()
-    z0 = (sample[cols].to_numpy(float) - centre) @ axes
-    fits = []
-    for k in sorted({min(c, max(1, len(z0))) for c in candidates}):
-        fits.append(Mixture(centre, axes, np.full(k, 1 / k), _starts(z0, k, seed), np.tile(np.eye(dims) * max(0.05, 1 / k), (k, 1, 1))))
-    sizes = [len(f.weights) for f in fits]
-    width = 2 + dims + dims * dims
-    for _ in range(rounds):
-        current = list(fits)
+def _fitted(points: DataFrame, cols: list[str], starts: list[Mixture], n: int, rounds: int, ridge: float, growth: float) -> list[Mixture]:
+    """Every mixture after its steps, with the criterion of exactly these parameters; the open ones share each pass."""
+    done: list[Mixture] = []
+    current, former = starts, [-np.inf] * len(starts)
+    for step in range(rounds + 1):
+        dims = current[0].means.shape[1]
+        sizes = [len(f.weights) for f in current]
 
         def sums(b: pa.RecordBatch, current: list[Mixture] = current) -> np.ndarray:
             x = _columns(b, cols)
@@ -134,20 +118,72 @@ def fit_mixture(points: DataFrame, cols: list[str], id_col: str = "id", candidat
                 blocks.append(np.c_[lead, r.sum(0), r.T @ z, r.T @ zz])
             return np.concatenate(blocks)
 
-        total = _summed(points.select(*cols), sums, width, sum(sizes))
-        at = 0
-        for i, k in enumerate(sizes):
+        total = _summed(points.select(*cols), sums, 2 + dims + dims * dims, sum(sizes))
+        following, likelihoods, at = [], [], 0
+        for f, before, k in zip(current, former, sizes, strict=True):
             s = total[at : at + k]
             at += k
+            likelihood = float(s[0, 0])
+            if step == rounds or likelihood - before < growth * n:
+                f.bic = -2 * likelihood + _free(k, dims) * np.log(n)
+                done.append(f)
+                continue
             nk = np.maximum(s[:, 1], 1e-9)
             means = s[:, 2 : 2 + dims] / nk[:, None]
             covs = s[:, 2 + dims :].reshape(k, dims, dims) / nk[:, None, None] - means[:, :, None] * means[:, None, :]
             covs = (covs + covs.transpose(0, 2, 1)) / 2
             floor = np.maximum(ridge - np.linalg.eigvalsh(covs)[:, 0], 0)
             covs += (ridge + floor)[:, None, None] * np.eye(dims)
-            free = k - 1 + k * dims + k * dims * (dims + 1) / 2
-            fits[i] = Mixture(centre, axes, nk / nk.sum(), means, covs, float(-2 * s[0, 0] + free * np.log(n)))
-    return min(fits, key=lambda f: f.bic)
+            following.append(Mixture(f.centre, f.axes, nk / nk.sum(), means, covs))
+            likelihoods.append(likelihood)
+        current, former = following, likelihoods
+        if not current:
+            break
+    return done
+
+
+def fit_mixture(points: DataFrame, cols: list[str], id_col: str = "id", candidates: tuple[int, ...] = CANDIDATES, rounds: int = ROUNDS, ridge: float = RIDGE, keep: float = 0.999, growth: float = GROWTH, seed: int = 5) -> Mixture | None:
+    """The mixture with the best information criterion; None for an empty table. Rows must hold finite numbers.
+
+    ``keep`` is the share of the standardised variance that the reduced features retain. A mixture has at most as many
+    components as the sample of the starting means has rows.
+    """
+    d = len(cols)
+
+    def moments(b: pa.RecordBatch) -> np.ndarray:
+        x = _columns(b, cols)
+        return np.r_[len(x), x.sum(0), (x[:, :, None] * x[:, None, :]).sum(0).ravel()][None]
+
+    total = _summed(points.select(*cols), moments, 1 + d + d * d, 1)[0]
+    n = int(total[0])
+    if not n:
+        return None
+    centre = total[1 : d + 1] / n
+    cov = total[d + 1 :].reshape(d, d) / n - np.outer(centre, centre)
+    dev = np.sqrt(np.maximum(np.diag(cov), 1e-12))
+    values, vectors = np.linalg.eigh(cov / np.outer(dev, dev))
+    order = np.argsort(-values)
+    values, vectors = np.maximum(values[order], 1e-9), vectors[:, order]
+    dims = int(np.searchsorted(np.cumsum(values) / values.sum(), keep) + 1)
+    axes = vectors[:, :dims] / dev[:, None]
+    sample = points.select(id_col, *cols).orderBy(F.xxhash64(id_col), id_col).limit(START_ROWS).toPandas()
+    z0 = (sample[cols].to_numpy(float) - centre) @ axes
+    fits: dict[int, Mixture] = {}
+
+    def fit(numbers: list[int]) -> None:
+        new = sorted({min(max(1, k), len(z0)) for k in numbers} - set(fits))
+        if new:
+            starts = [Mixture(centre, axes, np.full(k, 1 / k), _starts(z0, k, seed), np.tile(np.eye(dims) * max(0.05, 1 / k), (k, 1, 1))) for k in new]
+            fits.update({len(f.weights): f for f in _fitted(points, cols, starts, n, rounds, ridge, growth)})
+
+    def best() -> int:
+        return min(fits, key=lambda k: fits[k].bic)
+
+    fit(list(candidates))
+    while best() == max(fits) and max(fits) < len(z0):
+        fit([2 * max(fits), 4 * max(fits)])
+    fit([best() * 3 // 4, best() * 5 // 4, best() * 3 // 2])
+    return fits[best()]
 
 
 def score_mixture(points: DataFrame, cols: list[str], model: Mixture) -> DataFrame:

@@ -19,19 +19,24 @@ LATE = 10
 TEXT_RARE, TEXT_COMMON, WORD_RARE, WORD_COMMON = 5, 0.1, 10, 0.9
 
 
-def account_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Members of the map's clusters."""
-    return clusters.clusters(table(spark, d, "user_docs"), "trained_as_id", "x_coord", "y_coord", MAP_LOW, MAP_HIGH, MAP_STEP, MAP_LEAST)
+def _map_points(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.map_points(table(spark, d, "user_docs"), "trained_as_id", "x_coord", "y_coord", MAP_LOW, MAP_HIGH)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Accounts that follow each other by id within a cluster."""
-    return clusters.followers(account_clusters(spark, d))
+    """Accounts that follow each other by id within a cluster of the map."""
+    return clusters.followers(clusters.clusters(_map_points(spark, d), MAP_STEP, MAP_LEAST))
 
 
 def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Each cluster with its size, centre and most typical accounts."""
-    return clusters.describe(account_clusters(spark, d))
+    """Each cluster of the map with its size, centre and the accounts where the fitted mixture is densest."""
+    points = _map_points(spark, d)
+    return clusters.describe(clusters.with_density(clusters.clusters(points, MAP_STEP, MAP_LEAST), points))
+
+
+def p1_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """Each component of the mixture fitted on the map with the accounts it holds, their centre and the densest of them."""
+    return clusters.describe(clusters.mixture_clusters(_map_points(spark, d)))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -168,7 +173,7 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
     return subjects_of_documents(spark, d).groupBy("subject").agg(F.count("*").alias("documents"), F.round(F.avg("posterior"), 4).alias("mean_posterior"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_canonical, p3_found, p3_passages, p4_found, p4_nearest, p5_found, p5_terms, p7_found, p7_items, p8_mixture, p8_report, p9_found, p9_composition)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p1_mixture, p2_found, p2_canonical, p3_found, p3_passages, p4_found, p4_nearest, p5_found, p5_terms, p7_found, p7_items, p8_mixture, p8_report, p9_found, p9_composition)}
 
 _TERMS = """
 with tweets as (select tweet_id, any_value(text) as text from raw_tweets where tweet_id is not null group by tweet_id),
@@ -179,6 +184,13 @@ words as (select 'fake_word_vectors.word_id' as field, cast(word_id as varchar)
 marked as (select field, term, occurrences, records, case when occurrences < rare then 'rare' when records > common * total then 'common' end as mark from (select * from texts union all select * from words))
 """
 ORACLE_SQL: dict[str, str] = {
+    "p1_found": f"""
+with recursive points as (select id, p.x as x, p.y as y from (select trained_as_id as id, min({{'x': x_coord, 'y': y_coord}}) as p from user_docs
+ where trained_as_id is not null and isfinite(x_coord) and isfinite(y_coord) and x_coord > {MAP_LOW} and x_coord < {MAP_HIGH} and y_coord > {MAP_LOW} and y_coord < {MAP_HIGH} group by trained_as_id)),
+steps as (select a.id as a, b.id as b from points a join points b on b.x between a.x - 0.2 and a.x + 0.2 where (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {MAP_STEP}::double * {MAP_STEP}::double),
+reached as (select id, id as other from points union select r.id, s.b from reached r join steps s on r.other = s.a),
+roots as (select id, min(other) as root, count(*) as size from reached group by id)
+select * from (select lag(id) over (partition by root order by id) as id_a, id as id_b from roots where size >= {MAP_LEAST}) where id_a is not null""",
     "p5_found": _TERMS + "select field, term, mark from marked where mark is not null",
     "p5_terms": _TERMS + "select field, term, occurrences, records, mark from marked",
 }

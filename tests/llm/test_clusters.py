@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 from cartoweave.llm import clusters as K
-from cartoweave.llm.mixture import fit_mixture, score_mixture
+from cartoweave.llm.mixture import fit_mixture, log_sum, score_mixture
 
 
 def chains(points, step, least):
@@ -26,7 +26,7 @@ def chains(points, step, least):
 
 def run(spark, rows, **options):
     df = spark.createDataFrame([(i, x, y, 3) for i, x, y in rows], "id long, x double, y double, size int")
-    return K.clusters(df, "id", "x", "y", -104.0, 56.0, **({"step": 0.15, "least": 5} | options))
+    return K.clusters(K.map_points(df, "id", "x", "y", -104.0, 56.0), **({"step": 0.15, "least": 5} | options))
 
 
 def test_chains_against_brute_force(spark):
@@ -41,7 +41,7 @@ def test_chains_against_brute_force(spark):
     assert sorted(map(sorted, by.values())) == sorted(map(sorted, want))
     pairs = sorted(map(tuple, K.followers(got, 8).collect()))
     assert pairs == sorted(p for c in want for p in zip(sorted(c)[:-1], sorted(c)[1:], strict=True))
-    told = {r["cluster"]: r for r in K.describe(got).collect()}
+    told = {r["cluster"]: r for r in K.describe(K.with_density(got, got)).collect()}
     assert {c: r["size"] for c, r in told.items()} == {c: len(x) for c, x in by.items()}
     assert all(set(r["typical"]) <= set(by[c]) and len(r["typical"]) == 3 for c, r in told.items())
 
@@ -81,3 +81,32 @@ def test_mixture_finds_three(spark):
     scored = score_mixture(df, ["x", "y"], model).toPandas()
     assert np.isfinite(scored["log_density"]).all() and len(top) == 3
     assert len({tuple(sorted(set(scored["component"][i : i + 300]))) for i in (0, 300, 600)}) == 3
+
+
+def test_one_gaussian_is_one_component(spark):
+    x = np.random.default_rng(4).normal(size=(3000, 2))
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "id long, x double, y double")
+    assert len(fit_mixture(df, ["x", "y"]).weights) == 1
+
+
+def test_the_criterion_is_of_the_parameters_it_comes_with(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(c, 0.4, (200, 2)) for c in ((0, 0), (6, 1), (2, 7), (9, 9))])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "id long, x double, y double")
+    model = fit_mixture(df, ["x", "y"])
+    k = len(model.weights)
+    likelihood = log_sum(model.log_parts(model.features(x))).sum()
+    assert abs(model.bic - (-2 * likelihood + (k - 1 + 2 * k + 3 * k) * np.log(len(x)))) < 1e-6 * abs(model.bic) and 4 <= k <= 8
+    told = K.describe(K.mixture_clusters(df)).collect()
+    assert sum(r["size"] for r in told) == len(x) and all(len(r["typical"]) == min(3, r["size"]) for r in told)
+
+
+def test_two_dense_cells_about_one_step_apart(spark):
+    """Thousands of points in two sub-cells whose boxes leave it open: decided by division, not by all pairs."""
+    rng = np.random.default_rng(6)
+    a = rng.uniform(0, 0.006, (4000, 2))
+    for gap, groups in ((0.1501, 2), (0.1445, 1)):
+        b = rng.uniform(0, 0.006, (4000, 2)) + [0.006 + gap, 0.0]
+        b[:, 0] = np.maximum(b[:, 0], a[:, 0].max() + gap)
+        rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(np.r_[a, b])]
+        assert run(spark, rows).select("cluster").distinct().count() == groups
