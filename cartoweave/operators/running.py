@@ -8,19 +8,24 @@ from pyspark.sql.window import Window
 
 from cartoweave.session import materialise
 
-#: Bytes of a range, and the most ranges (each leaves one row per key for the sums of the ranges).
-RANGE_BYTES, MOST_RANGES = 256 << 20, 100_000
+#: Bytes that Spark may estimate for a range before its rows are counted, rows of a range, and the most ranges (each leaves
+#: one row per key for the sums of the ranges).
+RANGE_BYTES, RANGE_ROWS, MOST_RANGES = 256 << 20, 2_000_000, 100_000
 
 
 def in_ranges(df: DataFrame, *order: Column, parts: int | None = None) -> DataFrame:
-    """``df`` range-partitioned by an order, into ``parts`` ranges or as many as its estimated size asks for.
+    """``df`` range-partitioned by an order, into ``parts`` ranges or as many as its size asks for.
 
-    Up to the session's number of shuffle partitions the adaptive planner joins small ranges; beyond it the number is set.
+    Up to the session's number of shuffle partitions the adaptive planner joins small ranges. Where Spark's estimate, which
+    may be far too high, asks for more, the rows are computed and counted first.
     """
-    asked = parts is not None
-    parts = parts or min(MOST_RANGES, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // RANGE_BYTES)
-    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(parts, *order) if asked or parts > usual else df.repartitionByRange(*order)
+    if parts is None:
+        usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > RANGE_BYTES * usual:
+            df = materialise(df)
+            needed = min(MOST_RANGES, df.count() // RANGE_ROWS)
+            parts = needed if needed > usual else None
+    return df.repartitionByRange(*order) if parts is None else df.repartitionByRange(parts, *order)
 
 
 def running_sum(df: DataFrame, keys: list[str], order: list[Column], value: Column, name: str, parts: int | None = None) -> DataFrame:
