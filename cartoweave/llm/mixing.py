@@ -6,11 +6,12 @@
    to the least value at which no source needs more than its allowed repetitions; e = 0 are the targets themselves. Without
    a wish for the total size, the largest total is taken at which the targets hold exactly. (Plain temperature weights, and
    the exponent that meets a target entropy, are there too: ``temperature_weights`` and ``exponent_for_entropy``.)
-3. The budget of a source is realised as whole passes over its documents and the beginning of one further pass. A pass is a
-   permutation by blocks: documents fall into blocks by a seeded hash, blocks are summed up first, and only the one block in
-   which the budget ends is walked document by document. So the largest source is spread over many tasks.
+3. The budget of a source is realised as whole passes over its documents and the beginning of one further pass. Every pass is
+   a permutation of its own, by blocks: documents fall into blocks by a hash of seed, pass and id, blocks are summed up
+   first, and only the one block in which the budget ends is walked document by document. So the largest source is spread
+   over many tasks. ``position`` is the place of an appearance in the order of its source over all passes.
 
-Every step depends on hashes of the ids only, so a lost executor repeats the same choice.
+Every step depends on hashes of the ids and passes only, so a lost executor repeats the same choice.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import base64
 import functools
 import math
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -28,8 +30,9 @@ from pyspark.sql.window import Window
 
 from cartoweave.session import materialise, spread
 
-#: Documents in a block, about; and characters that are tokenised at once at most.
+#: Documents in a block, about; and characters of a text after which it is cut where a token begins in any case.
 BLOCK_ROWS, PIECE = 20_000, 4_096
+BORDER = re.compile(r"(?<=\S) (?=\S)")
 
 
 def default_tokenizer() -> str:
@@ -49,18 +52,21 @@ def _encoder(path: str, pattern: str):  # noqa: ANN202
 
 
 def _pieces(text: str) -> list[str]:
-    """The text in pieces of at most PIECE characters, cut before a blank where there is one."""
+    """The text in pieces of at least PIECE characters, the last one apart, with the same tokens as the whole.
+
+    Cuts lie before a single blank between two other characters, where a token of the pattern begins in any case; a text
+    without such a place stays whole.
+    """
     out, at = [], 0
-    while len(text) - at > PIECE:
-        cut = text.rfind(" ", at + 1, at + PIECE)
-        cut = cut if cut > at else at + PIECE
-        out.append(text[at:cut])
-        at = cut
+    for found in BORDER.finditer(text):
+        if found.start() - at >= PIECE:
+            out.append(text[at : found.start()])
+            at = found.start()
     return [*out, text[at:]]
 
 
 def token_count(text: Column | str, path: str | None = None, pattern: str | None = None) -> Column:
-    """Column: number of tokens of a text; null for null, 0 for the empty text. Very long texts are counted piece by piece."""
+    """Column: number of tokens of a text; null for null, 0 for the empty text. Long texts are counted piece by piece."""
     path = path or default_tokenizer()
     if pattern is None:
         import public_tokenizers
@@ -135,12 +141,13 @@ def counted(documents: DataFrame, id_col: str, text_col: str, source_col: str, p
     return rows.groupBy("id").agg(F.min(F.struct("source", "tokens")).alias("x")).select("id", "x.source", "x.tokens").where("tokens > 0")
 
 
-def mixture(documents: DataFrame, id_col: str, text_col: str, source_col: str, targets: DataFrame, total: float | None = None, path: str | None = None, seed: int = 7, budget_of_targets: int = 100_000) -> DataFrame:
-    """(id, source, epoch, block, tokens): one row for each appearance of a document in the mixture.
+def mixture(documents: DataFrame, id_col: str, text_col: str, source_col: str, targets: DataFrame, total: float | None = None, stretch: float = 1.0, path: str | None = None, seed: int = 7, budget_of_targets: int = 100_000) -> DataFrame:
+    """(id, source, epoch, block, position, tokens): one row for each appearance of a document in the mixture.
 
     ``targets`` has source, target_share and max_repeats; rows with nulls or a share of 0 ask for nothing. Sources that are
-    in only one of the tables have no part; the other targets then share the whole. Appearances are ordered by epoch, block
-    and hash. ``total``: wished size in tokens. A source misses its share by at most one document.
+    in only one of the tables have no part; the other targets then share the whole. ``total``: wished size in tokens; without
+    it ``stretch`` times the largest size at which the targets hold exactly. A larger size than that tempers the shares.
+    ``position`` counts from 1 within the source. A source misses its share by at most one document.
     """
     aims = targets.where("source is not null and target_share > 0 and max_repeats > 0").groupBy(source_name("source").alias("source")).agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("repeats")).limit(budget_of_targets + 1).collect()
     if len(aims) > budget_of_targets:
@@ -151,24 +158,26 @@ def mixture(documents: DataFrame, id_col: str, text_col: str, source_col: str, t
     rows = materialise(counted(documents, id_col, text_col, source_col, path).join(F.broadcast(plan), "source"))
     sums = {r[0]: (r[1], r[2]) for r in rows.groupBy("source").agg(F.sum("tokens"), F.count("*")).collect()}
     tokens = {s: t for s, (t, _) in sums.items()}
-    size = largest_total(share, tokens, repeats) if total is None else min(float(total), float(sum(tokens[s] * repeats[s] for s in tokens)))
+    most = float(sum(tokens[s] * repeats[s] for s in tokens))
+    size = min(most, stretch * largest_total(share, tokens, repeats) if total is None else float(total))
     weights, _ = tempered_targets(share, tokens, repeats, size)
     parts = []
     for s, w in weights.items():
         budget = min(round(w * size), tokens[s] * repeats[s])
         parts.append((s, budget // tokens[s], budget % tokens[s], max(1, -(-sums[s][1] // BLOCK_ROWS))))
     plan = spark.createDataFrame(parts, "source string, passes long, rest long, blocks long")
-    rows = rows.join(F.broadcast(plan), "source").withColumn("h", F.xxhash64(F.lit(seed), "id")).withColumn("block", F.pmod("h", "blocks"))
-    blocks = rows.groupBy("source", "block", "rest").agg(F.sum("tokens").alias("size"))
-    blocks = blocks.withColumn("before", F.sum("size").over(Window.partitionBy("source").orderBy("block")) - F.col("size"))
-    last = blocks.where("before < rest and before + size > rest").select("source", "block", "before")
-    whole = blocks.where("before + size <= rest").select("source", "block")
-    walked = rows.join(F.broadcast(last), ["source", "block"]).withColumn("upto", F.col("before") + F.sum("tokens").over(Window.partitionBy("source", "block").orderBy("h", "id")))
-    columns = ["id", "source", "epoch", "block", "tokens"]
-    passes = rows.where("passes > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), "passes"))).select(columns)
-    more = rows.join(whole, ["source", "block"]).withColumn("epoch", F.col("passes") + 1).select(columns)
-    end = walked.where("upto <= rest").withColumn("epoch", F.col("passes") + 1).select(columns)
-    return passes.union(more).union(end)
+    every = rows.join(F.broadcast(plan), "source").withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("passes") + F.when(F.col("rest") > 0, 1).otherwise(0))))
+    every = every.where("passes > 0 or rest > 0").where("epoch > 0").withColumn("h", F.xxhash64(F.lit(seed), "epoch", "id")).withColumn("block", F.pmod("h", "blocks"))
+    blocks = every.groupBy("source", "epoch", "block", "passes", "rest").agg(F.sum("tokens").alias("size"), F.count("*").alias("rows"))
+    earlier = Window.partitionBy("source").orderBy("epoch", "block").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "epoch").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("offset", F.coalesce(F.sum("rows").over(earlier), F.lit(0))).withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    # blocks of the last pass that begin beyond the budget leave, the one in which it ends is cut by its own running sum
+    blocks = materialise(blocks.where("epoch <= passes or before < rest").withColumn("left", F.when(F.col("epoch") <= F.col("passes"), F.col("size")).otherwise(F.col("rest") - F.col("before"))))
+    order = Window.partitionBy("source", "epoch", "block").orderBy("h", "id")
+    placed = every.select("id", "source", "epoch", "block", "tokens", "h").join(blocks.select("source", "epoch", "block", "offset", "left"), ["source", "epoch", "block"])
+    placed = placed.withColumn("upto", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("place", F.row_number().over(order))
+    return placed.where("upto <= left").select("id", "source", "epoch", "block", (F.col("offset") + F.col("place")).alias("position"), "tokens")
 
 
 def report(mixed: DataFrame, targets: DataFrame) -> DataFrame:

@@ -63,3 +63,39 @@ def test_empty_tables(spark, docs):
     aims = targets(spark, ("web", 1.0, 1))
     assert K.mixture(docs.where("false"), "doc_id", "text", "source", aims).count() == 0
     assert K.mixture(docs, "doc_id", "text", "source", aims.where("false")).count() == 0
+
+
+def test_every_pass_is_a_permutation_of_its_own(spark, docs, monkeypatch):
+    monkeypatch.setattr(K, "BLOCK_ROWS", 10)
+    aims = targets(spark, ("web", 0.2, 1), ("code", 0.8, 40))
+    mixed = K.mixture(docs, "doc_id", "text", "source", aims, seed=3).where("source = 'code'")
+    orders, places = {}, []
+    for r in mixed.orderBy("position").collect():
+        orders.setdefault(r["epoch"], []).append(r["id"])
+        places.append(r["position"])
+    full = [tuple(x) for x in orders.values() if len(x) == 40]
+    assert places == list(range(1, len(places) + 1)) and len(full) >= 3
+    assert len(set(full)) == len(full) and len({tuple(sorted(x)) for x in full}) == 1
+
+
+def test_stretched_mixture_bisects_the_exponent(spark, docs):
+    aims = targets(spark, ("web", 0.2, 2), ("code", 0.8, 2))
+    exact, wide = (K.report(K.materialise(K.mixture(docs, "doc_id", "text", "source", aims, stretch=x)), aims).collect() for x in (1.0, 3.0))
+    share = lambda rows: {r["source"]: r["actual_share"] for r in rows}
+    size = lambda rows: sum(r["tokens"] for r in rows)
+    assert abs(share(exact)["web"] - 0.2) < 0.02 and share(wide)["web"] > 0.5
+    assert abs(size(wide) / size(exact) - 3) < 0.05 and all(r["most_repeats"] <= 2 for r in wide)
+
+
+def test_pieces_have_the_tokens_of_the_whole():
+    import random
+
+    import public_tokenizers
+
+    encode = K._encoder(K.default_tokenizer(), public_tokenizers.PATTERN).encode_ordinary
+    rng = random.Random(4)
+    for _ in range(20):
+        text = "".join(rng.choice(["a", "b ", "  ", "\n", "don't", "12", " 7", "?!", " ...", "\u00a0", "é", "日本", "\t x"]) for _ in range(6000))
+        pieces = K._pieces(text)
+        assert "".join(pieces) == text and len(pieces) > 1
+        assert [t for p in pieces for t in encode(p)] == encode(text)
