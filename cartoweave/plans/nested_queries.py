@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartoweave.operators.nested import Layout, flat_rows, flat_table
+from cartoweave.operators.nested import Layout, flat_rows, flat_table, path_counts
 from cartoweave.session import table
 
 CHILDREN = {"mention": ("user_mentions", "screen_name"), "hashtag": ("hashtags", "text"), "url": ("urls", "url"), "media": ("media", "media_url")}
@@ -66,7 +66,12 @@ def p6_sizes(spark: SparkSession, d: str) -> DataFrame:
     return _one(spark, d, "size", ["pos", "name"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_found, p6_mentions, p6_urls, p6_media, p6_sizes)}
+def p6_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Every path of the entities with its repeated ancestor, how many values it holds, and whether a table has it."""
+    return path_counts(table(spark, d, "raw_tweets"), "entities", ENTITIES)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_found, p6_mentions, p6_urls, p6_media, p6_sizes, p6_paths)}
 
 _OPEN = """
 with a as (select distinct tweet_id, case when json_valid(entities) then entities::json end as e from raw_tweets where tweet_id is not null and entities is not null),
