@@ -148,7 +148,7 @@ def labelled_sample(df: DataFrame, id_col: str, text_col: str, label_col: str, r
 
 
 def passages(w: Words, path: np.ndarray, scores: np.ndarray, known: np.ndarray) -> dict[str, np.ndarray]:
-    """Passages of a batch: row, number within the row, language, confidence, words, known words, first and end code point."""
+    """Passages of a batch: row, number within the row, language, confidence, words, known words."""
     new = np.r_[True, (path[1:] != path[:-1]) | (w.row[1:] != w.row[:-1])]
     at = np.flatnonzero(new)
     piece = np.cumsum(new) - 1
@@ -158,13 +158,13 @@ def passages(w: Words, path: np.ndarray, scores: np.ndarray, known: np.ndarray)
     sums = np.add.reduceat(scores, at, axis=0)
     sums -= sums.max(1, keepdims=True)
     conf = np.exp(sums)[np.arange(len(at)), path[at]] / np.exp(sums).sum(1)
-    return {"row": row, "no": no, "lang": path[at], "conf": conf, "words": np.bincount(piece), "known": np.bincount(piece, known.astype(float)).astype(np.int64), "start": w.start[at], "end": w.end[np.r_[at[1:] - 1, len(w.end) - 1]]}
+    return {"row": row, "no": no, "lang": path[at], "conf": conf, "words": np.bincount(piece), "known": np.bincount(piece, known.astype(float)).astype(np.int64)}
 
 
 def _detect(texts: pa.Array, model: LanguageModel) -> dict[str, np.ndarray]:
     """Passages of the batch. Passages without any word of the fit are invented words: they join a neighbour or vanish."""
     w = words_of(texts)
-    none = {k: np.zeros(0, np.int64) for k in ("row", "no", "lang", "conf", "words", "known", "start", "end")}
+    none = {k: np.zeros(0, np.int64) for k in ("row", "no", "lang", "conf", "words", "known")}
     if not len(w.row):
         return none
     scores, known = model.word_scores(w)
@@ -180,14 +180,13 @@ def _detect(texts: pa.Array, model: LanguageModel) -> dict[str, np.ndarray]:
     return found
 
 
-SCHEMA = "id long, seg_no int, lang string, confidence double, words int, start int, end int, label string, several boolean"
+SCHEMA = "id long, seg_no int, lang string, confidence double, words int, label string, several boolean"
 
 
 def language_passages(df: DataFrame, id_col: str, text_col: str, label_col: str | None, model: LanguageModel) -> DataFrame:
     """One row for each passage in one language of each text.
 
-    (id, seg_no from 1, lang, confidence, words, start, end as code points of the canonical text of the batch row, label as
-    named by ``label_col``, several: the text has more than one passage). Texts that are null, empty or without a word give
+    (id, seg_no from 1, lang, confidence, words, label as named by ``label_col``, several: the text has more than one passage). Texts that are null, empty or without a word give
     no row. Repeated rows are scored like any other; callers that want one result per id drop duplicates of (id, seg_no).
     """
     label = label_language(label_col, model.languages) if label_col else F.lit(None).cast("string")
@@ -200,14 +199,10 @@ def language_passages(df: DataFrame, id_col: str, text_col: str, label_col: str
         for b in bounded(batches):
             x = _detect(b.column("text"), own)
             many = np.bincount(x["row"], minlength=b.num_rows) > 1
-            begins = np.zeros(b.num_rows, np.int64)
-            if len(x["row"]):
-                first = np.r_[True, x["row"][1:] != x["row"][:-1]]
-                begins[x["row"][first]] = x["start"][first]
             at = pa.array(x["row"], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column("id").take(at), pa.array(x["no"], pa.int32()), pa.array(names[x["lang"]] if len(x["lang"]) else [], pa.string()), pa.array(x["conf"], pa.float64()), pa.array(x["words"], pa.int32()), pa.array(x["start"] - begins[x["row"]], pa.int32()), pa.array(x["end"] - begins[x["row"]], pa.int32()), b.column("label").take(at), pa.array(many[x["row"]], pa.bool_())],
-                ["id", "seg_no", "lang", "confidence", "words", "start", "end", "label", "several"],
+                [b.column("id").take(at), pa.array(x["no"], pa.int32()), pa.array(names[x["lang"]] if len(x["lang"]) else [], pa.string()), pa.array(x["conf"], pa.float64()), pa.array(x["words"], pa.int32()), b.column("label").take(at), pa.array(many[x["row"]], pa.bool_())],
+                ["id", "seg_no", "lang", "confidence", "words", "label", "several"],
             )
 
     return spread(rows).mapInArrow(run, SCHEMA)
