@@ -137,8 +137,7 @@ class Events:
 
     def _walk(self) -> None:
         """Paths and repeated ancestors, one level of nesting at a time."""
-        level = np.flatnonzero(self.parent < 0)
-        names = None
+        level, by, parents = np.flatnonzero(self.parent < 0), np.zeros(0, np.int64), np.zeros(0, np.int64)
         while len(level):
             parent = self.parent[level]
             below = parent >= 0
@@ -171,8 +170,10 @@ class Events:
             own = level[in_list | in_map | single]
             self.element[own] = own
             self.depth[own] += 1
-            by = np.argsort(self.parent, kind="stable")  # children of this level, wherever they were added
-            low, high = np.searchsorted(self.parent[by], level, "left"), np.searchsorted(self.parent[by], level, "right")
+            if len(by) < len(self.parent):  # children are found by a sort that is repeated when values were added
+                by = np.argsort(self.parent, kind="stable")
+                parents = self.parent[by]
+            low, high = np.searchsorted(parents, level, "left"), np.searchsorted(parents, level, "right")
             many = high - low
             level = np.sort(by[np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)])
 

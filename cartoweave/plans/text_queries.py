@@ -32,6 +32,33 @@ def query(sql: str | None = None):  # noqa: ANN201
     return add
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _collapsed(rows: str, name: str) -> str:
+    """CTEs of a recursive query: ``name`` (id, s) holds the rows (id, s) of the relation ``rows`` with repeats collapsed.
+
+    On the hexadecimal bytes: the places where one or two bytes stand at least four times are listed, and each step copies up
+    to the next one, writes the unit three times and goes on behind its last repetition.
+    """
+    return f"""
+{name}_h as (select id, hex(encode(s)) as h from {rows}),
+{name}_p as (select id, h, list_filter(range(1, length(h), 2), lambda i: (substr(h, i, 8) = repeat(substr(h, i, 2), 4) and length(substr(h, i, 8)) = 8 and substr(h, i, 2) <> '0A')
+ or (substr(h, i, 16) = repeat(substr(h, i, 4), 4) and length(substr(h, i, 16)) = 16 and substr(h, i, 2) <> '0A' and substr(h, i + 2, 2) <> '0A')) as ps from {name}_h),
+{name}_r as (select id, h, ps, cast(1 as bigint) as i, '' as o from {name}_p union all
+ select id, h, ps, case when u is null then length(h) + 1 else p + n * length(u) end, o || case when u is null then substr(h, i) else substr(h, i, p - i) || repeat(u, 3) end from (
+  select *, len(list_filter(range(1, (length(h) - p + 1) // length(u) + 1), lambda x: starts_with(substr(h, p), repeat(u, x)))) as n from (
+   select *, case when p is null then null when substr(h, p, 8) = repeat(substr(h, p, 2), 4) and length(substr(h, p, 8)) = 8 and substr(h, p, 2) <> '0A' then substr(h, p, 2) else substr(h, p, 4) end as u from (
+    select *, list_min(list_filter(ps, lambda x: x >= i)) as p from {name}_r where i <= length(h))))),
+{name} as (select id, decode(unhex(o)) as s from {name}_r where i > length(h))"""
+
+
+def _stripped(rows: str, name: str) -> str:
+    """CTEs (id, s): F03 of the rows (id, s) of the relation ``rows``."""
+    return f"""{name}_u as (select id, replace(replace(replace(replace(replace(s, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), chr(39), ''), '"', '') as s from {rows}),{_collapsed(f"{name}_u", f"{name}_c")},
+{name} as (select id, array_to_string(list_filter(regexp_split_to_array({_LOWER.format('s')}, '{WS}'), lambda w: w <> '' and not starts_with(w, 'http') and w[1] not in ('#', '@')), ' ') as s from {name}_c)"""
+
+
 _URLS = N._OPEN.rstrip() + ", u as (select distinct o->>'$.expanded_url' as url from child where kind = 'url' and json_type(o) = 'OBJECT' and o->>'$.expanded_url' is not null), labels as (select url, list_filter(string_split(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]*)', 1)), '.'), lambda x: x <> 'www') as l from u)\n"
 
 
@@ -51,7 +78,7 @@ def f02_domains(spark: SparkSession, d: str) -> DataFrame:
     return _urls(spark, d).select("url", F.posexplode(X.get_domains("url")).alias("i", "domain")).select("url", "domain", (F.col("i") + 2).cast("long").alias("labels"))
 
 
-@query()
+@query("with recursive t as (select row_number() over () as id, * from (select distinct tweet_id, text as s from raw_tweets)), kept as (select * from t where s is not null), " + _stripped("kept", "f") + " select t.tweet_id, f.s as plain from t left join f using (id)")
 def f03_strip_sanitize(spark: SparkSession, d: str) -> DataFrame:
     """F03 over all tweets."""
     return B.tweets(spark, d, "text").select("tweet_id", X.from_bytes(X.strip_sanitize_lc("text")).alias("plain"))
@@ -63,7 +90,7 @@ def f04_sanitise(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", X.from_bytes(X.sanitise_string("text")).alias("plain"))
 
 
-@query()
+@query("with recursive t as (select doc_id as id, text as s from documents where text is not null)," + _collapsed("t", "c") + " select c.id as doc_id, c.s as collapsed from c join t on t.id = c.id where c.s <> t.s")
 def f05_collapsed(spark: SparkSession, d: str) -> DataFrame:
     """documents with a repetition and their collapsed text."""
     made = table(spark, d, "documents").select("doc_id", "text", X.from_bytes(X.collapse_repeats(X.byte_view("text"))).alias("collapsed"))
@@ -76,7 +103,33 @@ def f10_simple_words(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.explode(X.simple_words(F.lower("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
-@query()
+_WORDS_OF_F = "select id, unnest(list_filter(regexp_split_to_array(s, '[^\\w]+'), lambda w: w <> '')) as token from f"
+
+
+def _tweets_of(doc_type: str) -> str:
+    return f"with recursive tw as (select row_number() over () as id, * from (select distinct tweet_id, username, text, entities from raw_tweets where doc_type = '{doc_type}' and username is not null)), kept as (select id, text as s from tw where text is not null), " + _stripped("kept", "f")
+
+
+_COUNTED = """ select '@' || lower(username) as "user", token, count(*) as count from tokens join tw using (id) where token is not null group by all"""
+
+
+_HOST = "lower(regexp_extract({}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]*)', 1))"
+_LABELS = "list_filter(string_split({}, '.'), lambda x: x <> 'www')"
+
+
+def _raw_tokens() -> str:
+    return _tweets_of("raw_tweet") + f""", e as (select id, entities::json as e from tw where json_valid(entities) and json_type(entities) = 'OBJECT'),
+ item as (select id, kind, unnest(from_json(l, '["json"]')) as o from (select id, 'm' as kind, e->'$.user_mentions' as l from e union all select id, 'h', e->'$.hashtags' from e union all select id, 'u', e->'$.urls' from e) where json_type(l) = 'ARRAY'),
+ got as (select id, kind, o->>'$.screen_name' as name, o->>'$.text' as tag, o->>'$.url' as url, o->>'$.expanded_url' as wide from item where json_type(o) = 'OBJECT'),
+ link as (select id, url, wide, case when length(wide) > 0 then wide else url end as base from got where kind = 'u'),
+ host as (select id, wide, {_LABELS.format(_HOST.format("base"))} as l, {_HOST.format("base")} as h, {_HOST.format("url")} as own from link),
+ tokens as (select id, '@' || lower(name) as token from got where kind = 'm' union all select id, '#' || lower(tag) from got where kind = 'h' union all select id, url from link union all select id, wide from link where length(wide) > 0
+  union all select id, 'http://' || array_to_string(l[len(l) - i + 1:], '.') from (select id, l, unnest(range(2, len(l) + 1)) as i from host where h <> '')
+  union all select id, 'http://' || array_to_string({_LABELS.format("own")}, '.') from host where length(wide) > 0 and own <> ''
+  union all {_WORDS_OF_F})""" + _COUNTED
+
+
+@query(_raw_tokens())
 def f11_raw_tweet_tokens(spark: SparkSession, d: str) -> DataFrame:
     """tokens of raw tweets with their users, counted."""
     rows = table(spark, d, "raw_tweets").where("doc_type = 'raw_tweet' and username is not null").select("tweet_id", "username", "text", "entities").distinct()
@@ -84,7 +137,7 @@ def f11_raw_tweet_tokens(spark: SparkSession, d: str) -> DataFrame:
     return tokens.groupBy("user", "token").agg(F.count("*").alias("count"))
 
 
-@query()
+@query(_tweets_of("csharp_munged_tweet") + ", tokens as (select id, unnest(list_transform(json_extract_string(entities, '$[*]'), lambda x: lower(x))) as token from tw where json_valid(entities) and json_type(entities) = 'ARRAY' union all " + _WORDS_OF_F + ")" + _COUNTED)
 def f12_munged_tweet_tokens(spark: SparkSession, d: str) -> DataFrame:
     """tokens of reshaped tweets with their users, counted."""
     rows = table(spark, d, "raw_tweets").where("doc_type = 'csharp_munged_tweet' and username is not null").select("tweet_id", "username", "text", "entities").distinct()
@@ -133,7 +186,16 @@ def a22_trigrams(spark: SparkSession, d: str) -> DataFrame:
     return M.trigram_counts(table(spark, d, "documents"), "text", "word_aware")
 
 
-@query()
+_PUNCTUATION = '[!@#$%^&*_+|}{;":?><,./ ]+'
+_MODES = f"""lowered as (select doc_id as id, array_to_string(list_filter(regexp_split_to_array({_LOWER.format('text')}, '{WS}'), lambda w: w <> '' and not starts_with(w, 'http') and w[1] not in ('#', '@') and w <> 'rt' and not regexp_matches(w, '^-?\\$?\\d+\\.?\\d*$')), ' ') as s from documents where text is not null),
+ opened as (select id, replace(replace(s, '&lt;', '<'), '&gt;', '>') as s from lowered),{_collapsed("opened", "lc")},
+ padded as (select 'lowercase' as mode, ' ' || s || ' ' as s from lc where s <> ''
+  union all select 'lowercase_depunctuated', ' ' || s || ' ' from (select array_to_string(list_filter(regexp_split_to_array(s, '{_PUNCTUATION}'), lambda w: w <> ''), ' ') as s from lc) where s <> ''
+  union all select 'word_aware_lc', '<' || w || '>' from (select unnest(regexp_split_to_array(s, '{_PUNCTUATION}')) as w from lc) where w <> ''),
+ grams as (select mode, substr(h, 2 * i + 1, 6) as tg from (select mode, h, unnest(range(0, length(h) // 2 - 2)) as i from (select mode, hex(encode(s)) as h from padded)) union all select 'word_aware', tg from tri)"""
+
+
+@query("with recursive " + _WORDS + ", " + _MODES + " select mode, count(distinct tg) as known, count(*) as total from grams group by mode")
 def a22_trigrams_by_mode(spark: SparkSession, d: str) -> DataFrame:
     """Distinct and total trigrams of the documents in every mode."""
     docs = table(spark, d, "documents")
