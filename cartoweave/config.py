@@ -7,6 +7,7 @@ key or overwritten as a whole, by name. A text ``$a.b`` is the value at that pat
 from __future__ import annotations
 
 import ast
+import contextlib
 import operator
 import re
 from collections.abc import Mapping
@@ -65,3 +66,22 @@ def _compute(node: ast.expr, names: dict[str, object]) -> object:
         case ast.Name(name) if name in names:
             return names[name]
     raise ValueError(f"not an expression of a configuration: {ast.dump(node)}")
+
+
+def coerced(known: dict[str, object], given: dict[str, str]) -> dict[str, object]:
+    """``known`` with the values of ``given`` for the names it has, in the type of the known value.
+
+    Numbers that do not parse and unknown names change nothing; "", "0", "no" and "false" in any case are False.
+    """
+    made = dict(known)
+    for name, text in given.items():
+        old = known.get(name)
+        if isinstance(old, bool):
+            made[name] = text.lower() not in ("", "0", "no", "false")
+        elif isinstance(old, (int, float)):
+            with contextlib.suppress(ValueError):
+                number = float(text)
+                made[name] = int(number) if isinstance(old, int) and number.is_integer() else number
+        elif isinstance(old, str):
+            made[name] = text
+    return made

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cartoweave.functions.text import counted_words
 from cartoweave.operators.running import global_rank
+from cartoweave.session import materialise
 
 BUCKETS = 10
 EPSILON = 1e-8
@@ -116,6 +117,31 @@ def best_tokens(measures: DataFrame, wanted: int, order: str = "entropy") -> Dat
     return measures.orderBy(F.desc(order), "token").limit(wanted)
 
 
+def word_finder(counts: DataFrame, wanted: int = 20_000, cutoff: float = 0.0001) -> DataFrame:
+    """(token, entropy): the vocabulary by the fixed thresholds of the word finder.
+
+    Tokens of at least 3 letters, used at least 10 times, by at most 95 % of the users and not among the commonest share
+    ``cutoff``; users with at least 30 words; of what is left the ``wanted`` tokens of the largest entropy.
+    """
+    counts = materialise(counts)
+    tokens = pre_filter_tokens(counts)
+    usual = popular_cutoff(totals(counts, "token"), cutoff)
+    left = materialise(kept(counts, filter_users(counts), tokens.join(usual.select("token"), "token", "left_semi")))
+    probabilities = materialise(with_probability(left))
+    bounds = [r["bound"] for r in boundaries(probabilities).orderBy("bucket").collect()]
+    return best_tokens(histogram_measures(probability_histogram(probabilities, bounds)), wanted).select("token", "entropy")
+
+
+def dense_rows(cells: DataFrame, row: str, column: str, value: str, width: int) -> DataFrame:
+    """(row, values): coordinates and values as rows of a matrix of ``width`` columns; cells that are not there are 0.
+
+    Of several values of one cell the sum holds; columns outside of the width leave.
+    """
+    inside = cells.where((F.col(column) >= 0) & (F.col(column) < width) & F.col(row).isNotNull())
+    per = inside.groupBy(row, column).agg(F.sum(value).cast("double").alias("v")).groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct(F.col(column).cast("int"), "v"))).alias("m"))
+    return per.select(row, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("values"))
+
+
 def row_normalised(counts: DataFrame) -> DataFrame:
     """Counts divided by the total of their user; a total of 0 divides by 1."""
     both = counts.join(totals(counts, "user"), "user")

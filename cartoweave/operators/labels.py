@@ -1,4 +1,4 @@
-"""Labels of map cells.
+"""Labels of map cells.
 
 Rows are (token, cell, value): how often a token is used in a cell; cells are keys as text ("0,1,0"). Every mode gives
 (cell, token, value) ranked within its cell; cells without tokens are only in ``with_users``.
@@ -93,6 +93,18 @@ def with_users(labels: DataFrame, users: DataFrame) -> DataFrame:
     return per.join(users.select("cell", F.col("value").alias("users")), "cell", "full").select("cell", F.coalesce("labels", F.lit(0).cast("bigint")).alias("labels"), "users")
 
 
+def cell_frame(labels: DataFrame, users: DataFrame) -> DataFrame:
+    """(cell, x, y, users, labels): every cell of labels or users with its place in the square, the labels ranked.
+
+    A cell holds at most a few hundred labels. Nothing is drawn; this is the frame that a table or a page is made of.
+    """
+    ranked = F.sort_array(F.collect_list(F.struct("value", "token")), asc=False)
+    per = labels.groupBy("cell").agg(F.transform(ranked, lambda t: F.struct(t["token"].alias("token"), t["value"].alias("value"))).alias("labels"))
+    both = per.join(users.select("cell", F.col("value").alias("users")), "cell", "full")
+    place = quad_to_xy(F.split("cell", ",").cast("array<int>"))
+    return both.select("cell", place["x"].cast("int").alias("x"), place["y"].cast("int").alias("y"), "users", "labels")
+
+
 def neighbour_classes(labels: DataFrame) -> DataFrame:
     """(cell, side): sides on which the neighbouring cell shares a token.
 

@@ -65,9 +65,9 @@ def evidence(model: DataFrame, other: DataFrame | None = None, offset_factor: fl
     return both.select("tg", value.alias("evidence")), s["min_evidence"] - o["min_evidence"]
 
 
-def scored(texts: DataFrame, id_cols: list[str], text_col: str, model: DataFrame, other: DataFrame | None = None, mode: str = "word_aware_lc") -> DataFrame:
+def scored(texts: DataFrame, id_cols: list[str], text_col: str, model: DataFrame, other: DataFrame | None = None, mode: str = "word_aware_lc", offset_factor: float = OFFSET, other_offset_factor: float = OTHER_OFFSET) -> DataFrame:
     """(id_cols, score): mean evidence per trigram; 0 for texts without any, which keep their row."""
-    table, default = evidence(model, other)
+    table, default = evidence(model, other, offset_factor, other_offset_factor)
     small = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     each = spread(texts.select(*id_cols, text_col)).select(*id_cols, F.explode_outer(trigrams(text_col, mode)).alias("t")).withColumn("tg", byte_hex("t"))
     hit = each.join(F.broadcast(table) if small else table, "tg", "left")

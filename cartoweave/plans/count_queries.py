@@ -245,3 +245,28 @@ def w10_fraction_of_max(spark: SparkSession, d: str) -> DataFrame:
     per = B.word_counts(spark, d).groupBy("token").agg(F.max("count").alias("most"))
     whole = per.agg(F.max("most").alias("all"))
     return per.join(F.broadcast(whole)).select("token", "most", F.round(F.col("most") / F.col("all"), 9).alias("fraction"))
+
+
+_FINDER = f"""with {B.COUNTS}, tt as (select token, sum(count) as total, count(*) as users from wc group by token),
+bound as (select min(total) as most from (select total, row_number() over (order by total desc) as r, count(*) over () as n from tt) where r <= 1 + cast(floor(n * 0.0001) as bigint)),
+good as (select token from tt, bound where length(cast(token as varchar)) >= 3 and total >= 10 and total <= most and users / (select count(distinct "user") from wc) <= 0.95),
+busy as (select "user" from wc group by "user" having sum(count) >= 30),
+p as (select token, count / sum(count) over (partition by "user") as p from wc where token in (select token from good) and "user" in (select "user" from busy)),
+placed as (select p, row_number() over (order by p) - 1 as r, count(*) over () as n from p),
+bounds as (select list(p order by r) as b from placed where n // 10 > 0 and r % (n // 10) = 0 and r // (n // 10) between 1 and 9),
+hist as (select token, len(list_filter(b, lambda x: p >= x)) as bucket, count(*) as n from p, bounds group by all),
+cells as (select t.token, coalesce(h.n, 0) as n from (select distinct token from hist) t cross join (select unnest(range(10)) as b) c left join hist h on h.token = t.token and h.bucket = c.b)
+"""
+
+
+@query(_FINDER + "select token, round(sum(-((n + 1e-8) / (s + 1e-7)) * ln((n + 1e-8) / (s + 1e-7))), 6) as entropy from (select token, n, sum(n) over (partition by token) as s from cells) group by token")
+def r05_word_finder(spark: SparkSession, d: str) -> DataFrame:
+    """The vocabulary by the word finder's fixed thresholds."""
+    return C.word_finder(B.word_counts(spark, d)).select("token", F.round("entropy", 6).alias("entropy"))
+
+
+@query(f"with {B.COUNTS}, m as (select \"user\", map(list(token), list(count)) as m from wc where token between 0 and 499 group by \"user\") select \"user\", array_to_string(list_transform(range(500), lambda i: coalesce(m[i], 0)), ' ') as row from m")
+def r03_dense_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The counts of every user as the row of a matrix of 500 words."""
+    made = C.dense_rows(B.word_counts(spark, d), "user", "token", "count", 500)
+    return made.select("user", F.array_join(F.transform("values", lambda v: v.cast("bigint").cast("string")), " ").alias("row"))

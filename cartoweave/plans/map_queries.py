@@ -260,6 +260,17 @@ def j07_cells_users(spark: SparkSession, d: str) -> DataFrame:
     return L.with_users(L.magic_labels(_rows(spark, d)), users)
 
 
+@query(_MAGIC + f""", users as (select array_to_string(({B.QUAD})[:5], ',') as cell, count(*) as users from people where {B.ON_MAP} group by all), per as (select cell, string_agg(token || ':' || value, ' ' order by value desc, token desc) as labels from magic group by cell),
+joined as (select cell, labels, users.users from per full join users using (cell)), q as (select *, string_split(cell, ',')::int[] as d from joined)
+select cell, cast(list_reduce(list_prepend(0, list_transform(d, lambda v: v & 1)), lambda a, v: a * 2 + v) as int) as x, cast(list_reduce(list_prepend(0, list_transform(d, lambda v: v >> 1)), lambda a, v: a * 2 + v) as int) as y, users, labels from q""")
+def s11_cell_frame(spark: SparkSession, d: str) -> DataFrame:
+    """The frame behind a table of cells: place, users and ranked labels."""
+    users = V.locations(B.people(spark, d), 5).select(Q.key_text("quadkey").alias("cell"), "value")
+    made = L.cell_frame(L.magic_labels(_rows(spark, d)), users)
+    text = F.array_join(F.transform("labels", lambda t: F.concat(t["token"], F.lit(":"), t["value"].cast("string"))), " ")
+    return made.select("cell", "x", "y", "users", F.when(F.col("labels").isNotNull(), text).alias("labels"))
+
+
 @query(_MAGIC + """, xy as (select cell, token, list_reduce(list_prepend(0, list_transform(string_split(cell, ','), lambda v: v::int & 1)), lambda a, v: a * 2 + v) as x, list_reduce(list_prepend(0, list_transform(string_split(cell, ','), lambda v: v::int >> 1)), lambda a, v: a * 2 + v) as y from magic),
 l as (select distinct a.cell, b.cell as other from xy a join xy b on a.token = b.token and b.x = a.x - 1 and b.y = a.y), u as (select distinct a.cell, b.cell as other from xy a join xy b on a.token = b.token and b.x = a.x and b.y = a.y - 1)
 select cell, 'left' as side from l union select other, 'right' from l union select cell, 'up' from u union select other, 'down' from u""")
@@ -287,10 +298,10 @@ _SIDE = D.kernel(KERNEL)
 _OFFSETS = ", ".join(f"({d}, {_SIDE[abs(d)]!r}::double)" for d in range(1 - len(_SIDE), len(_SIDE)))
 
 
-def _fuzz(name: str, points: str) -> str:
-    return f""", at_{name} as (select try_cast(trunc((x + 104) * 0.6) as int) as gx, try_cast(trunc((y + 104) * 0.6) as int) as gy, sum(v)::double as v from {points} group by all),
-tall_{name} as (select gx, gy + o.d as gy, sum(v * o.f) as v from at_{name}, (values {_OFFSETS}) o(d, f) where gy + o.d between 0 and {HEIGHT - 1} group by all having sum(v * o.f) >= 0.001),
-{name} as (select gx + o.d as gx, gy, sum(v * o.f) as v from tall_{name}, (values {_OFFSETS}) o(d, f) where gx + o.d between 0 and {WIDTH - 1} group by all)"""
+def _fuzz(name: str, points: str, low: str = "104", scale: str = "0.6", offsets: str = _OFFSETS) -> str:
+    return f""", at_{name} as (select try_cast(trunc((x + {low}) * {scale}) as int) as gx, try_cast(trunc((y + {low}) * {scale}) as int) as gy, sum(v)::double as v from {points} group by all),
+tall_{name} as (select gx, gy + o.d as gy, sum(v * o.f) as v from at_{name}, (values {offsets}) o(d, f) where gy + o.d between 0 and {HEIGHT - 1} group by all having sum(v * o.f) >= 0.001),
+{name} as (select gx + o.d as gx, gy, sum(v * o.f) as v from tall_{name}, (values {offsets}) o(d, f) where gx + o.d between 0 and {WIDTH - 1} group by all)"""
 
 
 _POINTS = f"with {B.POSITIONED}, pts as (select token, x, y, count as v from positioned where {B.ON_MAP}), pa as (select * from pts where token = 'injunction'), pb as (select * from pts where token = 'diagnosis')"
@@ -318,7 +329,11 @@ def g02_density(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(D.density(B.people(spark, d).where(Q.on_map("x", "y")).withColumn("v", F.lit(1)), WHOLE, KERNEL))
 
 
-@query()
+_WIDE = D.kernel(KERNEL / 4)
+_WIDE_OFFSETS = ", ".join(f"({d}, {_WIDE[abs(d)]!r}::double)" for d in range(1 - len(_WIDE), len(_WIDE)))
+
+
+@query(f"with {B.PEOPLE}, pp as (select x, y, 1 as v from people where {B.ON_MAP})" + _fuzz("g", "pp", "100", "1.2", _WIDE_OFFSETS) + " select gx, gy, round(v, 6) as v from g")
 def g03_zoomed(spark: SparkSession, d: str) -> DataFrame:
     """Density of a quarter of the map."""
     return _rounded(D.zoomed_density(B.people(spark, d).where(Q.on_map("x", "y")).withColumn("v", F.lit(1)), WHOLE, 1, -60.0, -60.0, WIDTH, HEIGHT, KERNEL))

@@ -161,3 +161,16 @@ def test_fits_take_all_rows_up_to_the_limits(spark, monkeypatch):
     queries.m11_coordinates(spark, d)
     queries.m05_semantic_codes(spark, d)
     assert seen == [("annealed", len(codes), (), {}), ("pretrain", spark.read.parquet(f"{d}/embeddings.parquet").where("embedding is not null").count(), (), {})]
+
+
+def test_positioned_people_and_their_mixture(spark):
+    """The likelihood grows up to the true number of components and hardly beyond it."""
+    from cartoweave.ml import people as P
+    from cartoweave.session import materialise
+    from cartoweave.sources.synthetic import positioned_people
+
+    rows = materialise(positioned_people(spark, 1500))
+    assert sorted(map(str, rows.limit(5).collect())) == sorted(map(str, positioned_people(spark, 1500).limit(5).collect()))
+    assert rows.where("size(histo) <> 6 or exists(histo, h -> h < 0 or h > 1)").count() == 0 and rows.select("component").distinct().count() == 5
+    likelihood = {k: max(P.fit_mixture(rows, k, seed=s).summary.logLikelihood for s in (1, 2)) for k in (2, 3, 5, 7)}
+    assert likelihood[2] < likelihood[3] < likelihood[5] and likelihood[7] - likelihood[5] < 0.25 * (likelihood[5] - likelihood[3])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import random
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cartoweave.config import Config, merged
+from cartoweave.config import Config, coerced, merged
 from cartoweave.functions import quad as Q
 from cartoweave.operators import counts as C
 from cartoweave.operators import density as D
@@ -213,3 +214,40 @@ def test_synthetic_counts_are_seeded(spark):
 
     a, b = (sorted(map(tuple, topic_counts(spark, 5, 6, 2, 40, seed).collect())) for seed in (1, 1))
     assert a == b and sum(r[3] for r in a) == 200
+
+
+def test_coerced_parameters():
+    known = {"zoom": 2, "scale": 1.5, "names": True, "title": "map"}
+    got = coerced(known, {"zoom": "3", "scale": "x", "names": "No", "title": "", "other": "1"})
+    assert got == {"zoom": 3, "scale": 1.5, "names": False, "title": ""} and known["zoom"] == 2
+    assert coerced(known, {"zoom": "2.5", "names": "yes"}) == {"zoom": 2.5, "scale": 1.5, "names": True, "title": "map"}
+
+
+def test_dense_rows(spark):
+    df = spark.createDataFrame([("a", 0, 2), ("a", 2, 1), ("a", 2, 4), ("b", 9, 1), ("b", -1, 1), (None, 0, 1)], "r string, c int, v int")
+    assert [tuple(x) for x in C.dense_rows(df, "r", "c", "v", 3).collect()] == [("a", [2.0, 0.0, 5.0])]
+    assert C.dense_rows(df.where("false"), "r", "c", "v", 3).count() == 0
+
+
+def test_cell_frame(spark):
+    labels = spark.createDataFrame([("0,1", "tea", 3), ("0,1", "rum", 3), ("0,1", "ale", 9)], "cell string, token string, value long")
+    users = spark.createDataFrame([("0,1", 7), ("3,3", 2)], "cell string, value long")
+    got = {r["cell"]: (r["x"], r["y"], r["users"], [tuple(t) for t in r["labels"] or []]) for r in L.cell_frame(labels, users).collect()}
+    assert got == {"0,1": (1, 0, 7, [("ale", 9), ("tea", 3), ("rum", 3)]), "3,3": (3, 3, 2, [])}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from cartoweave.__main__ import main
+
+    for name, text in (("good", "the cat sat on the mat"), ("bad", "zyx qwv zyx")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.txt").write_text(text)
+    lines = [{"id": 1, "screen_name": "Al", "text": "the cat on the mat"}, {"id": 2, "screen_name": "Bo", "text": "zyx zyx"}]
+    (tmp_path / "lines.json").write_text("\n".join(map(json.dumps, lines)))
+    common = ["hose", "-i", str(tmp_path / "lines.json"), "--corpus", str(tmp_path / "good"), "--anti-corpus", str(tmp_path / "bad")]
+    assert main([*common, "-g", str(tmp_path / "out"), "-q", str(tmp_path / "queue")]) == 0
+    assert [r["screen_name"] for r in spark.read.json(str(tmp_path / "out")).collect()] == ["Al"] and spark.read.parquet(str(tmp_path / "queue")).count() == 3
+    assert main([*common, "-T", "-r"]) == 0 and main(["list"]) == 0
+    (tmp_path / "rows.json").write_text('{"key":["tea",0,1,2],"value":3},\n{"key":["rum",0,1,3],"value":5}')
+    assert main(["labels", str(tmp_path / "rows.json"), "--mode", "total", "--precision", "2"]) == 0
+    assert "rum" in capsys.readouterr().out
