@@ -331,10 +331,12 @@ def m18_orientation(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def m17_word_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Mixture means of two words over the users on the map."""
-    rows = B.positioned(spark, d).where(Q.on_map("x", "y"))
-    wide = rows.groupBy("user", "x", "y").agg(*[F.sum(F.when(F.col("token") == t, F.col("count")).otherwise(0)).cast("double").alias(t) for t in ("fossil", "injunction")])
-    return P.word_labels(wide.select("x", "y", F.array("fossil", "injunction").alias("histo")), ["fossil", "injunction"])
+    """Mixture means of every word over the users on the map."""
+    words = [r[0] for r in table(spark, d, "fake_words").where("word is not null").select("word").distinct().orderBy("word").limit(10_000).collect()]
+    rows = B.positioned(spark, d).where(Q.on_map("x", "y")).groupBy("user", "x", "y", "token").agg(F.sum("count").cast("double").alias("n"))
+    per = rows.groupBy("user", "x", "y").agg(F.map_from_entries(F.collect_list(F.struct("token", "n"))).alias("m"))
+    histo = F.transform(F.array(*[F.lit(w) for w in words]), lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0.0)))
+    return P.word_labels(per.select("x", "y", histo.alias("histo")), words)
 
 
 @query()

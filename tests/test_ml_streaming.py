@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -174,3 +176,18 @@ def test_positioned_people_and_their_mixture(spark):
     assert rows.where("size(histo) <> 6 or exists(histo, h -> h < 0 or h > 1)").count() == 0 and rows.select("component").distinct().count() == 5
     likelihood = {k: max(P.fit_mixture(rows, k, seed=s).summary.logLikelihood for s in (1, 2)) for k in (2, 3, 5, 7)}
     assert likelihood[2] < likelihood[3] < likelihood[5] and likelihood[7] - likelihood[5] < 0.25 * (likelihood[5] - likelihood[3])
+
+
+def test_word_labels_find_where_words_are_used(spark):
+    rng = np.random.default_rng(8)
+    groups = {0: ((0, 0), (9, 1)), 1: ((-7, 5), (4, -6))}
+    rows = [(float(x), float(y), [1.0 if w == i else 0.0 for i in range(3)]) for w, places in groups.items() for c in places for x, y in rng.normal(c, 0.3, (80, 2))]
+    df = spark.createDataFrame([*rows, (None, 1.0, [1.0, 1.0, 0.0]), (float("nan"), 1.0, [1.0, 1.0, 0.0])], "x double, y double, histo array<double>")
+    got = {}
+    for r in people.word_labels(df, ["tea", "rum", "never"]).collect():
+        got.setdefault(r["word"], []).append((r["x"], r["y"]))
+    assert set(got) == {"tea", "rum"}
+    for w, name in ((0, "tea"), (1, "rum")):
+        for c in groups[w]:
+            assert min(math.dist(c, p) for p in got[name]) < 0.3
+    assert people.word_labels(df.where("false"), ["tea"]).count() == 0
