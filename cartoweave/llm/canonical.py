@@ -249,14 +249,41 @@ def canonical_keys(df: DataFrame, id_col: str, text_col: str, *keep: str) -> Dat
     return made.select("id", F.xxhash64("form").alias("k1"), F.xxhash64(F.lit(7), "form", F.length("form")).alias("k2"), F.xxhash64("text").alias("v"), *keep)
 
 
+#: Records of one form that one task pairs with all records of the form.
+FORM_ROWS = 2_000
+
+
+def _spelled_apart(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, k1, k2, v, n): the records of forms that are stored in more than one spelling, with their number in the form.
+
+    Forms stored in a single spelling never reach a join: a pre-aggregated pass finds the others first.
+    """
+    keys = materialise(canonical_keys(df, id_col, text_col))
+    mixed = keys.groupBy("k1", "k2").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("k1", "k2", "n")
+    return materialise(keys.join(mixed, ["k1", "k2"]).select("id", "k1", "k2", "v", "n").distinct())
+
+
+def same_look_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, form, spelling): a row for each record whose text reads the same as another one stored in different characters.
+
+    ``form`` is the smallest id of those that read the same, ``spelling`` the smallest id stored in the same characters. Two
+    records with one form and two spellings are a pair of ``same_look_pairs``; this result stays linear in the records.
+    """
+    rows = _spelled_apart(df, id_col, text_col)
+    spellings = rows.groupBy("k1", "k2", "v").agg(F.min("id").alias("spelling"))
+    forms = rows.groupBy("k1", "k2").agg(F.min("id").alias("form"))
+    return rows.join(spellings, ["k1", "k2", "v"]).join(forms, ["k1", "k2"]).select("id", "form", "spelling").distinct()
+
+
 def same_look_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id_a, id_b), id_a < id_b: records whose text reads the same but is stored in different characters.
 
-    Groups stored in a single form never reach the join: a pre-aggregated pass finds the canonical keys with two or more
-    stored forms first. A hot key is split by Spark's skew join; records of one stored form are never paired.
+    The result itself is quadratic in the records of one form (``same_look_classes`` is not). Records of a form that many
+    share are salted: each task pairs at most about ``FORM_ROWS`` of them with the others. Records of one spelling are never
+    paired.
     """
-    keys = materialise(canonical_keys(df, id_col, text_col))
-    mixed = keys.groupBy("k1", "k2").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo <> hi").select("k1", "k2")
-    rows = materialise(keys.join(mixed, ["k1", "k2"], "left_semi").distinct())
-    a, b = (rows.select(F.col("id").alias(f"id_{s}"), F.col("v").alias(f"v_{s}"), "k1", "k2") for s in "ab")
-    return a.join(b, ["k1", "k2"]).where("id_a < id_b and v_a <> v_b").select("id_a", "id_b").distinct()
+    rows = _spelled_apart(df, id_col, text_col)
+    a, b = (rows.select(F.col("id").alias(f"id_{s}"), F.col("v").alias(f"v_{s}"), "k1", "k2", F.ceil(F.col("n") / FORM_ROWS).cast("int").alias("salts")) for s in "ab")
+    a = a.withColumn("salt", F.pmod(F.xxhash64("id_a"), "salts").cast("int")).drop("salts")
+    b = b.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    return a.join(b, ["k1", "k2", "salt"]).where("id_a < id_b and v_a <> v_b").select("id_a", "id_b").distinct()

@@ -32,6 +32,7 @@ from pyspark.sql.window import Window
 
 from cartoweave.functions.text import let
 from cartoweave.llm.sums import matrix_sum
+from cartoweave.ml.blocks import nearest_in_block
 from cartoweave.session import materialise, spread
 
 DIMS, BITS, WORD, SEED = 12, 10, 60, 17
@@ -40,8 +41,8 @@ ORDERINGS, CARRY = (2, 4, 8, 16), 4_000
 RECALL = 0.95
 #: Rows whose true neighbours are sought to choose the search (documented bound), and the bounds of a window.
 SAMPLE, WINDOW_LEAST, WINDOW_MOST = 1_024, 2_048, 65_536
-#: Rows of a range at least, rows compared with a window at once, candidates measured exactly at once, rows of one broadcast.
-ROWS_PER_PARTITION, ROWS_AT_ONCE, PAIRS_AT_ONCE, CHUNK = 24_000, 256, 100_000, 8_192
+#: Rows of a range at least, rows compared with a window at once, rows of one broadcast.
+ROWS_PER_PARTITION, ROWS_AT_ONCE, CHUNK = 24_000, 256, 8_192
 
 
 def vector_from_text(text: Column | str, size: int) -> Column:
@@ -177,42 +178,6 @@ def _moments(kept: DataFrame, size: int) -> tuple[int, np.ndarray, np.ndarray]:
     return int(m[0, 0]), m[0, 1:], m[1:, 1:]
 
 
-def _exact(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Distances of the rows a[i] and b[j]."""
-    out = np.empty(len(i))
-    for lo in range(0, len(i), PAIRS_AT_ONCE):
-        d = a[i[lo : lo + PAIRS_AT_ONCE]] - b[j[lo : lo + PAIRS_AT_ONCE]]
-        out[lo : lo + PAIRS_AT_ONCE] = np.sqrt((d * d).sum(1))
-    return out
-
-
-def _best(ids: np.ndarray, x: np.ndarray, own: np.ndarray, others: np.ndarray, other_ids: np.ndarray, y: np.ndarray, k: int, within: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(id, other, distance): for the rows ``own`` of x the k nearest of the rows ``others`` of y, ties by the smaller id.
-
-    One matrix product in float32 around the local mean leaves the candidates, with room for its error; those are measured.
-    """
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    if not len(own) or not len(others):
-        return none
-    centre = y[others].mean(0)
-    a, b = (x[own] - centre).astype(np.float32), (y[others] - centre).astype(np.float32)
-    sa, sb = (a * a).sum(1), (b * b).sum(1)
-    d2 = sa[:, None] + sb - 2 * (a @ b.T)
-    d2[ids[own][:, None] == other_ids[others]] = np.inf
-    slack = 1e-5 * (sa + sb.max())
-    bound = (np.partition(d2, k - 1, axis=1)[:, k - 1] if len(others) > k else np.full(len(own), np.inf, np.float32)) + 2 * slack
-    if within is not None:
-        bound = np.minimum(bound, np.float32(within**2) + 2 * slack)
-    i, j = np.nonzero((d2 <= bound[:, None]) & np.isfinite(d2))
-    d = _exact(x, y, own[i], others[j])
-    by = np.lexsort((other_ids[others[j]], d, i))
-    i, j, d = i[by], j[by], d[by]
-    heads = np.flatnonzero(np.r_[True, np.diff(i) > 0]) if len(i) else np.zeros(0, np.int64)
-    rank = np.arange(len(i)) - np.repeat(heads, np.diff(np.r_[heads, len(i)]))
-    near = rank < k
-    return ids[own[i[near]]], other_ids[others[j[near]]], d[near]
-
-
 def _sample_neighbours(kept: DataFrame, size: int, k: int, within: float | None, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(ids, vectors, place of each query, place of its neighbour) of a bounded sample compared with all rows."""
     drawn = kept.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
@@ -338,7 +303,7 @@ def _scan(size: int, window: int, k: int, within: float | None, parts: int):  #
                 seg_lo, seg_hi = int(np.searchsorted(order, order[lo], "left")), int(np.searchsorted(order, order[lo], "right"))
                 hi = min(hi, seg_hi)
                 others = np.arange(max(seg_lo, lo - window), min(seg_hi, hi + window))
-                yield _pairs_batch(*_best(ids, v, np.arange(lo, hi), others, ids, v, k, within), _SCHEMA)
+                yield _pairs_batch(*nearest_in_block(ids, v, np.arange(lo, hi), others, ids, v, k, within), _SCHEMA)
                 lo = hi
             cut = max(0, upto - window)
             ids, order, v, at = ids[cut:], order[cut:], v[cut:], upto - cut
@@ -365,10 +330,10 @@ def _seam(size: int, window: int, k: int, within: float | None):  # noqa: ANN202
             left, right = np.flatnonzero((side == 0) & (order == o)), np.flatnonzero((side == 1) & (order == o))
             for lo in range(0, len(left), ROWS_AT_ONCE):
                 own = left[lo : lo + ROWS_AT_ONCE]
-                parts.append(_best(ids, v, own, right[: max(0, window - (len(left) - 1 - lo - len(own) + 1))], ids, v, k, within))
+                parts.append(nearest_in_block(ids, v, own, right[: max(0, window - (len(left) - 1 - lo - len(own) + 1))], ids, v, k, within))
             for lo in range(0, len(right), ROWS_AT_ONCE):
                 own = right[lo : lo + ROWS_AT_ONCE]
-                parts.append(_best(ids, v, own, left[max(0, len(left) - (window - lo)) :] if window > lo else left[:0], ids, v, k, within))
+                parts.append(nearest_in_block(ids, v, own, left[max(0, len(left) - (window - lo)) :] if window > lo else left[:0], ids, v, k, within))
         made = [np.concatenate(x) for x in zip(made, *parts, strict=True)] if parts else made
         return pa.table({"id": made[0], "neighbour": made[1], "distance": made[2]})
 
@@ -388,7 +353,7 @@ def _all_pairs(kept: DataFrame, size: int, n: int, k: int, within: float | None)
             for b in batches:
                 other, y = b.column("id").to_numpy(), unpack(b.column("p"), size)
                 for lo in range(0, len(ids), ROWS_AT_ONCE):
-                    a, o, d = _best(ids, x, np.arange(lo, min(len(ids), lo + ROWS_AT_ONCE)), np.arange(len(other)), other, y, k, within)
+                    a, o, d = nearest_in_block(ids, x, np.arange(lo, min(len(ids), lo + ROWS_AT_ONCE)), np.arange(len(other)), other, y, k, within)
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(o), pa.array(d)], ["id", "neighbour", "distance"])
 
         part = materialise(_top(kept.mapInArrow(compare, "id long, neighbour long, distance double"), k))

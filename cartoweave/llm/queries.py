@@ -46,6 +46,13 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return tweets.union(names).select("tbl", "id_a", "id_b")
 
 
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The same records one by one: each with its class of look and its class of stored characters."""
+    tweets = canonical.same_look_classes(table(spark, d, "raw_tweets"), "tweet_id", "text").withColumn("tbl", F.lit("raw_tweets"))
+    names = canonical.same_look_classes(table(spark, d, "fake_raw_data"), "record_id", "screen_name").withColumn("tbl", F.lit("fake_raw_data"))
+    return tweets.union(names).select("tbl", "id", "form", "spelling")
+
+
 def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
     """Every screen name of the raw data with its one consistent form."""
     rows = table(spark, d, "fake_raw_data").select("record_id", "screen_name").distinct()
@@ -179,7 +186,7 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
     return subjects_of_documents(spark, d).groupBy("subject").agg(F.count("*").alias("documents"), F.round(F.avg("posterior"), 4).alias("mean_posterior"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p1_mixture, p2_found, p2_canonical, p3_found, p3_passages, p4_found, p4_nearest, p5_found, p5_terms, p7_found, p7_items, p8_mixture, p8_report, p8_tempered, p9_found, p9_composition)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clusters, p1_mixture, p2_found, p2_canonical, p2_classes, p3_found, p3_passages, p4_found, p4_nearest, p5_found, p5_terms, p7_found, p7_items, p8_mixture, p8_report, p8_tempered, p9_found, p9_composition)}
 
 _TERMS = """
 with tweets as (select tweet_id, any_value(text) as text from raw_tweets where tweet_id is not null group by tweet_id),

@@ -71,3 +71,16 @@ def test_pairs_against_brute_force(spark):
 def test_column(spark):
     df = spark.createDataFrame([("ａ",), (None,)], "s string")
     assert [r[0] for r in df.select(K.canonical("s")).collect()] == ["a", None]
+
+
+def test_classes_hold_the_pairs(spark, monkeypatch):
+    monkeypatch.setattr(K, "FORM_ROWS", 3)
+    forms = ["cafe\u0301", "caf\u00e9", "\uff43af\u00e9", "caf\u00e9\u200b"]
+    rows = [(i, forms[i % 4]) for i in range(24)] + [(100, "tea"), (101, "tea"), (102, "t\u0435a"), (103, None), (None, "tea"), (102, "t\u0435a")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    pairs = {tuple(r) for r in K.same_look_pairs(df, "id", "text").collect()}
+    classes = [tuple(r) for r in K.same_look_classes(df, "id", "text").collect()]
+    assert len(classes) == len(set(classes)) == 27
+    assert pairs == {(a, b) for a, f, s in classes for b, g, t in classes if a < b and f == g and s != t}
+    assert {(i, f, s) for i, f, s in classes if i >= 100} == {(100, 100, 100), (101, 100, 100), (102, 100, 102)}
+    assert K.same_look_classes(df.where("false"), "id", "text").count() == 0
