@@ -54,7 +54,8 @@ def word_labels(people: DataFrame, words: list[str], components_per_word: int =
 
     ``people`` is (x, y, histo array<double>); the words are the positions of the histogram. All words are fitted in the same
     passes: each pass sums the responsibilities by word, and only these sums (a row per word) reach the driver. Steps end when
-    no word's mean log-likelihood grows by ``growth``. Components start on either side of the word's mean.
+    no word's mean log-likelihood grows by ``growth``. Components start along the long axis of
+    the word's people.
     """
     k = components_per_word
     most = people.select(F.posexplode("histo").alias("word", "n")).groupBy("word").agg(F.max("n").alias("most")).where("most > 0")
@@ -64,7 +65,8 @@ def word_labels(people: DataFrame, words: list[str], components_per_word: int =
     fits: dict[int, np.ndarray] = {}
     for r in rows.groupBy("word").agg(*sums(F.col("w"))).collect():
         n, mean, cov = _gaussians(np.array(r[1:])[None])
-        side = np.sqrt(np.diag(cov[0]))
+        spread, axes = np.linalg.eigh(cov[0])
+        side = np.sqrt(spread[-1]) * axes[:, -1]
         places = np.linspace(-1, 1, k) if k > 1 else np.zeros(1)
         fits[r[0]] = np.stack([np.r_[1 / k, mean[0] + p * side, cov[0, 0, 0], cov[0, 0, 1], cov[0, 1, 1]] for p in places])
     spark, likelihood = people.sparkSession, dict.fromkeys(fits, -np.inf)
