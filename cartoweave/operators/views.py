@@ -50,6 +50,19 @@ REQUEST_VIEWS = {
 }
 
 
+#: The built-in reducers of emitted values.
+REDUCERS = {
+    "_sum": lambda v: F.sum(v),
+    "_count": lambda v: F.count(F.lit(1)),
+    "_stats": lambda v: F.struct(F.sum(v).alias("sum"), F.count(v).alias("count"), F.min(v).alias("min"), F.max(v).alias("max"), F.sum(F.col(v) * F.col(v)).alias("sumsqr")),
+}
+
+
+def reduced(emitted: DataFrame, keys: list[str], reducer: str, level: int | None = None, value: str = "value") -> DataFrame:
+    """Emitted rows reduced by the first ``level`` of their keys (all of them; at 0 over everything)."""
+    return emitted.groupBy(*keys[: len(keys) if level is None else level]).agg(REDUCERS[reducer](value).alias("value"))
+
+
 def request_view(requests: DataFrame, name: str) -> DataFrame:
     """Requests of a named view."""
     return requests.where(REQUEST_VIEWS[name]())

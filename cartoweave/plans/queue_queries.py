@@ -362,6 +362,18 @@ def x01_custom_emitter(spark: SparkSession, d: str) -> DataFrame:
     return made.groupBy("user_id", "event_type").agg(F.sum("value").alias("n"))
 
 
+@query("select user_id, event_type, sum(v) as sum, count(v) as count, min(v) as min, max(v) as max, sum(v * v) as sumsqr from (select user_id, event_type, event_id % 7 as v from events) group by all")
+def x02_stats(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics reducer over emitted values."""
+    emitted = table(spark, d, "events").select("user_id", "event_type", (F.col("event_id") % 7).alias("value"))
+    return V.reduced(emitted, ["user_id", "event_type"], "_stats").select("user_id", "event_type", "value.*")
+
+
+@query("select user_id, count(*) as value from events group by all")
+def x02_count_by_level(spark: SparkSession, d: str) -> DataFrame:
+    """The counting reducer at the first level of the keys."""
+    emitted = table(spark, d, "events").select("user_id", "event_type", F.lit(1).alias("value"))
+    return V.reduced(emitted, ["user_id", "event_type"], "_count", 1)
 
 
 _WEIGHTS = [5.0, 1.0, 3.0, 0.5, 2.5, 8.0]

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-
 def _fields(kind: T.DataType, *names: str) -> list[T.StructField]:
     return [T.StructField(n, kind) for n in names]
 
@@ -88,3 +92,22 @@ def document_topics(spark: SparkSession, path: str) -> DataFrame:
     """(topic, doc_id) of lines 'topic document 1'."""
     part = F.split("value", " ")
     return spark.read.text(path).where(F.size(part) >= 2).select(part[0].alias("topic"), part[1].try_cast("long").alias("doc_id"))
+
+
+def npy_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(file, row, values): the rows of the two-dimensional ``.npy`` files under ``path``; pickled and broken ones leave."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                try:
+                    x = np.load(io.BytesIO(content.as_py()), allow_pickle=False)
+                except (ValueError, EOFError, OSError):
+                    continue
+                if x.ndim != 2:
+                    continue
+                flat, ends = np.ascontiguousarray(x, np.float64).ravel(), np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(x), pa.string()), pa.array(np.arange(len(x))), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["file", "row", "values"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "content").mapInArrow(run, "file string, row long, values array<double>")

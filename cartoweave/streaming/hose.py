@@ -13,6 +13,7 @@ from cartoweave.functions.text import byte_hex, simple_words, trigrams, user_key
 from cartoweave.operators.requests import EVENTS, upserted
 from cartoweave.operators.trigram_model import bisect, scored
 from cartoweave.operators.views import ATTEMPTS
+from cartoweave.sources.store import ROWS_PER_BUCKET, BucketStore
 
 
 def windowed_counts(events: DataFrame, time: str, keys: list[str], length: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
@@ -64,19 +65,17 @@ def running_token_counts(tweets: DataFrame, user: str, text: str) -> DataFrame:
     return each.groupBy("user", "token").agg(F.count("*").alias("count"))
 
 
-def upsert_sink(path: str, key: str, time: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that keeps the latest row of every key in versions under ``path``.
+def upsert_sink(path: str, key: str, time: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that keeps the latest row of every key in a ``BucketStore`` under ``path``.
 
-    Each epoch writes the version of its number from the one before; a repeated epoch writes the same again.
+    An epoch rewrites only the partitions that hold a key of its batch. A repeated epoch changes nothing: its version is
+    there already.
     """
 
     def run(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        if epoch:
-            stored = spark.read.parquet(f"{path}/v={epoch - 1}")
-        else:
-            stored = batch.where("false")
-        upserted(stored, batch, key, time).write.mode("overwrite").parquet(f"{path}/v={epoch}")
+        store = BucketStore(batch.sparkSession, path, (key,), rows_per_bucket)
+        if store.version() <= epoch:
+            store.merged(batch, lambda stored, arrived: upserted(batch.limit(0) if stored is None else stored, arrived, key, time))
 
     return run
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cartoweave.ml import people, rbm, tsne
 from cartoweave.sources import corpora, readers, writers
+from cartoweave.sources.store import BucketStore
 from cartoweave.streaming import hose
 
 
@@ -138,11 +139,16 @@ def test_split_sink_and_scores(spark, tmp_path):
 
 
 def test_upsert_sink(spark, tmp_path):
-    sink = hose.upsert_sink(str(tmp_path / "t"), "k", "t")
+    sink = hose.upsert_sink(f"file://{tmp_path}/t", "k", "t", rows_per_bucket=1)
     schema = "k string, t int, v string"
-    sink(spark.createDataFrame([("a", 1, "old"), ("b", 1, "b")], schema), 0)
-    sink(spark.createDataFrame([("a", 2, "new"), ("b", 0, "late")], schema), 1)
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t/v=1")).collect())) == [("a", 2, "new"), ("b", 1, "b")]
+    sink(spark.createDataFrame([("a", 1, "old"), ("b", 1, "b"), *((f"x{i}", 1, "x") for i in range(20))], schema), 0)
+    second = spark.createDataFrame([("a", 2, "new"), ("b", 0, "late")], schema)
+    sink(second, 1)
+    sink(second, 1)
+    store = BucketStore(spark, f"file://{tmp_path}/t", ("k",))
+    assert store.version() == 2
+    assert sorted(map(tuple, store.table().where("k in ('a', 'b')").collect())) == [("a", 2, "new"), ("b", 1, "b")] and store.table().count() == 22
+    assert len(list((tmp_path / "t/data/2").glob("bucket=*"))) <= 2 < len(list((tmp_path / "t/data/1").glob("bucket=*")))
 
 
 def test_fits_take_all_rows_up_to_the_limits(spark, monkeypatch):
@@ -191,3 +197,12 @@ def test_word_labels_find_where_words_are_used(spark):
         for c in groups[w]:
             assert min(math.dist(c, p) for p in got[name]) < 0.3
     assert people.word_labels(df.where("false"), ["tea"]).count() == 0
+
+
+def test_npy_rows(spark, tmp_path):
+    x = np.arange(12.0).reshape(4, 3)
+    np.save(tmp_path / "a.npy", x)
+    np.save(tmp_path / "b.npy", x[:0])
+    (tmp_path / "c.npy").write_bytes(b"no matrix")
+    got = readers.npy_rows(spark, str(tmp_path)).orderBy("row").collect()
+    assert [(r["row"], r["values"]) for r in got] == [(i, x[i].tolist()) for i in range(4)] and got[0]["file"].endswith("a.npy")
