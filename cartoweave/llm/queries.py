@@ -196,7 +196,17 @@ vectors as (select distinct user_id, word_id, count from fake_word_vectors where
 words as (select 'fake_word_vectors.word_id' as field, cast(word_id as varchar) as term, cast(sum(count) as bigint) as occurrences, count(distinct user_id) as records, (select count(distinct user_id) from vectors) as total, 10 as rare, 0.9 as common from vectors group by word_id),
 marked as (select field, term, occurrences, records, case when occurrences < rare then 'rare' when records > common * total then 'common' end as mark from (select * from texts union all select * from words))
 """
+_FINITE = "list_bool_and(list_transform(v, lambda x: x is not null and isfinite(x)))"
+_NEAREST = f"""
+with parts as (select user_id as id, list_filter(string_split(trim(regexp_replace(regexp_replace(hash, '(?i)dtype\\s*=\\s*[\\w.'']+|\\b(array|list|tuple)\\s*([(\\[])', ' \\2', 'g'), '[\\[\\](){{}},;\\s]+', ' ', 'g')), ' '), lambda x: x <> '') as p from twusers where user_id is not null),
+users as (select 'twusers' as tbl, id, any_value(v) as v from (select id, list_transform(p, lambda x: try_cast(x as double)) as v from parts) where len(v) = {HASH_SIZE} and {_FINITE} group by id),
+codes as (select 'test_codes' as tbl, row_id as id, any_value(v) as v from (select row_id, [{", ".join(CODE_COLUMNS)}] as v from test_codes where row_id is not null) where {_FINITE} group by row_id),
+vectors as (select * from users union all select * from codes),
+ranked as (select a.tbl, a.id, b.id as neighbour, list_distance(a.v, b.v) as distance, row_number() over (partition by a.tbl, a.id order by list_distance(a.v, b.v), b.id) as place from vectors a join vectors b on a.tbl = b.tbl and a.id <> b.id qualify place <= {NEIGHBOURS})
+"""
 ORACLE_SQL: dict[str, str] = {
+    "p4_nearest": _NEAREST + "select tbl, id, neighbour, round(distance, 9) as distance, place from ranked",
+    "p4_found": _NEAREST + f"select distinct tbl, least(id, neighbour) as id_a, greatest(id, neighbour) as id_b from ranked where distance <= case tbl when 'twusers' then {HASH_WITHIN} else {CODE_WITHIN} end",
     "p1_found": f"""
 with recursive points as (select id, p.x as x, p.y as y from (select trained_as_id as id, min({{'x': x_coord, 'y': y_coord}}) as p from user_docs
  where trained_as_id is not null and isfinite(x_coord) and isfinite(y_coord) and x_coord > {MAP_LOW} and x_coord < {MAP_HIGH} and y_coord > {MAP_LOW} and y_coord < {MAP_HIGH} group by trained_as_id)),
