@@ -10,8 +10,8 @@ Rules, in this order, for every code point:
 * every blank (space separators, tabs, line ends) becomes one U+0020, so the number and order of blanks stay;
 * compatibility forms that read the same (width, font, ligature, no-break, presentation forms) are expanded; superscripts,
   fractions and circled forms look different and stay;
-* look-alike letters of other alphabets become the Latin letter of the same shape and case; digits are never mapped to or
-  from letters;
+* look-alike letters of other alphabets become the Latin letter of the same shape and case: a fixed list, and in the queries
+  over tables the Unicode confusables of all alphabets with two cases; digits are never mapped to or from letters;
 * marks are ordered and composed canonically.
 
 Null stays null and an empty text stays empty; a text of invisible characters only becomes the empty text. Bytes that are
@@ -27,7 +27,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,10 +79,33 @@ def _expand(cp: int, latin: dict[int, int]) -> list[int]:
     return [latin.get(cp, LOOKALIKE_MARKS.get(cp, cp))]
 
 
+#: Alphabets with two cases whose letters are sought among the public look-alikes: first and last code points.
+CASED_RANGES = ((0x370, 0x588), (0x10A0, 0x10FF), (0x13A0, 0x13FD), (0x1C80, 0x1CBF), (0x1F00, 0x1FFF), (0x2C00, 0x2DFF), (0xA640, 0xA69F), (0xAB70, 0xABBF), (0x10400, 0x104FF), (0x118A0, 0x118FF), (0x16E40, 0x16E7F))
+
+
+def _skeletons(ask) -> tuple[tuple[int, int], ...]:  # noqa: ANN001
+    ascii_letters = [chr(c) for c in range(0x41, 0x7B) if chr(c).isalpha()]
+    cased = [chr(c) for a, b in CASED_RANGES for c in range(a, b + 1) if unicodedata.category(chr(c)) in ("Lu", "Ll")]
+    looks = ask("\n".join([*ascii_letters, *cased])).split("\n")
+    own: dict[tuple[str, str], str] = {}
+    for letter, look in zip(ascii_letters, looks, strict=False):
+        own.setdefault((look, unicodedata.category(letter)), letter)
+    found = ((c, own.get((look, unicodedata.category(c)))) for c, look in zip(cased, looks[len(ascii_letters) :], strict=True))
+    return tuple((ord(c), ord(letter)) for c, letter in found if letter)
+
+
+def public_lookalikes(spark: SparkSession) -> tuple[tuple[int, int], ...]:
+    """(foreign letter, Latin letter): letters of other cased alphabets with the look and the case of an ASCII letter.
+
+    Taken from the Unicode confusables, which the JVM's text library holds; ``LOOKALIKES`` goes before them.
+    """
+    return _skeletons(spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton)
+
+
 @functools.cache
-def tables() -> dict[str, np.ndarray]:
+def tables(lookalikes: tuple[tuple[int, int], ...] = ()) -> dict[str, np.ndarray]:
     """Lookup tables by code point, built once in each Python worker from the Unicode database."""
-    latin = {ord(a): ord(b) for foreign, own in LOOKALIKES for a, b in zip(foreign, own, strict=True)}
+    latin = dict(lookalikes) | {ord(a): ord(b) for foreign, own in LOOKALIKES for a, b in zip(foreign, own, strict=True)}
     length = np.ones(TABLE_SIZE, np.int64)
     first = np.arange(TABLE_SIZE, dtype=np.uint32)
     start = np.zeros(TABLE_SIZE, np.int64)
@@ -192,14 +215,17 @@ def bounded(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
             lo = hi
 
 
-def canonical_array(column: pa.Array | pa.ChunkedArray) -> pa.Array:
-    """The texts of ``column`` in the canonical form, as an Arrow string array of the same length."""
+def canonical_array(column: pa.Array | pa.ChunkedArray, lookalikes: tuple[tuple[int, int], ...] = ()) -> pa.Array:
+    """The texts of ``column`` in the canonical form, as an Arrow string array of the same length.
+
+    ``lookalikes``: pairs of code points besides the fixed ones, such as ``public_lookalikes``.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
     if not n:
         return pa.array([], pa.string())
-    t = tables()
+    t = tables(lookalikes)
     cps, offsets = _code_points(column)
     if not len(cps) or (t["plain"][cps].all() and not t["rank"][cps].any() and not (cps == 0xFFFD).any()):
         return column.cast(pa.string())
@@ -223,27 +249,29 @@ def canonical_array(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return made.cast(pa.string())
 
 
-@F.arrow_udf(T.StringType())
-def _canonical(texts: pa.Array) -> pa.Array:
-    return canonical_array(texts)
+def canonical(column: Column | str, lookalikes: tuple[tuple[int, int], ...] = ()) -> Column:
+    """Column expression: the canonical form of a string column."""
 
+    @F.arrow_udf(T.StringType())
+    def form(texts: pa.Array) -> pa.Array:
+        return canonical_array(texts, lookalikes)
 
-def canonical(column: Column | str) -> Column:
-    """Column expression: the canonical form of a string column."""
-    return _canonical(column)
+    return form(column)
 
 
 def canonical_keys(df: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
     """(id, k1, k2, v, *keep): 128 bits that stand for the canonical form, 64 for the form as stored.
 
-    Null ids and null texts give no row. One pass over the two columns; only keys leave it.
+    Null ids and null texts give no row. One pass over the two columns; only keys leave it. Look-alike letters are those of
+    the fixed list and of the Unicode confusables.
     """
+    lookalikes = public_lookalikes(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *keep).where("id is not null and text is not null")
     fields = [*rows.schema.fields, T.StructField("form", T.StringType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches):
-            yield pa.RecordBatch.from_arrays([*b.columns, canonical_array(b.column("text"))], [*b.schema.names, "form"])
+            yield pa.RecordBatch.from_arrays([*b.columns, canonical_array(b.column("text"), lookalikes)], [*b.schema.names, "form"])
 
     made = rows.mapInArrow(run, T.StructType(fields))
     return made.select("id", F.xxhash64("form").alias("k1"), F.xxhash64(F.lit(7), "form", F.length("form")).alias("k2"), F.xxhash64("text").alias("v"), *keep)

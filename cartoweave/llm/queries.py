@@ -56,7 +56,7 @@ def p2_classes(spark: SparkSession, d: str) -> DataFrame:
 def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
     """Every screen name of the raw data with its one consistent form."""
     rows = table(spark, d, "fake_raw_data").select("record_id", "screen_name").distinct()
-    return rows.withColumn("form", canonical.canonical("screen_name"))
+    return rows.withColumn("form", canonical.canonical("screen_name", canonical.public_lookalikes(spark)))
 
 
 def tweet_passages(spark: SparkSession, d: str) -> DataFrame:

@@ -84,3 +84,13 @@ def test_classes_hold_the_pairs(spark, monkeypatch):
     assert pairs == {(a, b) for a, f, s in classes for b, g, t in classes if a < b and f == g and s != t}
     assert {(i, f, s) for i, f, s in classes if i >= 100} == {(100, 100, 100), (101, 100, 100), (102, 100, 102)}
     assert K.same_look_classes(df.where("false"), "id", "text").count() == 0
+
+
+def test_public_lookalikes_keep_case_and_leave_digits(spark):
+    pairs = dict(K.public_lookalikes(spark))
+    assert len(pairs) > 150 and all(chr(a).isalpha() and not chr(a).isascii() and chr(b).isascii() and chr(a).isupper() == chr(b).isupper() for a, b in pairs.items())
+    assert pairs[0x430] == ord("a") and pairs[0x410] == ord("A") and pairs[0x406] == ord("I")
+    fixed = {ord(a) for foreign, _ in K.LOOKALIKES for a in foreign}
+    assert {a for a in fixed if 0x400 <= a <= 0x42F} <= set(pairs) | {0x406, 0x49C, 0x490, 0x50C}
+    texts = pa.array(["\u0421\u0430t 10", "\u2c9f\u2c9f", None, ""])
+    assert K.canonical_array(texts, K.public_lookalikes(spark)).to_pylist() == ["Cat 10", "oo", None, ""]
