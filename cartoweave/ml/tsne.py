@@ -1,4 +1,4 @@
-"""Exact t-SNE (M10-M15) on the driver for at most LIMIT codes; new points are placed distributed.
+"""Exact t-SNE (M10-M15, and of M19 the principal axes before it) on the driver for at most LIMIT codes; new points are placed distributed.
 
 Placing a new row freezes the fitted ones and moves only the row, so all other rows of a table are placed by tasks.
 """
@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,21 @@ LIMIT = 5_000
 Q_FLOOR = 1e-12
 
 
+def principal(rows: DataFrame, id_col: str, vector: str, dims: int) -> DataFrame:
+    """(id, v): the vectors around their mean on their ``dims`` principal axes, as they go into t-SNE.
+
+    The axes come from one distributed pass; vectors have finite numbers and one length. No more axes than numbers are taken.
+    """
+    width = rows.select(F.max(F.size(vector))).first()[0]
+    if not width:
+        return rows.select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
+    mean = rows.agg(*[F.avg(F.col(vector)[i]) for i in range(width)]).first()
+    centred = F.transform(F.arrays_zip(F.col(vector).alias("a"), F.array(*[F.lit(m) for m in mean]).alias("b")), lambda p: p["a"] - p["b"])
+    made = rows.select(F.col(id_col).alias("id"), array_to_vector(centred).alias("features"))
+    model = PCA(k=min(dims, width), inputCol="features", outputCol="axes").fit(made)
+    return model.transform(made).select("id", vector_to_array("axes").alias("v"))
+
+
 def squared_distances(x: np.ndarray, y: np.ndarray | None = None) -> np.ndarray:
     """Squared Euclidean distances by one matrix product."""
     y = x if y is None else y

@@ -253,7 +253,7 @@ good as (select token from tt, bound where length(cast(token as varchar)) >= 3 a
 busy as (select "user" from wc group by "user" having sum(count) >= 30),
 p as (select token, count / sum(count) over (partition by "user") as p from wc where token in (select token from good) and "user" in (select "user" from busy)),
 placed as (select p, row_number() over (order by p) - 1 as r, count(*) over () as n from p),
-bounds as (select list(p order by r) as b from placed where n // 10 > 0 and r % (n // 10) = 0 and r // (n // 10) between 1 and 9),
+bounds as (select list(p order by i) as b from placed join (select unnest(range(1, 10)) as i) on r = i * (n // 10)),
 hist as (select token, len(list_filter(b, lambda x: p >= x)) as bucket, count(*) as n from p, bounds group by all),
 cells as (select t.token, coalesce(h.n, 0) as n from (select distinct token from hist) t cross join (select unnest(range(10)) as b) c left join hist h on h.token = t.token and h.bucket = c.b)
 """

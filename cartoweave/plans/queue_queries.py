@@ -315,6 +315,17 @@ def m11_coordinates(spark: SparkSession, d: str) -> DataFrame:
     return tsne.place_rows(rows, "row_id", "v", x, tsne.annealed(x, 20.0))
 
 
+@query("with c as (select row_id, " + ", ".join(f"c{i}" for i in range(16)) + " from test_codes where " + " and ".join(f"isfinite(c{i})" for i in range(16)) + ") select row_id as id, round(" + " + ".join(f"pow(c{i} - avg(c{i}) over (), 2)" for i in range(16)) + ", 6) as length from c")
+def m19_principal_axes(spark: SparkSession, d: str) -> DataFrame:
+    """Squared lengths of all codes on their principal axes, which a rotation leaves as they are."""
+    from cartoweave.ml import tsne
+
+    v = F.array(*[F.col(f"c{i}") for i in range(16)])
+    rows = table(spark, d, "test_codes").where(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))).select("row_id", v.alias("v"))
+    made = tsne.principal(rows, "row_id", "v", 16)
+    return made.select("id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 6).alias("length"))
+
+
 @query()
 def m16_mixture(spark: SparkSession, d: str) -> DataFrame:
     """A mixture of the users on the map with the orientation of its components."""

@@ -206,3 +206,12 @@ def test_npy_rows(spark, tmp_path):
     (tmp_path / "c.npy").write_bytes(b"no matrix")
     got = readers.npy_rows(spark, str(tmp_path)).orderBy("row").collect()
     assert [(r["row"], r["values"]) for r in got] == [(i, x[i].tolist()) for i in range(4)] and got[0]["file"].endswith("a.npy")
+
+
+def test_principal_axes_keep_the_distances(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 5)) * [9, 5, 1e-9, 3, 1e-9]
+    df = spark.createDataFrame([(i, r.tolist(), "x") for i, r in enumerate(x)], "k long, v array<double>, id string")
+    got = np.array([r["v"] for r in tsne.principal(df, "k", "v", 3).orderBy("id").collect()])
+    assert got.shape == (60, 3) and np.allclose(tsne.squared_distances(got), tsne.squared_distances(x), atol=1e-6)
+    assert (np.diff(got.var(0)) < 0).all() and tsne.principal(df.where("false"), "k", "v", 3).count() == 0

@@ -251,3 +251,42 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "rows.json").write_text('{"key":["tea",0,1,2],"value":3},\n{"key":["rum",0,1,3],"value":5}')
     assert main(["labels", str(tmp_path / "rows.json"), "--mode", "total", "--precision", "2"]) == 0
     assert "rum" in capsys.readouterr().out
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from cartoweave.session import checkpoint_dir
+
+    def session(master, folder):
+        conf = N(get=lambda name, default=None: default)
+        made = []
+        context = N(master=master, getConf=lambda: N(get=lambda name: folder), getCheckpointDir=lambda: made[-1] if made else None, setCheckpointDir=made.append)
+        return N(sparkContext=context, conf=conf)
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            checkpoint_dir(session(master, None))
+        assert checkpoint_dir(session(master, "/shared")) == "/shared"
+    assert checkpoint_dir(session("local[4]", None)) and checkpoint_dir(session("local", None))
+
+
+def test_ranges_follow_the_size(spark, monkeypatch):
+    from cartoweave.operators import running
+
+    df = spark.range(2000)
+    assert running.in_ranges(df, F.col("id")).rdd.getNumPartitions() <= 4
+    monkeypatch.setattr(running, "RANGE_BYTES", 10)
+    monkeypatch.setattr(running, "RANGE_ROWS", 100)
+    assert running.in_ranges(df, F.col("id")).rdd.getNumPartitions() == 20
+    ranks = {r["id"]: r["rank"] for r in global_rank(df, [F.desc("id")]).collect()}
+    assert ranks == {i: 1999 - i for i in range(2000)}
+
+
+def test_requests_of_a_new_queue_come_out_in_order(spark):
+    users = spark.createDataFrame([("b",), ("a",), ("a",), (None,)], "name string")
+    late, soon = (W.download_requests(users, "name", p, at=F.lit(t).cast("timestamp")) for p, t in ((1, "2024-01-01"), (0, "2024-01-02")))
+    first = W.dequeue(late.union(soon), 5).collect()
+    assert len(first) == 5 and {r["priority"] for r in first} == {0}
+    assert W.dequeue(W.download_requests(users, "name"), 100).count() == 6
+    assert W.download_requests(users, "name").where("request_time is null").count() == 0
