@@ -62,19 +62,21 @@ class BucketStore:
         v = self.version()
         return self._read(self._manifest(v)) if v else None
 
-    def merged(self, deltas: DataFrame, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> tuple[int, DataFrame]:
+    def merged(self, deltas: DataFrame, merge: Callable[[DataFrame | None, DataFrame], DataFrame], again: bool = False) -> tuple[int, DataFrame]:
         """Merge ``deltas`` (they have the keys); the number of the new version and what ``merge`` made of the touched partitions.
 
         ``merge`` takes the stored rows of these partitions (None at the first load) and the deltas. Its column ``before`` is
-        not written, nor are rows whose ``copies``, if there is such a column, are gone.
+        not written, nor are rows whose ``copies``, if there is such a column, are gone. With ``again`` the caller uses the
+        merged rows once more, so they are computed into a checkpoint first.
         """
         v = self.version() + 1
         deltas = materialise(deltas)
         manifest = self._manifest(v - 1) if v > 1 else {"buckets": max(1, -(-deltas.count() // self.rows_per_bucket)), "at": {}}
         n = manifest["buckets"]
         bucket = F.pmod(F.xxhash64(*self.keys), F.lit(n)).cast("int")
-        touched = [r[0] for r in deltas.select(bucket.alias("b")).distinct().collect()]
-        merged = materialise(merge(self._read(manifest, touched) if v > 1 else None, deltas))
+        touched = [r[0] for r in deltas.select(bucket.alias("b")).distinct().collect()] if v > 1 else list(range(n))
+        merged = merge(self._read(manifest, touched) if v > 1 else None, deltas)
+        merged = materialise(merged) if again else merged
         kept = merged.drop("before").where("copies > 0") if "copies" in merged.columns else merged
         manifest["schema"] = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
         kept.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/{v}")
