@@ -136,7 +136,7 @@ class ValuedStore:
 
     def apply(self, deltas: DataFrame) -> None:
         """Merge ``row_deltas``: the state first, then the change of the counts that it makes."""
-        _, merged = self.state.merged(deltas, merge_rows)
+        _, merged = self.state.merged(deltas, merge_rows, again=True)
         self.terms.apply(valued_deltas(merged))
 
     def counts(self) -> DataFrame | None:
