@@ -9,20 +9,34 @@ from pyspark.sql.window import Window
 from cartoweave.operators.running import running_sum
 
 
+# The marks by which the line filters know the formats of their inputs.
+CHAT_MARK, CHAT_SPLIT = "> ", "*.split"
+QUOTE_ENDS, QUOTE_OTHERS = "])>", "+([/>-|=0"
+CONTENTS_MARKS = ("***** Contents *****", "Skip_to_table_of_contents")
+ARTICLE_ENDS = ("See also *****", 'Retrieved from "http://en.wikipedia.org/', "***** Notes *****")
+
+
+def _any_of(c: Column, marks: tuple[str, ...]) -> Column:
+    found = c.contains(marks[0])
+    for m in marks[1:]:
+        found = found | c.contains(m)
+    return found
+
+
 def chat_messages(lines: DataFrame, col: str = "line") -> DataFrame:
     """The message of lines with exactly one '> '; network splits leave."""
-    parts = F.split(col, "> ")
-    return lines.where((F.size(parts) == 2) & ~parts[1].startswith("*.split")).withColumn("message", parts[1])
+    parts = F.split(col, CHAT_MARK)
+    return lines.where((F.size(parts) == 2) & ~parts[1].startswith(CHAT_SPLIT)).withColumn("message", parts[1])
 
 
 def quote_messages(lines: DataFrame, col: str = "line") -> DataFrame:
     """What follows the first '>', else ')', else ']'; messages that begin with a mark of their own leave."""
     c = F.col(col)
     message = F.lit(None).cast("string")
-    for sep in "])>":
+    for sep in QUOTE_ENDS:
         at = F.locate(sep, c)
         message = F.when(at > 0, F.regexp_replace(F.substr(c, at + 1), r"^\s+", "")).otherwise(message)
-    return lines.withColumn("message", message).where((F.length("message") > 0) & ~F.substring("message", 1, 1).isin(*"+([/>-|=0"))
+    return lines.withColumn("message", message).where((F.length("message") > 0) & ~F.substring("message", 1, 1).isin(*QUOTE_OTHERS))
 
 
 def _state_before(event: Column, order: Window) -> Column:
@@ -36,8 +50,7 @@ def article_lines(lines: DataFrame, col: str = "line", talk: str = "talk") -> Da
     text; 'See also', notes and the source line end it. The state is a window function over the lines of a document.
     """
     c = F.col(col)
-    contents = c.contains("***** Contents *****") | c.contains("Skip_to_table_of_contents")
-    ends = c.contains("See also *****") | c.contains('Retrieved from "http://en.wikipedia.org/') | c.contains("***** Notes *****")
+    contents, ends = _any_of(c, CONTENTS_MARKS), _any_of(c, ARTICLE_ENDS)
     heading = c.startswith("*****")
     jump = c.startswith("Jump to: navigation") & ~F.col(talk)
     w = Window.partitionBy("doc").orderBy("line_no")

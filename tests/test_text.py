@@ -18,6 +18,7 @@ def values(spark, column, samples=SAMPLES):
 
 
 def test_trigrams_of_the_documented_sentence(spark):
+    # The documented sentence and its trigrams.
     one = ["I am Pat!"]
     assert values(spark, X.trigrams("s", "word_aware"), one) == [["<I>", "<am", "am>", "<Pa", "Pat", "at>"]]
     assert values(spark, X.trigrams("s", "word_aware_lc"), one) == [["<i>", "<am", "am>", "<pa", "pat", "at>"]]
@@ -25,6 +26,14 @@ def test_trigrams_of_the_documented_sentence(spark):
     assert values(spark, X.trigrams("s", "lowercase_depunctuated"), one) == [[" i ", "i a", " am", "am ", "m p", " pa", "pat", "at "]]
 
 
+def test_trigrams_of_own_sentences(spark):
+    two = ["Go, Ed: up!", "@you a-b #no http://x.y ok 12"]
+    assert values(spark, X.trigrams("s", "word_aware"), two) == [["<Go", "Go>", "<Ed", "Ed>", "<up", "up>"], ["<a-", "a-b", "-b>", "<ok", "ok>"]]
+    assert values(spark, X.trigrams("s", "word_aware_lc"), two) == [["<go", "go>", "<ed", "ed>", "<up", "up>"], ["<a-", "a-b", "-b>", "<ok", "ok>"]]
+    assert values(spark, X.trigrams("s", "lowercase"), two)[1] == [" a-", "a-b", "-b ", "b o", " ok", "ok "]
+    assert values(spark, X.trigrams("s", "lowercase_depunctuated"), two)[0] == [" go", "go ", "o e", " ed", "ed ", "d u", " up", "up "]
+
+
 REPEAT = re.compile(rb"(..??)\1\1\1+")
 NUMBER = re.compile(rb"^-?\$?\d+\.?\d*$")
 
