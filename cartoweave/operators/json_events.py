@@ -122,17 +122,22 @@ def _lex(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return start, end, kind, np.searchsorted(offsets, start - (kind == 0x22), "right") - 1, good
 
 
-def _holders(depth: np.ndarray, after: np.ndarray, opening: np.ndarray) -> np.ndarray:
-    """The token that opens the container which holds each token; -1 at the top. One sort, whatever the depth."""
+def _holders(depth: np.ndarray, after: np.ndarray, opening: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The token that opens the container which holds each token (-1 at the top), and all tokens grouped by it.
+
+    Tokens are sorted by depth, stably: what lies between two openings of one depth belongs to the first of them.
+    """
     opened, held = np.flatnonzero(opening), np.flatnonzero(depth > 0)
-    level, token = np.concatenate([after[opened], depth[held]]), np.concatenate([opened, held])
-    source = np.arange(len(token)) < len(opened)
-    by = np.lexsort((token, level))
-    at = np.maximum.accumulate(np.where(source[by], np.arange(len(by)), 0))
+    token = np.concatenate([opened, held])
+    merged = np.argsort(token, kind="stable")
+    token, source = token[merged], merged < len(opened)
+    level = np.where(source, after[token], depth[token])
+    by = np.argsort(level.astype(np.uint16) if len(level) and level.max() < 1 << 16 else level, kind="stable")
+    token, source = token[by], source[by]
+    at = np.maximum.accumulate(np.where(source, np.arange(len(by)), 0))
     holder = np.full(len(depth), -1)
-    found = by[at]
-    holder[token[by][~source[by]]] = token[found][~source[by]]
-    return holder
+    holder[token[~source]] = token[at[~source]]
+    return holder, np.concatenate([np.flatnonzero(depth == 0), token[~source]])
 
 
 def parse(column: pa.Array) -> Values:
@@ -153,10 +158,9 @@ def parse(column: pa.Array) -> Values:
     start, end, mark, row, change, after = (x[fine] for x in (start, end, mark, row, change, after))
     opening, closing = change > 0, change < 0
     depth = after - np.where(opening, 1, 0) + np.where(closing, 1, 0)
-    holder = _holders(depth, after, opening)
+    holder, by = _holders(depth, after, opening)
     kind = np.select([mark == 0x22, mark == 0x3A, mark == 0x2C, closing], [_STRING, _COLON, _COMMA, _END], _VALUE)
     in_object = np.where(holder >= 0, mark[holder], 0) == 0x7B
-    by = np.lexsort((np.arange(len(mark)), np.where(holder < 0, -1 - row, holder)))
     held, sorted_kind = np.where(holder < 0, -1 - row, holder)[by], kind[by]
     fresh = np.r_[True, held[1:] != held[:-1]][: len(by)]
     previous = np.where(fresh, _START, np.r_[0, sorted_kind[:-1]][: len(by)])

@@ -117,15 +117,16 @@ class Events:
 
     def _path(self, parents: np.ndarray, steps: np.ndarray, make) -> np.ndarray:  # noqa: ANN001
         """Path numbers of values whose parents have the paths ``parents``; ``make`` gives the path of one parent and step."""
-        pair, inverse = np.unique(np.stack([parents, steps], 1), axis=0, return_inverse=True)
+        width = int(steps.max(initial=0)) + 1
+        pair, inverse = np.unique(parents * width + steps, return_inverse=True)
         found = []
-        for parent, step in pair.tolist():
+        for parent, step in (divmod(x, width) for x in pair.tolist()):
             path = make(self.paths[parent], step)
             if path not in self.path_ids:
                 self.path_ids[path] = len(self.paths)
                 self.paths.append(path)
             found.append(self.path_ids[path])
-        return np.array(found, np.int64)[inverse.ravel()]
+        return np.array(found, np.int64)[inverse]
 
     def _is(self, chosen: frozenset[str], paths: np.ndarray) -> np.ndarray:
         return np.isin(paths, [self.path_ids[p] for p in chosen if p in self.path_ids])
